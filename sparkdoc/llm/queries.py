@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, line_dedup, pieces, sharding
+from . import jaccard, line_dedup, pieces, quality, sharding
 from .common import table
 
 #: The model that op4 encodes with.
@@ -30,6 +30,12 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    trees = quality.train(docs, table(spark, sf_dir, "labels"))
+    return quality.judged(docs, trees).select("doc_id", *quality.BASE, "base_failed", "kept", "score")
+
+
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"), 80, 100, 5).select("doc_id", "n_shingles", "component_id")
 
@@ -51,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sharding": op2_sharding,
     "op4_sentencepiece": op4_sentencepiece,
     "op6_line_dedup": op6_line_dedup,
+    "op7_quality_rules": op7_quality_rules,
     "op9_ngram_jaccard": op9_ngram_jaccard,
 }
 SQL: dict[str, str] = {"op6_line_dedup": OP6_SQL}
