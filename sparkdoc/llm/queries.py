@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, line_dedup, pieces, quality, sharding
+from . import jaccard, line_dedup, pieces, quality, secret_scan, sharding
 from .common import table
 
 #: The model that op4 encodes with.
@@ -40,6 +40,11 @@ def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"), 80, 100, 5).select("doc_id", "n_shingles", "component_id")
 
 
+def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return secret_scan.scanned(docs, secret_scan.train(docs)).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
+
+
 OP6_SQL = r"""
 WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
 lines AS (
@@ -59,5 +64,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_line_dedup": op6_line_dedup,
     "op7_quality_rules": op7_quality_rules,
     "op9_ngram_jaccard": op9_ngram_jaccard,
+    "op10_secret_scans": op10_secret_scans,
 }
 SQL: dict[str, str] = {"op6_line_dedup": OP6_SQL}
