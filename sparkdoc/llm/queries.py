@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, line_dedup, pieces, quality, secret_scan, sharding
+from . import jaccard, line_dedup, pieces, quality, secret_scan, sharding, url_filter
 from .common import table
 
 #: The model that op4 encodes with.
 PIECES_MODEL = "piece_bpe_32k.model"
 
 
+def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.url_verdicts(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.sharded(table(spark, sf_dir, "documents"), sharding.layout(8))
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
@@ -59,6 +63,7 @@ SELECT d.doc_id, k.n_lines, k.n_dropped, sha256(k.kept) AS kept_sha256 FROM kept
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_url_filters": op1_url_filters,
     "op2_sharding": op2_sharding,
     "op4_sentencepiece": op4_sentencepiece,
     "op6_line_dedup": op6_line_dedup,
