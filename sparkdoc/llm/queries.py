@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, line_dedup, pieces, quality, secret_scan, sharding, url_filter
+from . import decontaminate, jaccard, line_dedup, pieces, quality, secret_scan, sharding, url_filter
 from .common import table
 
 #: The model that op4 encodes with.
@@ -23,6 +23,10 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -65,6 +69,7 @@ SELECT d.doc_id, k.n_lines, k.n_dropped, sha256(k.kept) AS kept_sha256 FROM kept
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": op1_url_filters,
     "op2_sharding": op2_sharding,
+    "op3_decontamination": op3_decontamination,
     "op4_sentencepiece": op4_sentencepiece,
     "op6_line_dedup": op6_line_dedup,
     "op7_quality_rules": op7_quality_rules,
