@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,15 +25,29 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; only where none is set (tests) a temporary one."""
+    sc = spark.sparkContext
+    if (found := spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()) is None:
+        found = tempfile.mkdtemp("-checkpoints")
+        sc.setCheckpointDir(found)
+    return found
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder that the session names, with its lineage cut.
-
-    The folder of ``spark.checkpoint.dir`` is used; only where none is set (tests) a temporary one is made.
-    """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp("-checkpoints"))
-    return df.checkpoint()
+    """``df`` written as a Parquet table to the shared folder, with its lineage cut."""
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes checkpointed tables that nothing reads any more."""
+    for df in tables:
+        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+        for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(conf).delete(path, True)
 
 
 @contextlib.contextmanager

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, discard
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -30,7 +30,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     total = lambda df: tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
     before = total(now)
     while before[0]:
-        now = checkpointed(_star(_star(now, True), False))
+        last, now = now, checkpointed(_star(_star(now, True), False))
+        discard(last)
         after = total(now)
         if after == before:
             break
