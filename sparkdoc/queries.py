@@ -1,10 +1,211 @@
-"""Registered queries of the document engine and their DuckDB SQL."""
+"""Registered queries of the document engine, each an engine call over the generated tables, and their DuckDB SQL."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .operators import index as ix
+from .operators import placement, state, writes
+from .plans.query import KeyRange, Query
+from .sources import collections as c
+
+NOW_MS = 1_706_000_000_000  # 2024-01-23, within the events
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+
+_ORDERS = """(SELECT 'orders/' || lpad(o_orderkey::varchar, 10, '0') AS key, o_orderkey AS id, o_custkey AS customer, o_orderstatus AS status,
+  o_totalprice AS total, strftime(o_orderdate, '%Y-%m-%d') AS date, o_orderpriority AS priority FROM orders)"""
+_EVENTS = """(SELECT 'events/' || lpad(event_id::varchar, 10, '0') AS key, user_id, event_type AS type, cast(props->>'$.k' AS bigint) AS k FROM events)"""
+_LOG = f"""(SELECT event_id AS seq, CASE WHEN event_type = 'error' THEN 'delete' ELSE 'put' END AS kind, 'users/' || lpad(user_id::varchar, 10, '0') AS key,
+  CASE WHEN event_type <> 'error' THEN props END AS value, epoch_us(ts) // 1000 AS timestamp_ms, CASE WHEN event_type = 'signup' THEN epoch_us(ts) // 1000 + {c.EVENTS_TTL_MS} END AS expires_at_ms,
+  lpad(event_id::varchar, 12, '0') AS mutation_id FROM events)"""
+_DOCS = """(SELECT 'docs/' || lpad(d.doc_id::varchar, 10, '0') AS key, lang, source, n_chars, text, quality, toxic FROM documents d LEFT JOIN labels USING (doc_id))"""
+_LABELS = """(SELECT 'docs/' || lpad(d.doc_id::varchar, 10, '0') AS key, lang, CASE WHEN d.doc_id % 7 = 0 THEN 'null' WHEN quality IS NULL THEN 'missing' ELSE quality::varchar END AS q
+  FROM documents d LEFT JOIN labels USING (doc_id))"""
+_MIXED = """(SELECT 'orders/' || lpad(o_orderkey::varchar, 10, '0') AS key, o_orderkey AS k, o_orderstatus AS status,
+  CASE WHEN o_orderkey % 11 = 0 THEN 'missing' WHEN o_orderkey % 7 = 0 THEN 'null' WHEN o_orderkey % 5 = 0 THEN 'text' ELSE 'number' END AS kind FROM orders)"""
+_LATEST = f"(SELECT * FROM {_LOG} QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq DESC) = 1)"
+
+
+def _add(name: str, run: Callable[[SparkSession, str], DataFrame], sql: str | None = None) -> None:
+    QUERIES[name] = run
+    if sql:
+        SQL[name] = sql
+
+
+def _where(name: str, collection: Callable, where: dict, source: str, sql: str) -> None:
+    """All keys that match a filter."""
+    _add(name, lambda s, d: Query(collection(s, d), {"where": where}).all().select("key"), f"SELECT key FROM {source} WHERE {sql}")
+
+
+def flagship_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spec = {"prefix": "orders/", "where": {"status": "F", "total": {"$gte": 100000}}, "aggregate": {"count": True, "sum": "total", "min": "date", "max": ["date", "total"]}}
+    return Query(c.orders(spark, sf_dir), spec).aggregated().withColumn("sum_total", F.round("sum_total", 2))
+
+
+_add("flagship_orders", flagship_orders, f"SELECT count(*) AS count, round(sum(total), 2) AS sum_total, min(date) AS min_date, max(date) AS max_date, max(total) AS max_total FROM {_ORDERS} WHERE status = 'F' AND total >= 100000")
+
+# scans
+_add("get_point", lambda s, d: Query(c.orders(s, d), {"start": "orders/0000000007", "end": "orders/0000000007\0"}).all().select("key", "value.status", "value.total"), f"SELECT key, status, total FROM {_ORDERS} WHERE key = 'orders/0000000007'")
+_add("scan_prefix_orders", lambda s, d: Query(c.orders(s, d), {"prefix": "orders/00000000", "limit": 50}).top().select("key", "value.status"), f"SELECT key, status FROM {_ORDERS} WHERE starts_with(key, 'orders/00000000') ORDER BY key LIMIT 50")
+_add("scan_range_events", lambda s, d: Query(c.events(s, d), {"start": "events/0000000100", "end": "events/0000000250", "limit": 1000}).top().select("key"), f"SELECT key FROM {_EVENTS} WHERE key >= 'events/0000000100' AND key < 'events/0000000250'")
+_add("scan_after", lambda s, d: Query(c.orders(s, d), {"prefix": "orders/", "after": "orders/0000000100", "limit": 20}).top().select("key"), f"SELECT key FROM {_ORDERS} WHERE key > 'orders/0000000100' ORDER BY key LIMIT 20")
+
+# filters
+_where("filter_eq", c.orders, {"status": "F"}, _ORDERS, "status = 'F'")
+_where("filter_ne", c.documents, {"quality": {"$ne": 1}}, _DOCS, "quality IS DISTINCT FROM 1")
+_where("filter_gt", c.orders, {"total": {"$gt": 250000}}, _ORDERS, "total > 250000")
+_where("filter_gte_lt", c.orders, {"total": {"$gte": 100000.5, "$lt": 200000}}, _ORDERS, "total >= 100000.5 AND total < 200000")
+_where("filter_lte_string", c.orders, {"date": {"$lte": "1996-01-02"}}, _ORDERS, "date <= '1996-01-02'")
+_where("filter_in", c.orders, {"priority": {"$in": ["1-URGENT", "2-HIGH", 5, None]}}, _ORDERS, "priority IN ('1-URGENT', '2-HIGH')")
+_where("filter_nin", c.documents, {"quality": {"$nin": [0]}}, _DOCS, "quality IS NULL OR quality <> 0")
+_where("filter_exists", c.documents, {"toxic": {"$exists": True}}, _DOCS, "toxic IS NOT NULL")
+_where("filter_not_exists", c.documents, {"toxic": {"$exists": False}}, _DOCS, "toxic IS NULL")
+_where("filter_prefix", c.orders, {"priority": {"$prefix": "1"}}, _ORDERS, "starts_with(priority, '1')")
+_where("filter_contains_string", c.documents, {"text": {"$contains": "password"}}, _DOCS, "contains(text, 'password')")
+_where("filter_and_or_not", c.orders, {"$or": [{"status": "O", "total": {"$lt": 50000}}, {"$and": [{"status": "F"}, {"$not": {"total": {"$lt": 300000}}}]}]}, _ORDERS, "(status = 'O' AND total < 50000) OR (status = 'F' AND NOT total < 300000)")
+_where("filter_not_missing", c.documents, {"$not": {"quality": {"$gt": 0}}}, _DOCS, "NOT coalesce(quality > 0, false)")
+_where("filter_json_props", c.events, {"props.k": {"$gte": 50}}, _EVENTS, "k >= 50")
+_where("filter_json_eq_null", c.document_labels, {"quality": None}, _LABELS, "q = 'null'")
+_where("filter_json_ne", c.document_labels, {"quality": {"$ne": 1}}, _LABELS, "q <> '1'")
+_where("filter_json_exists", c.document_labels, {"quality": {"$exists": True}}, _LABELS, "q <> 'missing'")
+_where("filter_json_cross_type", c.mixed, {"total": {"$gt": 1}}, _MIXED, "kind = 'number' AND k > 1")
+_where("filter_json_string_order", c.mixed, {"total": {"$gte": "t2"}}, _MIXED, "kind = 'text' AND 't' || k >= 't2'")
+_where("filter_json_nin", c.mixed, {"total": {"$nin": [1, 2, "t5"]}}, _MIXED, "NOT (kind = 'number' AND k IN (1, 2)) AND NOT (kind = 'text' AND k = 5)")
+_where("filter_json_not", c.mixed, {"$not": {"total": {"$gt": 100}}}, _MIXED, "NOT (kind = 'number' AND k > 100)")
+_where("filter_empty", c.mixed, {}, _MIXED, "true")
+_where("filter_object_eq", c.events, {"props": {"k": 69}}, _EVENTS, "k = 69")
+_PARTS = "(SELECT 'orders/' || lpad(o_orderkey::varchar, 10, '0') AS key, o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey)"
+_where("filter_array_contains", c.order_documents, {"parts": {"$contains": 7}}, _PARTS, "o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_partkey = 7)")
+_where("filter_array_index", c.order_documents, {"lines.0.part": {"$lt": 20}}, "(SELECT key, part FROM (SELECT 'orders/' || lpad(l_orderkey::varchar, 10, '0') AS key, l_partkey AS part, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey) WHERE n = 1)", "part < 20")
+
+# projection
+_add("project_nested", lambda s, d: Query(c.order_documents(s, d), {"where": {"status": "P"}, "fields": ["customer.segment", "total", "zz"]}).all().select("key", F.to_json("value").alias("value")),
+     """SELECT 'orders/' || lpad(o_orderkey::varchar, 10, '0') AS key, '{"total":' || o_totalprice || ',"customer":{"segment":"' || c_mktsegment || '"}}' AS value FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'P'""")
+_add("project_json", lambda s, d: Query(c.document_labels(s, d), {"fields": ["quality"]}).all().select("key", F.to_json("value").alias("value")),
+     f"SELECT key, CASE q WHEN 'missing' THEN '{{}}' ELSE '{{\"quality\":' || q || '}}' END AS value FROM {_LABELS}")
+
+# aggregates
+_add("agg_count", lambda s, d: Query(c.orders(s, d), {"where": {"status": "O"}, "aggregate": {"count": True}}).aggregated(), f"SELECT count(*) AS count FROM {_ORDERS} WHERE status = 'O'")
+_add("agg_sum", lambda s, d: Query(c.orders(s, d), {"aggregate": {"sum": ["total", "id"]}}).aggregated().withColumn("sum_total", F.round("sum_total", 2)), f"SELECT round(sum(total), 2) AS sum_total, sum(id)::bigint AS sum_id FROM {_ORDERS}")
+_add("agg_min_max", lambda s, d: Query(c.orders(s, d), {"aggregate": {"min": ["date", "total"], "max": ["date", "total"]}}).aggregated(), f"SELECT min(date) AS min_date, min(total) AS min_total, max(date) AS max_date, max(total) AS max_total FROM {_ORDERS}")
+_add("agg_json_sum", lambda s, d: Query(c.events(s, d), {"aggregate": {"count": True, "sum": "props.k", "max": "props.k"}}).aggregated(), f"SELECT count(*) AS count, sum(k)::varchar AS sum_props_k, max(k)::varchar AS max_props_k FROM {_EVENTS}")
+_add("agg_mixed_types", lambda s, d: Query(c.mixed(s, d), {"aggregate": {"count": True, "sum": "total", "min": "total", "max": "total"}}).aggregated(),
+     f"SELECT count(*) AS count, (sum(k) FILTER (WHERE kind = 'number'))::varchar AS sum_total, (min(k) FILTER (WHERE kind = 'number'))::varchar AS min_total, '\"' || (max('t' || k) FILTER (WHERE kind = 'text')) || '\"' AS max_total FROM {_MIXED}")
+
+
+def agg_merge_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Partial aggregates of key slices, aggregated again."""
+    o = c.orders(spark, sf_dir)
+    part = Query(o, {"aggregate": {"count": True, "sum": "id", "min": "date", "max": "date"}})
+    pages = part.matched().groupBy(F.substring("key", 1, 15)).agg(F.count(F.lit(1)).alias("n"), F.sum("value.id").alias("s"), F.min("value.date").alias("lo"), F.max("value.date").alias("hi"))
+    return pages.agg(F.sum("n").alias("count"), F.sum("s").alias("sum_id"), F.min("lo").alias("min_date"), F.max("hi").alias("max_date"))
+
+
+_add("agg_merge_pages", agg_merge_pages, f"SELECT count(*) AS count, sum(id)::bigint AS sum_id, min(date) AS min_date, max(date) AS max_date FROM {_ORDERS}")
+
+# sort and paging
+_add("sort_asc_limit", lambda s, d: Query(c.orders(s, d), {"sort": {"field": "total"}, "limit": 25}).top().select("key", "value.total"), f"SELECT key, total FROM {_ORDERS} ORDER BY total, key LIMIT 25")
+_add("sort_desc_tie_key", lambda s, d: Query(c.orders(s, d), {"sort": {"field": "priority", "order": "desc"}, "limit": 40}).top().select("key", "value.priority"), f"SELECT key, priority FROM {_ORDERS} ORDER BY priority DESC, key LIMIT 40")
+_add("sort_mixed_types", lambda s, d: Query(c.mixed(s, d), {"sort": {"field": "total", "order": "desc"}, "limit": 500}).top().select("key"),
+     f"SELECT key FROM {_MIXED} WHERE kind <> 'missing' ORDER BY CASE kind WHEN 'text' THEN 3 WHEN 'number' THEN 2 ELSE 1 END DESC, CASE kind WHEN 'number' THEN k END DESC, CASE kind WHEN 'text' THEN 't' || k END DESC, key LIMIT 500")
+_add("sort_filtered", lambda s, d: Query(c.orders(s, d), {"where": {"status": "F", "total": {"$gte": 20000, "$lt": 50000}}, "sort": {"field": "total", "order": "desc"}, "limit": 30}).top().select("key"), f"SELECT key FROM {_ORDERS} WHERE status = 'F' AND total >= 20000 AND total < 50000 ORDER BY total DESC, key LIMIT 30")
+_add("page_keyset", lambda s, d: Query(c.orders(s, d), {"where": {"status": "F"}, "after": "orders/0000000300", "limit": 10}).top().select("key"), f"SELECT key FROM {_ORDERS} WHERE status = 'F' AND key > 'orders/0000000300' ORDER BY key LIMIT 10")
+
+# log and state
+_RECORD = ["key", "version", "value", "timestamp_ms", "expires_at_ms", "mutation_id"]
+_add("latest_state", lambda s, d: state.newest(c.event_log(s, d)).select("key", "seq", "kind", "value"), f"SELECT key, seq, kind, value FROM {_LATEST}")
+_add("ttl_live_at", lambda s, d: state.current(c.event_log(s, d), NOW_MS).select(*_RECORD), f"SELECT key, seq AS version, value, timestamp_ms, expires_at_ms, mutation_id FROM {_LATEST} WHERE kind = 'put' AND (expires_at_ms IS NULL OR expires_at_ms > {NOW_MS})")
+_add("latest_with_tombstone", lambda s, d: state.latest(c.event_log(s, d), "users/0000000007"), f"SELECT key, kind = 'delete' AS deleted, seq AS version, timestamp_ms, mutation_id FROM {_LATEST} WHERE key = 'users/0000000007'")
+_add("as_of_version", lambda s, d: state.current(state.as_of(c.event_log(s, d), 500), NOW_MS).select("key", "version"), f"SELECT key, seq AS version FROM (SELECT * FROM {_LOG} WHERE seq <= 500 QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq DESC) = 1) WHERE kind = 'put' AND (expires_at_ms IS NULL OR expires_at_ms > {NOW_MS})")
+_add("compact", lambda s, d: state.compact(c.event_log(s, d), NOW_MS, 86_400_000).select("key", "seq", "kind", "value", "timestamp_ms", "expires_at_ms"),
+     f"""SELECT key, seq, CASE WHEN x THEN 'delete' ELSE kind END AS kind, CASE WHEN NOT x AND kind = 'put' THEN value END AS value, CASE WHEN x THEN expires_at_ms ELSE timestamp_ms END AS timestamp_ms, CASE WHEN NOT x THEN expires_at_ms END AS expires_at_ms
+     FROM (SELECT *, kind = 'put' AND expires_at_ms IS NOT NULL AND expires_at_ms <= {NOW_MS} AS x FROM {_LATEST}) WHERE (kind = 'put' AND NOT x) OR CASE WHEN x THEN expires_at_ms ELSE timestamp_ms END + 86400000 > {NOW_MS}""")
+
+
+def purge_write(spark: SparkSession, sf_dir: str) -> DataFrame:
+    live = state.current(c.event_log(spark, sf_dir), NOW_MS)
+    written = spark.range(1).select(F.lit(999_999_999).cast("long").alias("seq"), F.lit("put").alias("kind"), F.lit("users/0000000001").alias("key"), F.lit("{}").alias("value"), F.lit(NOW_MS).cast("long").alias("timestamp_ms"), F.lit(None).cast("long").alias("expires_at_ms"), F.lit("p").alias("mutation_id"))
+    return state.purge(live, F.col("key") < "users/0000000020", written, 999_999_999, NOW_MS, "p").select("seq", "kind", "key", "value")
+
+
+_add("purge_write", purge_write, f"""SELECT 999999999::bigint AS seq, 'delete' AS kind, key, NULL::varchar AS value FROM {_LATEST} WHERE kind = 'put' AND (expires_at_ms IS NULL OR expires_at_ms > {NOW_MS}) AND key < 'users/0000000020' AND key <> 'users/0000000001'
+  UNION ALL SELECT 999999999, 'put', 'users/0000000001', '{{}}'""")
+
+
+def lww_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event log with clocks that run apart and every tenth write strict."""
+    log = c.event_log(spark, sf_dir).withColumn("timestamp_ms", F.col("timestamp_ms") + (F.col("seq") * 7919 % 13 - 6) * 3_600_000)
+    return log.select(F.col("seq").alias("idx"), "key", "kind", "value", "timestamp_ms", "expires_at_ms", "mutation_id", (F.col("seq") % 10 == 0).alias("strict"))
+
+
+_LWW = f"""(SELECT *, strict OR max({{'t': timestamp_ms, 'm': mutation_id}}) OVER b IS NULL OR {{'t': timestamp_ms, 'm': mutation_id}} > max({{'t': timestamp_ms, 'm': mutation_id}}) OVER b AS wins,
+  max({{'t': timestamp_ms, 'm': mutation_id}}) OVER b AS met FROM (SELECT *, count(*) FILTER (WHERE strict) OVER (PARTITION BY key ORDER BY idx) AS seg FROM
+  (SELECT seq AS idx, key, kind, value, timestamp_ms + (seq * 7919 % 13 - 6) * 3600000 AS timestamp_ms, expires_at_ms, mutation_id, seq % 10 = 0 AS strict FROM {_LOG}))
+  WINDOW b AS (PARTITION BY key, seg ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"""
+_add("lww_resolve", lambda s, d: writes.resolve_lww(lww_log(s, d)).select("key", "idx", "kind", "value"), f"SELECT key, idx, kind, value FROM {_LWW} WHERE wins QUALIFY row_number() OVER (PARTITION BY key ORDER BY idx DESC) = 1")
+_add("lww_conflicts", lambda s, d: writes.lww_conflicts(lww_log(s, d)).select("key", "mutation_id", "winner_mutation_id", "reason"),
+     f"""WITH j AS {_LWW} SELECT key, mutation_id, met.m AS winner_mutation_id, 'lost' AS reason FROM j WHERE NOT wins UNION ALL
+     SELECT key, pm, mutation_id, 'overwritten' FROM (SELECT *, lag(kind) OVER w AS pk, lag(mutation_id) OVER w AS pm, lag(expires_at_ms) OVER w AS pe FROM j WHERE wins WINDOW w AS (PARTITION BY key ORDER BY idx)) WHERE NOT strict AND pk = 'put' AND (pe IS NULL OR pe > timestamp_ms)""")
+_add("conflicts_list", lambda s, d: writes.list_conflicts(writes.lww_conflicts(lww_log(s, d)).where("reason = 'lost'"), "users/000000001", 50).select("key", "mutation_id"), f"SELECT key, mutation_id FROM {_LWW} WHERE NOT wins AND starts_with(key, 'users/000000001') ORDER BY key, mutation_id LIMIT 50")
+
+
+def dedupe_mutations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = c.event_log(spark, sf_dir).withColumn("mutation_id", F.lpad((F.col("seq") % 3000).cast("string"), 12, "0"))
+    return writes.first_of_each_mutation(log).select("seq", "mutation_id", "deduplicated")
+
+
+_add("dedupe_mutations", dedupe_mutations, f"""SELECT seq, m AS mutation_id, seq > first_value(seq) OVER w AND timestamp_ms - first_value(timestamp_ms) OVER w < 86400000 AS deduplicated
+  FROM (SELECT *, lpad((seq % 3000)::varchar, 12, '0') AS m FROM {_LOG}) WINDOW w AS (PARTITION BY m ORDER BY seq, timestamp_ms ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)""")
+
+
+def cas_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as conditional writes per user: every third only if absent."""
+    log = c.event_log(spark, sf_dir)
+    none = F.lit(None).cast("long")
+    req = log.select(F.col("key").alias("group"), F.col("seq").alias("idx"), F.lit(0).alias("op"), "mutation_id", "kind", "key", F.col("value"), none.alias("ttl_ms"), none.alias("if_version"), (F.col("seq") % 3 == 0).alias("if_absent"), F.col("timestamp_ms").alias("now_ms"))
+    return writes.fold_requests(req).groupBy("group").agg(F.count(F.when(F.col("outcome") == "applied", 1)).alias("applied"), F.count(F.when(F.col("outcome") == "condition_failed", 1)).alias("failed"), F.max("version").alias("version"))
+
+
+_add("cas_fold", cas_fold, f"""WITH RECURSIVE l AS (SELECT key, seq, kind, seq % 3 = 0 AS absent, row_number() OVER (PARTITION BY key ORDER BY seq) AS n FROM {_LOG}),
+  f AS (SELECT key, n, kind = 'put' AS live, 1 AS applied, 0 AS failed FROM l WHERE n = 1 UNION ALL
+  SELECT l.key, l.n, CASE WHEN l.absent AND f.live THEN f.live ELSE l.kind = 'put' END, f.applied + CASE WHEN l.absent AND f.live THEN 0 ELSE 1 END, f.failed + CASE WHEN l.absent AND f.live THEN 1 ELSE 0 END FROM f JOIN l ON l.key = f.key AND l.n = f.n + 1)
+  SELECT key AS "group", max(applied)::bigint AS applied, max(failed)::bigint AS failed, max(applied)::bigint AS version FROM f GROUP BY key""")
+
+# placement
+_NODES = [("n1", "a"), ("n2", "a"), ("n3", "b"), ("n4", "b"), ("n5", "c")]
+_nodes = lambda s, n=5: s.createDataFrame(_NODES[:n], "node string, zone string")
+_add("partition_load", lambda s, d: placement.load(placement.place(s, _nodes(s), 3)))
+_add("rendezvous", lambda s, d: placement.place(s, _nodes(s), 3))
+_add("rebalance", lambda s, d: placement.rebalance(placement.place(s, _nodes(s, 4), 2), placement.place(s, _nodes(s, 5), 2), 2))
+_add("replica_groups", lambda s, d: placement.groups(placement.place(s, _nodes(s), 3)))
+_add("route_keys", lambda s, d: placement.route(c.orders(s, d).select("key"), placement.place(s, _nodes(s), 3)).select("key", "partition", "replicas"))
+_add("digest", lambda s, d: placement.digests(state.current(c.event_log(s, d), NOW_MS), NOW_MS))
+
+# indexes
+_STATUS, _TOTAL = ix.IndexSpec("by-status", "orders/", "status"), ix.IndexSpec("by-total", "orders/", "total", True)
+_add("index_entries", lambda s, d: ix.entries(c.mixed(s, d), _TOTAL).select("tag", "key"), f"SELECT CASE kind WHEN 'null' THEN 1 WHEN 'number' THEN 4 ELSE 5 END AS tag, key FROM {_MIXED} WHERE kind <> 'missing'")
+_add("index_lookup", lambda s, d: ix.lookup(ix.entries(c.orders(s, d), _STATUS), "P", KeyRange(start="orders/0000001000")), f"SELECT key FROM {_ORDERS} WHERE status = 'P' AND key >= 'orders/0000001000'")
+_add("index_scan_recheck", lambda s, d: ix.scan_equal(c.orders(s, d), ix.entries(c.orders(s, d), _STATUS), "P", Query(c.orders(s, d), {"where": {"status": "P", "total": {"$lt": 100000}}})).select("key"), f"SELECT key FROM {_ORDERS} WHERE status = 'P' AND total < 100000")
+_add("index_sorted", lambda s, d: ix.ordered(ix.entries(c.orders(s, d), _TOTAL), _TOTAL, 50, low=1000.0, high=400000.0).select("key"), f"SELECT key FROM {_ORDERS} WHERE total >= 1000 AND total < 400000 ORDER BY total DESC, key LIMIT 50")
+
+
+def feed_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The change feed of a prefix, run as a stream over the log to its end; the sink is a table in the shared folder."""
+    import tempfile
+    import uuid
+
+    from .streaming import feed
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp("-feed")
+    at = f"{base}/feed-{uuid.uuid4().hex}"
+    c.event_log(spark, sf_dir).write.parquet(f"{at}/log")
+    events = feed.feed(feed.log_stream(spark, f"{at}/log"), "users/000000001")
+    events.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("key string, kind string, value string, version bigint, mutation_id string").parquet(f"{at}/out")
+
+
+_add("feed_replay", feed_replay, f"SELECT key, kind, value, seq AS version, mutation_id FROM {_LOG} WHERE starts_with(key, 'users/000000001')")
