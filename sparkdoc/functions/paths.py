@@ -120,7 +120,11 @@ class Ref:
 
     def order(self) -> list[Column]:
         """Sort keys in the total order of scalars; integers beyond 2**53 are told apart."""
-        return [self.tag, F.when(self.tag == NUMBER, self.number), *([self.exact] if self.exact is not None else []), F.when(self.tag == STRING, self.text)]
+        return [self.tag, F.when(self.tag == NUMBER, self.number), *([self.large()] if self.exact is not None else []), F.when(self.tag == STRING, self.text)]
+
+    def large(self) -> Column:
+        """Numbers whose doubles may stand for several integers, as decimals."""
+        return F.when(F.abs(self.number) >= float(1 << 53), F.coalesce(self.exact.cast(EXACT), self.number.try_cast(EXACT)))
 
     def deep(self, operand: object) -> Column:
         raise NotImplementedError

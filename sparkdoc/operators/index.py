@@ -37,7 +37,7 @@ def entries(collection: DataFrame, spec: IndexSpec) -> DataFrame:
     """(tag, number, exact, text, key, expires_at_ms) of every scalar at the field; arrays, objects, missing and invalid values have none."""
     ref = resolve(F.col("value"), collection.schema["value"].dataType, spec.field)
     expires = F.col("expires_at_ms") if "expires_at_ms" in collection.columns else F.lit(None).cast("long")
-    exact = ref.exact.cast("decimal(38,0)") if ref.exact is not None else F.lit(None).cast("decimal(38,0)")
+    exact = ref.large() if ref.exact is not None else F.lit(None).cast("decimal(38,0)")
     rows = collection.where(F.col("key").startswith(spec.prefix) & ref.scalar())
     return rows.select(ref.tag.alias("tag"), ref.number.alias("number"), exact.alias("exact"), ref.text.alias("text"), "key", expires.alias("expires_at_ms"))
 

@@ -6,7 +6,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .errors import StoreError
 from .operators import state as st
@@ -14,7 +13,7 @@ from .operators.writes import RETENTION_MS, check_batch, fingerprint
 from .plans.query import KeyRange, Query
 from .streaming import feed as streaming
 
-_SCHEMA = T.StructType.fromDDL(st.LOG + ", op int, fingerprint string")
+_SCHEMA = st.LOG + ", op int, fingerprint string"
 
 
 class Store:
