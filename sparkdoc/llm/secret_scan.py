@@ -68,9 +68,9 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def credentials(text: str) -> list[tuple[int, str]]:
-    """(kind, credential) of each base span; of an assignment its value."""
-    return [(k, ASSIGN.match(text, a)[2] if k == 0 else text[a:b]) for a, k, b in base_spans(text)]
+def credential(text: str, start: int, kind: int, end: int) -> str:
+    """What a base span holds; of an assignment its value."""
+    return ASSIGN.match(text, start)[2] if kind == 0 else text[start:end]
 
 
 @dataclass
@@ -223,8 +223,10 @@ def train(docs: DataFrame, max_train: int = MAX_TRAIN, text_col: str = "text") -
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = sorted({x for text in batch.column(0).to_pylist() if text for x in credentials(text)})
-            pairs = class_pairs(batch.column(0))
+            spans = [(text, a, k, b) for text in batch.column(0).to_pylist() if text for a, k, b in base_spans(text)]
+            found = sorted({(k, credential(text, a, k, b)) for text, a, k, b in spans})
+            known = pa.array([text[a:b] for text, a, _, b in spans], pa.string())
+            pairs = np.maximum(class_pairs(batch.column(0)) - class_pairs(known), 0)  # the background has no credentials
             kinds = [*(k for k, _ in found), *(10 + i for i in range(36))]
             yield pa.record_batch([pa.array(kinds, pa.int32()), pa.array([*(w for _, w in found), *[None] * 36], pa.string()), pa.array([*[1] * len(found), *pairs.tolist()], pa.int64())], ["kind", "word", "n"])
 
