@@ -10,11 +10,14 @@ sets are found, or made redundant by links that join the same component:
 2. Two sets as similar as asked share a shingle among the first ``n - ceil(t n) + 1`` of each, in any one order of all
    shingles. The order is by cell frequency, then hash, so passages that many documents hold come last. The
    (shingle, node) rows are cut to the shingles that two nodes or more have: the buckets.
-3. Stars: in each bucket every node is paired with the bucket's least node, and these pairs are checked exactly. Large
-   groups of near copies become one component here, at one pair a node and bucket.
+3. Stars: every node is paired with the least of its buckets' least nodes, and these pairs are checked exactly. Large
+   groups of near copies become one component here, at one pair a node.
 4. R-trees: buckets that still hold two components or more are dealt out in blocks of at most about ``BLOCK`` nodes
    (a larger bucket is split and its blocks meet pairwise), and each is searched by a count-vector R-tree for pairs
-   of different components whose overlap bound suffices. They are checked exactly as well.
+   of different components whose overlap bound suffices. A finer count vector, of which only parities are kept, rules
+   out most of what passes falsely. The rest is checked exactly as well, in two rounds: first the ``NEAREST`` pairs of
+   each node with each other component, which join most of what belongs together, then all pairs that are still of
+   different components.
 5. Components of all links; a document's component is the least document id in it.
 
 Why the buckets: the bound alone separates points well but boxes badly, as a box of unrelated sets is wide in all 64
@@ -30,20 +33,23 @@ null id alone has a null component; other columns are ignored; an empty table gi
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import textkit
-from .common import checkpointed, session_conf
+from .common import checkpointed, discard, session_conf
 from .components import components
-from .rtree import GROUPS, RTree, count_vector, reaches
+from .rtree import RTree, apart, best_of, may_reach, point_bytes, reaches, read_points
 
 SKETCH_BITS = 20
 BLOCK = 4096
+#: Pairs of a node with another component that are tried first.
+NEAREST = 4
 #: Buckets of up to so many nodes are one leaf.
 SMALL = 16
 _CHUNKS = 64
@@ -59,16 +65,17 @@ def _profile(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBat
     """A row for each document (cell null), and at the end the task's cell counts in chunks."""
     cells = np.zeros(1 << SKETCH_BITS, np.uint32)
     names = ["doc_id", "n", "node", "cell", "counts"]
-    kind = None
+    kind = None  # counts: a document's count vector, or the counts of a chunk of cells
     for batch in batches:
         kind = batch.column(0).type
-        n, node = [], []
+        n, node, point = [], [], []
         for tokens in textkit.shingle_sets(batch.column(1), k):
             n.append(len(tokens))
+            point.append(point_bytes(tokens))
             node.append(_fingerprint(tokens) if len(tokens) else None)
             np.add.at(cells, (tokens >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
         m = len(n)
-        yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names)
+        yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.nulls(m, pa.int32()), pa.array(point, pa.binary())], names)
     if kind is not None and cells.any():
         parts = cells.reshape(_CHUNKS, -1)
         yield pa.record_batch([pa.nulls(_CHUNKS, kind), pa.nulls(_CHUNKS, pa.int64()), pa.nulls(_CHUNKS, pa.int64()), pa.array(range(_CHUNKS), pa.int32()), pa.array([x.tobytes() for x in parts], pa.binary())], names)
@@ -124,10 +131,10 @@ def _prefixes(batches: Iterator[pa.RecordBatch], k: int, sketch, num: int, den:
 
 def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows: list[tuple[int, int, bytes, bytes]] = []
+        rows: list[tuple[int, bytes]] = []
         size = 0
         for s in textkit.shingle_sets(batch.column(0), k):
-            rows.append((_fingerprint(s), len(s), s.tobytes(), count_vector(s).tobytes()))
+            rows.append((_fingerprint(s), s.tobytes()))
             size += len(s)
             if size > 200_000:
                 yield _set_batch(rows)
@@ -137,8 +144,20 @@ def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]
 
 
 def _set_batch(rows: list) -> pa.RecordBatch:
-    node, n, tokens, counts = zip(*rows, strict=True)
-    return pa.record_batch([pa.array(node, pa.int64()), pa.array(n, pa.int64()), pa.array(tokens, pa.binary()), pa.array(counts, pa.binary())], ["node", "n", "tokens", "counts"])
+    node, tokens = zip(*rows, strict=True)
+    return pa.record_batch([pa.array(node, pa.int64()), pa.array(tokens, pa.binary())], ["node", "tokens"])
+
+
+def _bounded(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
+    """The pairs (a, b, n_a, n_b, counts_a, counts_b) whose overlap bounds suffice."""
+    for batch in batches:
+        m = batch.num_rows
+        n = np.concatenate([batch.column(i).to_numpy() for i in (2, 3)])
+        vectors, parities = read_points([*batch.column(4).to_pylist(), *batch.column(5).to_pylist()], n)
+        keep = reaches(np.minimum(vectors[:m], vectors[m:]).sum(1), n[:m], n[m:], num, den)
+        at = np.flatnonzero(keep)
+        keep[at] = may_reach(apart(at, at + m, parities), n[at], n[at + m], num, den)
+        yield batch.select([0, 1]).filter(pa.array(keep))
 
 
 def _checked(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
@@ -169,13 +188,17 @@ def _small(tokens: np.ndarray, vectors: np.ndarray, n: np.ndarray, labels: np.nd
             yield c[ok], c[ok] + d
 
 
-def _searched(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
-    """Input sorted by (bucket, block a, block b). Yields candidate pairs of each block pair, from its R-tree."""
+def _searched(batches: Iterator[pa.RecordBatch], num: int, den: int, most: int | None) -> Iterator[pa.RecordBatch]:
+    """Input sorted by (bucket, block a, block b). Yields candidate pairs of each block pair, from its R-tree.
+
+    With ``most``, of a node's pairs with one component only so many nearest ones come, and a pair of nulls says that
+    there are more.
+    """
 
     def search(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
         token, a, b, own, node, label, n = (table.column(i).to_numpy(zero_copy_only=False) for i in range(7))
-        vectors = np.frombuffer(b"".join(table.column(7).to_pylist()), np.int32).reshape(-1, GROUPS)
+        vectors, parities = read_points(table.column(7).to_pylist(), n)
         start = np.flatnonzero(np.concatenate([[True], (token[1:] != token[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
         length = np.diff([*start, len(token)])
         small = np.repeat((length <= SMALL) & (a[start] == b[start]), length)
@@ -190,12 +213,23 @@ def _searched(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator
             if len(left) and len(right):
                 tree = RTree(vectors[right], n[right], label[right])
                 for x, y in tree.pairs(vectors[left], n[left], label[left], num, den):
-                    found.append((left[x], right[y]))
+                    x, y = left[x], right[y]
+                    ok = node[x] < node[y] if a[s] == b[s] else np.ones(len(x), bool)
+                    found.append((x[ok], y[ok]))
         if found:
             x, y = (np.concatenate([f[i] for f in found]) for i in (0, 1))
+            differ = apart(x, y, parities)
+            ok = may_reach(differ, n[x], n[y], num, den)
+            x, y, differ = x[ok], y[ok], differ[ok]
+            more = False
+            if most is not None and len(x):
+                ok = best_of(x, label[y], differ, most) & best_of(y, label[x], differ, most)
+                more = not ok.all()
+                x, y = x[ok], y[ok]
             pairs = np.unique(np.stack([np.minimum(node[x], node[y]), np.maximum(node[x], node[y])], 1), axis=0)
             pairs = pairs[pairs[:, 0] < pairs[:, 1]]
-            yield pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+            both = [pa.array([*pairs[:, i].tolist(), *[None] * more], pa.int64()) for i in (0, 1)]
+            yield pa.record_batch(both, ["a", "b"])
 
     held: list[pa.RecordBatch] = []
     last = None
@@ -219,11 +253,18 @@ def _searched(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator
         yield from search(held)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    one = sets.select(F.col("node").alias("b"), F.col("tokens").alias("tokens_b"))
-    two = sets.select(F.col("node").alias("a"), F.col("tokens").alias("tokens_a"))
-    with session_conf(pairs.sparkSession, spark__sql__execution__arrow__maxRecordsPerBatch=128):
-        return checkpointed(pairs.join(one, "b").join(two, "a").select("a", "b", "tokens_a", "tokens_b").mapInArrow(partial(_checked, num=num, den=den), "a bigint, b bigint"))
+def _verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, num: int, den: int, k: int) -> DataFrame:
+    """The pairs (a, b) that are as similar as asked. ``nodes``: node, doc_id of a row that has the set."""
+    need = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    owners = nodes.join(need, "node").select("doc_id").distinct()
+    texts = rows.join(owners, "doc_id", "left_semi").select("text").unionByName(rows.where("doc_id is null").select("text"))
+    with session_conf(rows.sparkSession, spark__sql__execution__arrow__maxRecordsPerBatch=128):
+        sets = checkpointed(texts.mapInArrow(partial(_sets, k=k), "node bigint, tokens binary").join(need, "node", "left_semi").dropDuplicates(["node"]))
+        one = sets.select(F.col("node").alias("b"), F.col("tokens").alias("tokens_b"))
+        two = sets.select(F.col("node").alias("a"), F.col("tokens").alias("tokens_a"))
+        out = checkpointed(pairs.join(one, "b").join(two, "a").select("a", "b", "tokens_a", "tokens_b").mapInArrow(partial(_checked, num=num, den=den), "a bigint, b bigint"))
+    discard(sets)
+    return out
 
 
 def links(docs: DataFrame, num: int = 80, den: int = 100, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -233,31 +274,49 @@ def links(docs: DataFrame, num: int = 80, den: int = 100, k: int = 5, id_col: st
     both = checkpointed(rows.mapInArrow(partial(_profile, k=k), f"doc_id {kind}, n bigint, node bigint, cell int, counts binary"))
     sketch = docs.sparkSession.sparkContext.broadcast(sketch_of(both))
     profile = both.where("cell is null").select("doc_id", "n", "node")
+    nodes = both.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("counts").alias("counts"))
 
     keyed = rows.select("text").mapInArrow(partial(_prefixes, k=k, sketch=sketch, num=num, den=den), "token bigint, node bigint")
     shared = keyed.groupBy("token").agg(F.min("node").alias("center"), F.max("node").alias("last")).where(F.col("center") < F.col("last")).select("token", "center")
-    buckets = checkpointed(keyed.join(shared, "token").select("token", "node", "center").distinct())
-
-    # one text of each node in a bucket
-    need = buckets.select("node").distinct()
-    owners = profile.join(need, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
-    texts = rows.join(owners, "doc_id", "left_semi").select("text").unionByName(rows.where("doc_id is null").select("text"))
-    sets = checkpointed(texts.mapInArrow(partial(_sets, k=k), "node bigint, n bigint, tokens binary, counts binary").join(need, "node", "left_semi").dropDuplicates(["node"]))
-
-    stars = buckets.where(F.col("node") != F.col("center")).select(F.col("center").alias("a"), F.col("node").alias("b")).distinct()
-    first = _verified(stars, sets, num, den)
+    # a bucket's name is a hash of its nodes; all of these steps keep the partitioning by token
+    per = Window.partitionBy("token")
+    name = F.xxhash64(F.count(F.lit(1)).over(per), F.sum(F.shiftright(F.xxhash64("node"), 8)).over(per), F.max("node").over(per))
+    every = checkpointed(keyed.join(shared, "token").distinct().select("token", "node", "center", name.alias("name")))
+    # buckets with the same nodes are one
+    one = every.groupBy("name").agg(F.min("token").alias("token"))
+    buckets = checkpointed(every.join(one, ["name", "token"], "left_semi").select("token", "node", "center"))
+    discard(every)
+
+    # each node with the least of its buckets' centers
+    stars = buckets.groupBy("node").agg(F.min("center").alias("a")).where("a != node").withColumnRenamed("node", "b")
+    point = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("counts").alias(f"counts_{x}"))
+    ratio = (den * F.least("n_a", "n_b") >= num * F.greatest("n_a", "n_b"))
+    near = checkpointed(stars.join(point("b"), "b").join(point("a"), "a").where(ratio).select("a", "b", "n_a", "n_b", "counts_a", "counts_b").mapInArrow(partial(_bounded, num=num, den=den), "a bigint, b bigint"))
+    first = _verified(near, nodes, rows, num, den, k)
     label = components(first)
 
-    known = buckets.join(label, "node", "left").select("token", "node", F.coalesce("component", "node").alias("label"))
-    open_ = known.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("m")).where(F.col("lo") < F.col("hi"))
-    open_ = open_.select("token", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-    mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    dealt = (known.join(open_, "token").withColumn("own", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-             .select("token", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "node", "label")
-             .join(sets.select("node", "n", "counts"), "node").select("token", "x", "y", "own", "node", "label", "n", "counts"))
-    found = dealt.repartition("token", "x", "y").sortWithinPartitions("token", "x", "y").mapInArrow(partial(_searched, num=num, den=den), "a bigint, b bigint")
-    second = _verified(found.distinct(), sets, num, den)
-    return profile, first.unionByName(second)
+    # nearest pairs of different components first: most components meet by these, and the last round has little left
+    edges, tried = [first], near
+    for most in (NEAREST, None):
+        known = checkpointed(buckets.join(label, "node", "left").select("token", "node", F.coalesce("component", "node").alias("label")))
+        open_ = known.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("m")).where(F.col("lo") < F.col("hi"))
+        open_ = open_.select("token", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+        mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+        dealt = (known.join(open_, "token").withColumn("own", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+                 .select("token", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "node", "label")
+                 .join(nodes.select("node", "n", "counts"), "node").select("token", "x", "y", "own", "node", "label", "n", "counts"))
+        found = dealt.repartition("token", "x", "y").sortWithinPartitions("token", "x", "y").mapInArrow(partial(_searched, num=num, den=den, most=most), "a bigint, b bigint")
+        found = checkpointed(found.distinct().join(tried, ["a", "b"], "left_anti"))
+        discard(known)
+        fresh = found.where("a is not null")
+        if not fresh.isEmpty():
+            edges.append(_verified(fresh, nodes, rows, num, den, k))
+        if most is None or found.where("a is null").isEmpty():
+            break
+        tried = tried.unionByName(fresh)
+        label = components(reduce(DataFrame.unionByName, edges))
+    discard(buckets)
+    return profile, reduce(DataFrame.unionByName, edges)
 
 
 def jaccard_components(docs: DataFrame, num: int = 80, den: int = 100, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -270,3 +329,22 @@ def jaccard_components(docs: DataFrame, num: int = 80, den: int = 100, k: int =
     of = named.join(least, "component").select("node", "component_id")
     out = profile.join(of, "node", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), "node", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def _with_node(batches: Iterator[pa.RecordBatch], at: int, k: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        node = [_fingerprint(s) if len(s) else None for s in textkit.shingle_sets(batch.column(at), k)]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(node, pa.int64())], [*batch.schema.names, "_node"])
+
+
+def deduplicated(docs: DataFrame, num: int = 80, den: int = 100, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one document of each component: that of the least id (then set, then text). Documents without words all stay."""
+    profile, edges = links(docs, num, den, k, id_col, text_col)
+    own = profile.where("node is not null").select("doc_id", "node").distinct().join(components(edges), "node", "left")
+    best = own.groupBy(F.coalesce("component", "node").alias("component")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("m"))
+    keep = best.select(F.xxhash64("m.doc_id", "m.node").alias("_key"))
+    schema = T.StructType([*docs.schema.fields, T.StructField("_node", T.LongType())])
+    marked = docs.mapInArrow(partial(_with_node, at=docs.columns.index(text_col), k=k), schema).withColumn("_key", F.xxhash64(id_col, "_node"))
+    first = Window.partitionBy("_key").orderBy(text_col)
+    one = marked.where("_node is not null").join(keep, "_key", "left_semi").withColumn("_at", F.row_number().over(first)).where("_at = 1")
+    return one.select(docs.columns).unionByName(marked.where("_node is null").select(docs.columns))

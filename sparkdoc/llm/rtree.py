@@ -21,6 +21,64 @@ def count_vector(tokens: np.ndarray) -> np.ndarray:
     return np.bincount((tokens >> np.uint64(58)).astype(np.int64), minlength=GROUPS).astype(np.int32)
 
 
+def point_bytes(tokens: np.ndarray) -> bytes:
+    """A set's count vector, and behind it the parities of a finer one: as many groups as the next power of two above twice the set's size (2**8 to 2**17)."""
+    bits = 1 << min(17, max(8, int(2 * len(tokens)).bit_length()))
+    fine = np.bincount((tokens & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return count_vector(tokens).astype(np.uint16 if len(tokens) < 1 << 16 else np.int32).tobytes() + np.packbits(fine.astype(np.uint8)).tobytes()
+
+
+def read_points(raw: list[bytes], sizes: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(count vectors, parities) of ``point_bytes``."""
+    vectors, parities = np.empty((len(raw), GROUPS), np.int32), []
+    for i, x in enumerate(raw):
+        kind = np.dtype(np.uint16 if sizes[i] < 1 << 16 else np.int32)
+        vectors[i] = np.frombuffer(x, kind, GROUPS)
+        parities.append(np.frombuffer(x, np.uint8, offset=GROUPS * kind.itemsize))
+    return vectors, parities
+
+
+def apart(a: np.ndarray, b: np.ndarray, parities: list[np.ndarray]) -> np.ndarray:
+    """Least number of tokens that only one of two sets has: as many as their finer groups' parities differ in; for index pairs."""
+    out = np.zeros(len(a), np.int64)
+    width = np.array([len(x) for x in parities], np.int64)
+    # token bits are the low ones of a hash, so a set's parities at fewer groups fold out of those at more
+    narrow = np.minimum(width[a], width[b])
+    for v in np.unique(narrow):
+        at = np.flatnonzero(narrow == v)
+        for i in range(0, len(at), 4096):
+            part = at[i : i + 4096]
+            x, y = (np.stack([_folded(parities[j], v) for j in side[part]]) for side in (a, b))
+            out[part] = _ONES[x ^ y].sum(1, dtype=np.int64)
+    return out
+
+
+def may_reach(differ: np.ndarray, p: np.ndarray, q: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Whether sets of sizes p and q that differ in ``differ`` tokens at least may reach num / den."""
+    p, q = p.astype(np.int64), q.astype(np.int64)
+    return (num + den) * (p + q - differ) >= 2 * num * (p + q)
+
+
+def best_of(x: np.ndarray, group: np.ndarray, distance: np.ndarray, most: int) -> np.ndarray:
+    """Mask of the ``most`` nearest pairs of each (x, group); of equal ones the earlier."""
+    order = np.lexsort((np.arange(len(x)), distance, group, x))
+    new = np.ones(len(x), bool)
+    new[1:] = (x[order][1:] != x[order][:-1]) | (group[order][1:] != group[order][:-1])
+    begin = np.flatnonzero(new)
+    out = np.zeros(len(x), bool)
+    out[order] = np.arange(len(x)) - np.repeat(begin, np.diff([*begin, len(x)])) < most
+    return out
+
+
+_ONES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
+
+
+def _folded(x: np.ndarray, width: int) -> np.ndarray:
+    while len(x) > width:
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return x
+
+
 class RTree:
     """Points in the order of (size, vector); level 0 boxes hold ``LEAF`` points, each further level ``FAN`` boxes."""
 
