@@ -55,6 +55,11 @@ def served(rows: DataFrame, serving: DataFrame, partition: str = "partition") ->
     return rows.join(serving.select(partition).distinct(), partition, "left_semi")
 
 
+def metadata(records: DataFrame, prefix: str = "") -> DataFrame:
+    """Named internal records with a prefix, in name order; they are kept apart from data and no scan shows them."""
+    return records.where(F.col("name").startswith(prefix)).orderBy("name")
+
+
 def merge_layers(*layers: DataFrame) -> DataFrame:
     """The newest row of each key over several logs."""
     from functools import reduce

@@ -187,6 +187,18 @@ def lww_conflicts(log: DataFrame) -> DataFrame:
     return lost.unionByName(over)
 
 
+def reconcile(log: DataFrame, pending: DataFrame, most: int = 256) -> DataFrame:
+    """Log rows of one pass over accepted writes: the ``most`` first by (timestamp, id) that the log doesn't have, with the next idx.
+
+    A pass is that small by design, so that its numbering is one short sort; passes are repeated until none is left.
+    """
+    fresh = pending.join(log.select("mutation_id").distinct(), "mutation_id", "left_anti").dropDuplicates(["mutation_id", "key"])
+    first = fresh.orderBy("timestamp_ms", "mutation_id", "key").limit(most)
+    last = log.agg(F.max("idx")).first()[0] or 0
+    numbered = first.withColumn("idx", F.row_number().over(Window.orderBy("timestamp_ms", "mutation_id", "key")) + F.lit(last))
+    return numbered.withColumn("strict", F.lit(False))
+
+
 def list_conflicts(conflicts: DataFrame, prefix: str = "", limit: int = 100) -> DataFrame:
     return conflicts.where(F.col("key").startswith(prefix)).orderBy("key", "mutation_id").limit(limit)
 

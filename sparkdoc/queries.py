@@ -175,6 +175,22 @@ _add("cas_fold", cas_fold, f"""WITH RECURSIVE l AS (SELECT key, seq, kind, seq %
   SELECT l.key, l.n, CASE WHEN l.absent AND f.live THEN f.live ELSE l.kind = 'put' END, f.applied + CASE WHEN l.absent AND f.live THEN 0 ELSE 1 END, f.failed + CASE WHEN l.absent AND f.live THEN 1 ELSE 0 END FROM f JOIN l ON l.key = f.key AND l.n = f.n + 1)
   SELECT key AS "group", max(applied)::bigint AS applied, max(failed)::bigint AS failed, max(applied)::bigint AS version FROM f GROUP BY key""")
 
+
+
+def reconcile_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = lww_log(spark, sf_dir)
+    return writes.reconcile(log.where("idx <= 300"), log.where("idx > 100").drop("idx", "strict"), 256).select("idx", "key", "mutation_id")
+
+
+_add("reconcile_pass", reconcile_pass, f"""SELECT 300 + row_number() OVER (ORDER BY timestamp_ms, mutation_id) AS idx, key, mutation_id FROM
+  (SELECT key, mutation_id, timestamp_ms + (seq * 7919 % 13 - 6) * 3600000 AS timestamp_ms FROM {_LOG} WHERE seq > 300 ORDER BY timestamp_ms, mutation_id LIMIT 256)""")
+_add("hybrid_timestamps", lambda s, d: lww_log(s, d).groupBy("key").agg(F.max("timestamp_ms").alias("seen")).select("key", writes.hybrid_timestamp(F.lit(NOW_MS), F.col("seen")).alias("timestamp_ms")),
+     f"SELECT key, greatest({NOW_MS}, max(timestamp_ms + (seq * 7919 % 13 - 6) * 3600000) + 1) AS timestamp_ms FROM {_LOG} GROUP BY key")
+_add("merge_layers", lambda s, d: state.merge_layers(*[c.event_log(s, d).where(F.col("seq") % 3 == i) for i in range(3)]).select("key", "seq", "kind"), f"SELECT key, seq, kind FROM {_LATEST}")
+_add("served_partitions", lambda s, d: state.served(c.orders(s, d).select("key", F.col("value.status").alias("partition")), s.createDataFrame([("F",), ("P",)], "partition string")).select("key"), f"SELECT key FROM {_ORDERS} WHERE status IN ('F', 'P')")
+_add("index_updated", lambda s, d: ix.updated(ix.entries(c.orders(s, d), _STATUS), c.orders(s, d).where("key < 'orders/0000000100'"), c.orders(s, d).where("key < 'orders/0000000100'").withColumn("value", F.col("value").withField("status", F.lit("Z"))), _STATUS).groupBy("text").agg(F.count(F.lit(1)).alias("n")),
+     f"SELECT CASE WHEN key < 'orders/0000000100' THEN 'Z' ELSE status END AS text, count(*) AS n FROM {_ORDERS} GROUP BY 1")
+
 # placement
 _NODES = [("n1", "a"), ("n2", "a"), ("n3", "b"), ("n4", "b"), ("n5", "c")]
 _nodes = lambda s, n=5: s.createDataFrame(_NODES[:n], "node string, zone string")
