@@ -280,7 +280,7 @@ def links(docs: DataFrame, num: int = 80, den: int = 100, k: int = 5, id_col: st
     shared = keyed.groupBy("token").agg(F.min("node").alias("center"), F.max("node").alias("last")).where(F.col("center") < F.col("last")).select("token", "center")
     # a bucket's name is a hash of its nodes; all of these steps keep the partitioning by token
     per = Window.partitionBy("token")
-    name = F.xxhash64(F.count(F.lit(1)).over(per), F.sum(F.shiftright(F.xxhash64("node"), 8)).over(per), F.max("node").over(per))
+    name = F.xxhash64(F.count(F.lit(1)).over(per), F.sum(F.shiftright(F.xxhash64("node"), 24)).over(per), F.max("node").over(per))
     every = checkpointed(keyed.join(shared, "token").distinct().select("token", "node", "center", name.alias("name")))
     # buckets with the same nodes are one
     one = every.groupBy("name").agg(F.min("token").alias("token"))
