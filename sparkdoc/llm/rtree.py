@@ -22,8 +22,8 @@ def count_vector(tokens: np.ndarray) -> np.ndarray:
 
 
 def point_bytes(tokens: np.ndarray) -> bytes:
-    """A set's count vector, and behind it the parities of a finer one: as many groups as the next power of two above twice the set's size (2**8 to 2**17)."""
-    bits = 1 << min(17, max(8, int(2 * len(tokens)).bit_length()))
+    """A set's count vector, and behind it the parities of a finer one: as many groups as the next power of two above 16 times the set's size (2**8 to 2**17)."""
+    bits = 1 << min(17, max(8, (16 * len(tokens)).bit_length()))
     fine = np.bincount((tokens & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return count_vector(tokens).astype(np.uint16 if len(tokens) < 1 << 16 else np.int32).tobytes() + np.packbits(fine.astype(np.uint8)).tobytes()
 
@@ -46,8 +46,8 @@ def apart(a: np.ndarray, b: np.ndarray, parities: list[np.ndarray]) -> np.ndarra
     narrow = np.minimum(width[a], width[b])
     for v in np.unique(narrow):
         at = np.flatnonzero(narrow == v)
-        for i in range(0, len(at), 4096):
-            part = at[i : i + 4096]
+        for i in range(0, len(at), 2048):
+            part = at[i : i + 2048]
             x, y = (np.stack([_folded(parities[j], v) for j in side[part]]) for side in (a, b))
             out[part] = _ONES[x ^ y].sum(1, dtype=np.int64)
     return out
