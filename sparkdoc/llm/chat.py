@@ -154,7 +154,7 @@ def train(conversations: DataFrame, max_train: int = MAX_TRAIN) -> Model:
     rows = conversations.where(F.col("role").isin(*ROLES) & F.col("conv_id").isNotNull())
     some = rows.select("conv_id").distinct().orderBy(F.xxhash64("conv_id", F.lit("train")), "conv_id").limit(max_train)
     # of each at most its first 64 turns, so that the sample is bounded also where one conversation is long
-    sample = rows.join(some, "conv_id").where("turn < 64").select("conv_id", "turn", "role", F.substring("text", 1, 4000).alias("text")).distinct().orderBy(F.xxhash64("conv_id"), "conv_id", "turn", "role", "text").limit(64 * max_train)
+    sample = rows.join(F.broadcast(some), "conv_id").where("turn < 64").select("conv_id", "turn", "role", F.substring("text", 1, 4000).alias("text")).distinct().orderBy(F.xxhash64("conv_id"), "conv_id", "turn", "role", "text").limit(64 * max_train)
     by: dict = {}
     for r in sample.collect():
         by.setdefault(r.conv_id, []).append((r.role, r.text))
