@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from ..errors import ArgumentError, SortUnavailable
 from ..functions.aggregates import Aggregates, expressions, parse_aggregates, shaped
-from ..functions.filters import COMPARE, compile_filter, parse, top_level
+from ..functions.filters import compile_filter, parse, top_level
 from ..functions.paths import Ref, resolve
 from ..functions.project import parse_fields, projected
 from ..functions.sort import Sort, after_cursor, encode_cursor, order_by, parse_sort
@@ -204,4 +204,4 @@ def merge_pages(parts: list[tuple[list[dict], str | None]], limit: int) -> tuple
     return (rows[:limit], rows[limit]["key"]) if len(rows) > limit else (rows, cut)
 
 
-__all__ = ["COMPARE", "KeyRange", "Query", "QuerySpec", "merge_pages", "prefix_end"]
+__all__ = ["KeyRange", "Query", "QuerySpec", "merge_pages", "prefix_end"]
