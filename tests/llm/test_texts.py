@@ -6,7 +6,6 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
-from pyspark.sql import functions as F
 
 from sparkdoc.llm import chat, decontaminate, passages, pieces, quality, secret_scan, textkit
 
