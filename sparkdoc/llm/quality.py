@@ -204,7 +204,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Tre
     """Trees fitted on labelled documents; None without both classes. ``labels``: doc_id, quality (0 or 1)."""
     known = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     known = known.orderBy(F.xxhash64("doc_id", F.lit("train")), "doc_id").limit(max_train)
-    rows = docs.select("doc_id", "text").join(known, "doc_id")
+    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")  # at most max_train rows
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
