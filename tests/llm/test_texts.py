@@ -258,6 +258,31 @@ def test_exact_repeats_are_found(spark):
     assert passages.repeated_passages(documents(spark, [])).count() == 0
 
 
+def test_exact_repeats_are_found_beside_a_third_text(spark):
+    """A = X Y, B = X Y Z, C = Y Z in every order of ids, and a passage at a center's second place: each repeat has a pair that holds it."""
+    r = random.Random(21)
+    text = lambda n: [f"q{r.randrange(10**9)}" for _ in range(n)]
+    rows = []
+    for g in range(60):
+        x, y, z, line = text(60), text(r.choice([12, 20, 30])), text(r.choice([25, 40])), text(12)
+        made = [x + y, text(20) + x + y + z + text(20), text(20) + y + z + text(20)]
+        shared = text(20) + line + text(20)
+        made += [line + text(60) + shared, text(30) + shared + text(30), text(20) + line + text(40)]
+        rows += [(10 * g + i, " ".join(w)) for i, w in enumerate(r.sample(made, len(made)))]
+    got = passages.repeated_passages(documents(spark, rows)).collect()
+    cover = {}
+    for p in got:
+        for d, a, n in ((p.doc_id, p.start_word, p.n_words), (p.rep_doc_id, p.rep_start_word, p.rep_n_words)):
+            cover.setdefault(d, []).append((a, a + n))
+    runs = {}
+    for d, t in rows:
+        w = t.split()
+        for i in range(len(w) - 49):
+            runs.setdefault(tuple(w[i : i + 50]), []).append((d, i))
+    lost = [(d, i) for places in runs.values() if len({d for d, _ in places}) > 1 for d, i in places if not any(a <= i and i + 50 <= b for a, b in cover.get(d, ()))]
+    assert not lost, lost[:5]
+
+
 # ---- chat
 def test_roles_are_recovered(spark):
     r = random.Random(6)
