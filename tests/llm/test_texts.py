@@ -283,6 +283,23 @@ def test_exact_repeats_are_found_beside_a_third_text(spark):
     assert not lost, lost[:5]
 
 
+def test_near_repeats_are_found_for_certain(spark):
+    """Fifty words with the middle one changed, alone and beside third texts that have a part of them."""
+    r = random.Random(22)
+    text = lambda n: [f"q{r.randrange(10**9)}" for _ in range(n)]
+    rows = []
+    for g in range(200):
+        p = text(50)
+        q = [*p[:25], "changed", *p[26:]]
+        made = [text(15) + p + text(15), text(15) + q + text(15)]
+        if g % 2:  # parts of the passage that are too short for a pair
+            made += [text(30) + p[a : a + 18] + text(30) for a in (0, 7, 26, 32)]
+        rows += [(10 * g + i, " ".join(w)) for i, w in enumerate(made if g % 4 < 2 else made[::-1])]
+    got = {frozenset((x.doc_id, x.rep_doc_id)) for x in passages.repeated_passages(documents(spark, rows)).collect()}
+    want = {frozenset((10 * g, 10 * g + 1)) if g % 4 < 2 else frozenset((10 * g + n, 10 * g + n + 1)) for g in range(200) for n in [4 if g % 2 else 0]}
+    assert got == want
+
+
 # ---- chat
 def test_roles_are_recovered(spark):
     r = random.Random(6)
