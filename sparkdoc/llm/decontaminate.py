@@ -1,7 +1,9 @@
 """Benchmark decontamination with SimHash windows of each item's own size.
 
 Items and documents are read as shingles of ``k`` words (A-Z lower-cased); an item of fewer words is one shingle, its
-whole sequence, and is looked for as such. For an item of m shingles each run of m shingles of a document is a window.
+whole sequence, and is looked for as such. For an item of m shingles each run of m shingles of a document is a window;
+a document of fewer is one window as a whole, which is compared exactly (shared over m + n - shared) with the items that
+its shingles name.
 
 1. A window without any shingle of a benchmark item of its size has similarity 0 and is left out.
 2. The others get a 64-bit SimHash over their shingles, with multiplicity, by differences of running sums.
@@ -11,7 +13,8 @@ whole sequence, and is looked for as such. For an item of m shingles each run of
 4. Candidates are verified exactly: sum of smaller over sum of larger shingle multiplicities, 0.8 or more.
 
 A window that is similar enough differs from its item in at most a ninth of its shingles, so its fingerprint is near
-10 bits away with a standard deviation of 3; radius 22 leaves four deviations.
+10 bits away with a standard deviation of 3; radius 22 leaves four deviations. An item that repeats shingles can lose
+much of its fingerprint with one of them, so its radius is four deviations with its heaviest ninth lost.
 
 The benchmark is read in blocks of at most ``BLOCK_WORDS`` words; each block's index is sent to the tasks, which pass
 over all documents once a block. So what is sent is bounded whatever the benchmark's size.
@@ -54,18 +57,44 @@ def _cover(starts: np.ndarray, m: int, n: int) -> np.ndarray:
     return np.cumsum(step[:-1]) > 0
 
 
+def radius_of(weights: np.ndarray, least: int) -> int:
+    """The radius for an item with these shingle multiplicities: a ninth of it, the heaviest shingles, gone and as much variance come."""
+    w = np.sort(weights.astype(float))[::-1]
+    total, room = (w * w).sum(), max(1, w.sum() // 9)
+    if w[0] == 1:
+        return least
+    lost = 0.0
+    for x in w:
+        if room <= 0:
+            break
+        x = min(x, room)  # of a shingle a part can go
+        room -= x
+        lost += x * x
+    # the sums before and after: the part that both have is at least what is left of the weights
+    p = np.arccos(np.clip((total - lost) / total, 0, 1)) / np.pi
+    return min(64, max(least, int(np.ceil(64 * p + 4 * np.sqrt(64 * p * (1 - p))))))
+
+
 class Size:
     """The items of m shingles: their fingerprints and block tables."""
 
     def __init__(self, m: int, items: list[int], tokens: list[np.ndarray], radius: int) -> None:
         self.m, self.items, self.tokens = m, items, tokens
         self.prints = np.concatenate([simhashes(t, np.array([0]), m) for t in tokens])
-        near = radius // 8
+        self.sorted = [np.unique(t, return_counts=True) for t in tokens]
+        self.radius = np.array([radius_of(n, radius) for _, n in self.sorted])
+        near = self.radius // 8
         values = np.arange(256, dtype=np.uint8)
         self.tables = np.stack([_BITS[values[:, None] ^ self.prints[None, :, b]] <= near for b in range(8)])
         self.shingles = np.unique(np.concatenate(tokens))
-        self.radius = radius
-        self.sorted = [np.unique(t, return_counts=True) for t in tokens]
+        names = np.concatenate([x for x, _ in self.sorted])
+        order = np.argsort(names, kind="stable")
+        self.names, self.holders = names[order], np.repeat(np.arange(len(tokens)), [len(x) for x, _ in self.sorted])[order]
+
+    def holding(self, window: np.ndarray) -> np.ndarray:
+        """Items with a shingle of the window."""
+        low, high = np.searchsorted(self.names, window), np.searchsorted(self.names, window, "right")
+        return np.unique(np.concatenate([self.holders[:0], *(self.holders[a:b] for a, b in zip(low.tolist(), high.tolist(), strict=True) if a < b)]))
 
     def candidates(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(window, item) within the radius."""
@@ -76,7 +105,7 @@ class Size:
             for b in range(1, 8):
                 hit = hit | self.tables[b][p[:, b]]
             w, i = np.nonzero(hit)
-            near = _BITS[p[w] ^ self.prints[i]].sum(1, dtype=np.int64) <= self.radius
+            near = _BITS[p[w] ^ self.prints[i]].sum(1, dtype=np.int64) <= self.radius[i]
             found = [np.concatenate([found[0], w[near] + s]), np.concatenate([found[1], i[near]])]
         return found[0], found[1]
 
@@ -85,7 +114,7 @@ class Size:
         own, n = np.unique(window, return_counts=True)
         at = np.minimum(np.searchsorted(names, own), len(names) - 1)
         shared = int(np.minimum(n, counts[at])[names[at] == own].sum())
-        return shared / (2 * self.m - shared)
+        return shared / (self.m + len(window) - shared)
 
 
 class Index:
@@ -143,6 +172,7 @@ class Index:
         at, own, m = seeds[mine], row[mine], size.m
         if not len(at):
             return
+        self._whole(size, grams, at, own, first, threshold, best)
         low, high = np.maximum(first[own], at - m + 1), np.minimum(at, first[own + 1] - self.k + 1 - m)
         count = np.maximum(high - low + 1, 0)
         starts = np.repeat(low, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
@@ -170,6 +200,19 @@ class Index:
                     entry[:3] = [s - int(first[key[0]]), m + self.k - 1, value]
 
 
+    def _whole(self, size: Size, grams: np.ndarray, at: np.ndarray, own: np.ndarray, first: np.ndarray, threshold: float, best: dict) -> None:
+        """Texts with fewer shingles than the items have: each is one window."""
+        rows, seen = np.unique(own, return_counts=True)
+        n = first[rows + 1] - first[rows] - self.k + 1
+        for j in np.flatnonzero((n < size.m) & (seen >= threshold * (size.m + n - seen) - 1e-9)):
+            start, count = int(first[rows[j]]), int(n[j])
+            window = grams[start : start + count]
+            for item in size.holding(window):
+                value = size.similarity(window, int(item))
+                if value >= threshold - 1e-12:
+                    best[int(rows[j]), size.items[item]] = [0, count + self.k - 1, value, 1]
+
+
 def indexes(benchmark: DataFrame, k: int = 5, radius: int = RADIUS, block_words: int = BLOCK_WORDS, id_col: str = "item_id", text_col: str = "text") -> Iterator[Index]:
     """One index for each block of the benchmark."""
     items = benchmark.select(F.col(id_col).alias("item"), F.col(text_col).alias("text")).where("text is not null")

@@ -189,6 +189,26 @@ def test_leaks_equal_brute_force(spark):
     assert decontaminate.leaks(docs, bench.limit(0)).count() == 0 and decontaminate.leaks(docs.limit(0), bench).count() == 0
 
 
+def test_shortened_items_and_repeated_shingles(spark):
+    items = [[f"d{i}w{j}" for j in range(n)] for i, n in enumerate([64, 40, 84])]
+    # 80 shingles once and one ten times: a ruler in the middle
+    ruled = [[f"r{i}a{j}" for j in range(40)] + [f"-{i}-"] * 14 + [f"r{i}b{j}" for j in range(40)] for i in range(40)]
+    rows = [(i, " ".join(w)) for i, w in enumerate([items[0][:30] + items[0][31:], items[0][:-1], items[0][6:], items[1][1:], items[1][:20] + items[1][24:], items[2][:20] + items[2][40:]])]
+    assert [len(t.split()) for _, t in rows] == [63, 63, 58, 39, 36, 64]
+    rows += [(100 + i, " ".join(w[:40] + [f"n{i}x{j}" for j in range(4)] + w[44:])) for i, w in enumerate(ruled)]
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)] + [(100 + i, " ".join(w)) for i, w in enumerate(ruled)], "item_id long, text string")
+
+    def jaccard(a, b):
+        x, y = (Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4)) for w in (a.split(), b.split()))
+        n = sum((x & y).values())
+        return n / (sum(x.values()) + sum(y.values()) - n)
+
+    said = {x.item_id: x.text for x in bench.collect()}
+    want = sorted((d, i) for d, t in rows for i, x in said.items() if jaccard(t, x) >= 0.8)
+    assert sorted((x.doc_id, x.item_id) for x in decontaminate.leaks(documents(spark, rows), bench).collect()) == want and len(want) > 40
+    assert sorted(x.doc_id for x in decontaminate.clean(documents(spark, rows), bench).collect()) == sorted({d for d, _ in rows} - {d for d, _ in want})
+
+
 # ---- passages
 def cartesian(v, least):
     out = []
