@@ -241,19 +241,18 @@ def _encoder(model: bytes) -> Encoder:
 
 
 def _digests(batch: pa.RecordBatch, encoder: Encoder) -> pa.RecordBatch:
-    counts, ids, texts = [], [], []
-    tail = f" {encoder.end}"
-    for said, decoded in encoder.parts(batch.column(1).to_pylist()):
-        counts.append(1 + (said.count(" ") + 1 if said else 0))
-        ids.append(hashlib.sha256((said + tail if said else tail[1:]).encode()).hexdigest())
-        texts.append(hashlib.sha256(decoded).hexdigest())
-    return pa.record_batch([batch.column(0), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(texts, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+    """The digests of what ``_spans`` gives: each text is normalised, aligned, projected and decoded from its ids."""
+    full = _spans(batch, encoder)
+    every, bounds = full.column(1).flatten().to_numpy(), full.column(1).offsets.to_numpy()
+    ids = [hashlib.sha256(" ".join(map(str, every[a:b].tolist())).encode()).hexdigest() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+    texts = [hashlib.sha256(x.encode()).hexdigest() for x in full.column(4).to_pylist()]
+    return pa.record_batch([batch.column(0), pa.array(np.diff(bounds).astype(np.int64)), pa.array(ids, pa.string()), pa.array(texts, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
 
 def _spans(batch: pa.RecordBatch, encoder: Encoder) -> pa.RecordBatch:
     found = [encoder.spans(x) for x in batch.column(1).to_pylist()]
-    column = lambda f, kind: pa.array([f(x) for x in found], pa.list_(kind))
-    return pa.record_batch([batch.column(0), column(lambda x: [*x[0], encoder.end], pa.int32()), column(lambda x: x[1][:, 0].tolist(), pa.int64()), column(lambda x: x[1][:, 1].tolist(), pa.int64()), pa.array([encoder.decode(x[0]) for x in found], pa.string())], ["doc_id", "ids", "starts", "ends", "decoded"])
+    column = lambda rows, kind: pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *rows]), kind))
+    return pa.record_batch([batch.column(0), column([[*x[0], encoder.end] for x in found], pa.int32()), column([x[1][:, 0] for x in found], pa.int64()), column([x[1][:, 1] for x in found], pa.int64()), pa.array([encoder.decode(x[0]) for x in found], pa.string())], ["doc_id", "ids", "starts", "ends", "decoded"])
 
 
 def _mapped(docs: DataFrame, model_path: str, make, schema: str, id_col: str, text_col: str) -> DataFrame:
@@ -276,5 +275,5 @@ def encoded(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col:
 
 
 def encoded_digests(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: n_tokens, ids_sha256 and decoded_sha256, without holding the ids of a batch."""
+    """Per document: n_tokens, ids_sha256 and decoded_sha256 of what ``encoded`` gives, without the ids themselves."""
     return _mapped(docs, model_path, _digests, "n_tokens bigint, ids_sha256 string, decoded_sha256 string", id_col, text_col)

@@ -46,6 +46,19 @@ def test_pieces_equal_the_library_and_spans_cover(spark):
     assert pieces.encoded_digests(documents(spark, []), P.path("piece_bpe_32k.model")).count() == 0
 
 
+def test_digests_come_from_aligned_and_decoded_pieces(monkeypatch):
+    with open(P.path("piece_bpe_32k.model"), "rb") as f:
+        encoder = pieces.Encoder(f.read())
+    texts = sample(7, 20)
+    projected, decoded = [], []
+    spans, decode = encoder.spans, encoder.decode
+    monkeypatch.setattr(encoder, "spans", lambda x: projected.append(x) or spans(x))
+    monkeypatch.setattr(encoder, "decode", lambda x: decoded.append(x) or decode(x))
+    got = pieces._digests(pa.record_batch([pa.array(range(len(texts))), pa.array(texts, pa.string())], ["doc_id", "text"]), encoder)
+    assert projected == texts and len(decoded) == len(texts)
+    assert got.column(3).to_pylist() == [hashlib.sha256(decode(x).encode()).hexdigest() for x in decoded]
+
+
 @pytest.mark.parametrize("rule", ["nmt_nfkc", "nfkc_cf", "identity"])
 def test_normaliser_equals_the_library(rule):
     import sentencepiece
