@@ -5,13 +5,13 @@ Host: after the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z lower-ca
 
 Templates. A host's paths are cut at ``/``. Each segment is first generalised by its form: numbers, hex strings, dates
 and the like become a wildcard of that form with their ending kept (``25.html`` to ``{n}.html``). Then the tree grows
-level by level for as many levels as the longest path has, in blocks of ``LEVELS`` at once: a node that has more than
-``fan_out`` different children generalises them all to ``{*}``. What is left is joined per node, so a node has at most
-``fan_out`` literal children, whatever the corpus holds.
+level by level for as many levels as the longest path has: a node that has more than ``fan_out`` different children
+generalises the rare ones to ``{*}``. A child with ``pages`` pages or ``labels`` labelled ones stays as it is, however
+many others there are.
 
 Merging: under one node, sibling templates at a path's end are put in order of their smoothed share of poor pages, and
-neighbours whose shares differ by less than ``z`` standard errors become one class. Siblings are few (see above), so
-the window that does it is small for every node.
+neighbours whose shares differ by less than ``z`` standard errors become one class. A node's siblings are its frequent
+children and, if it has few, its rare ones, so the window that does it is small against its pages.
 
 Verdict: a class whose share of poor labelled pages, smoothed by ``strength`` pages of the corpus's own share, is
 above ``reject`` blocks its urls, otherwise they are allowed. Rules come first: the longest rule that fits decides.
@@ -42,6 +42,8 @@ class Policy:
     strength: float = 20.0
     reject: float = 0.5
     z: float = 1.5
+    pages: int = 200
+    labels: int = 20
 
 
 def parts(url: Column) -> tuple[Column, Column]:
@@ -75,7 +77,7 @@ def generalised(segment: Column) -> Column:
             .otherwise(segment))
 
 
-def grown_tree(paths: DataFrame, fan_out: int) -> DataFrame:
+def grown_tree(paths: DataFrame, policy: Policy) -> DataFrame:
     """``paths`` (host, path, n, labelled, poor) with the template of each path.
 
     One pass a level: the paths' own number of segments is the loop's length, so no level is left out.
@@ -85,11 +87,13 @@ def grown_tree(paths: DataFrame, fan_out: int) -> DataFrame:
     tree = checkpointed(tree.groupBy("host", "segments", "template").agg(*(F.sum(c).alias(c) for c in ("n", "labelled", "poor"))).withColumn("form", F.array_join("segments", "/")))
     levels = tree.agg(F.max(F.size("segments"))).first()[0] or 0
     for level in range(1, levels):  # segment 0 is what stands before the first slash
-        here = tree.where(F.size("segments") > level).select("host", "template", F.col("segments")[level].alias("segment")).distinct()
-        wide = here.groupBy("host", "template").agg(F.count(F.lit(1)).alias("children")).where(F.col("children") > fan_out).select("host", "template", F.lit(True).alias("wide"))
-        tree = tree.join(wide, ["host", "template"], "left").select(
+        tree = tree.withColumn("segment", F.get("segments", F.lit(level)))
+        here = tree.where(F.size("segments") > level).groupBy("host", "template", "segment").agg(F.sum("n").alias("pages"), F.sum("labelled").alias("labels"))
+        wide = here.groupBy("host", "template").agg(F.count(F.lit(1)).alias("children")).where(F.col("children") > policy.fan_out).select("host", "template", F.lit(True).alias("wide"))
+        known = here.where((F.col("pages") >= policy.pages) | (F.col("labels") >= policy.labels)).select("host", "template", "segment", F.lit(True).alias("known"))
+        tree = tree.join(wide, ["host", "template"], "left").join(known, ["host", "template", "segment"], "left").select(
             "host", "form", "segments", "n", "labelled", "poor",
-            F.when(F.size("segments") <= level, F.col("template")).otherwise(F.concat("template", F.lit("/"), F.when(F.col("wide"), F.lit("{*}")).otherwise(F.get("segments", F.lit(level))))).alias("template"))
+            F.when(F.size("segments") <= level, F.col("template")).otherwise(F.concat("template", F.lit("/"), F.when(F.col("wide") & F.col("known").isNull(), F.lit("{*}")).otherwise(F.col("segment")))).alias("template"))
         if level % 4 == 0:
             tree = checkpointed(tree)
     return tree
@@ -117,7 +121,7 @@ def url_verdicts(pages: DataFrame, labels: DataFrame, rules=RULES, policy: Polic
     rows = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
     known = labels.where("quality in (0, 1)").groupBy("doc_id").agg(F.max(1 - F.col("quality")).alias("poor")).select(F.col("doc_id").alias("page_id"), "poor")
     paths = rows.join(known, "page_id", "left").groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.count("poor").alias("labelled"), F.coalesce(F.sum("poor"), F.lit(0)).alias("poor"))
-    tree = checkpointed(grown_tree(paths, policy.fan_out))
+    tree = checkpointed(grown_tree(paths, policy))
     found = tree.select("host", "form", "template").join(template_verdicts(tree, policy), ["host", "template"]).withColumnsRenamed({"host": "_host", "form": "_form"})
     rows = rows.withColumn("form", F.array_join(F.transform(F.split(F.col("path"), "/", -1), generalised), "/"))
     rule, said = ruled(F.col("host"), F.col("path"), rules)

@@ -123,3 +123,12 @@ def test_templates_generalise_and_block(spark):
     assert all(got[i].verdict == "block" and got[i].template.startswith("/spam/") for i in range(1097, 1197))
     wide = [r for r in got.values() if r.template == "/spam/{*}/buy"]
     assert len(wide) == 100
+
+
+def test_frequent_sections_stay_beside_many_rare_ones(spark):
+    rows = [(i, f"http://h.net/{'spam' if i % 2 else 'news'}/{i}") for i in range(300)] + [(1000 + i, f"http://h.net/odd{chr(97 + i)}/{i}") for i in range(26)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(200)], "doc_id long, quality int")
+    got = {r.page_id: r for r in url_filter.url_verdicts(pages, labels).collect()}
+    assert {r.template for r in got.values()} == {"/spam/{n}", "/news/{n}", "/{*}/{n}"}
+    assert all(got[i].verdict == ("block" if i % 2 else "allow") for i in range(300))
