@@ -10,14 +10,15 @@ sets are found, or made redundant by links that join the same component:
 2. Two sets as similar as asked share a shingle among the first ``n - ceil(t n) + 1`` of each, in any one order of all
    shingles. The order is by cell frequency, then hash, so passages that many documents hold come last. The
    (shingle, node) rows are cut to the shingles that two nodes or more have: the buckets.
-3. Stars: every node is paired with the least of its buckets' least nodes, and these pairs are checked exactly. Large
-   groups of near copies become one component here, at one pair a node.
-4. R-trees: buckets that still hold two components or more are dealt out in blocks of at most about ``BLOCK`` nodes
-   (a larger bucket is split and its blocks meet pairwise), and each is searched by a count-vector R-tree for pairs
-   of different components whose overlap bound suffices. A finer count vector, of which only parities are kept, rules
-   out most of what passes falsely. The rest is checked exactly as well, in two rounds: first the ``NEAREST`` pairs of
-   each node with each other component, which join most of what belongs together, then all pairs that are still of
-   different components.
+3. Every node goes to its largest bucket, and its R-tree of count vectors finds pairs whose overlap bound suffices. A
+   finer count vector, of which only parities are kept, rules out most of what passes falsely. Of the rest a block
+   (``BLOCK`` nodes at most) gives only a spanning forest, nearest pairs first: what these pairs join needs no other
+   pair, so a group of m near copies gives m - 1 pairs and not m * m / 2. The forest's pairs are checked exactly. Large
+   groups of near copies become one component here.
+4. All buckets that still hold two components or more are searched in the same way, with all their block pairs. Where
+   an edge of a forest doesn't stand the exact check, other pairs may be needed in its place: these buckets are
+   searched once more with the sets themselves at hand, and only pairs that stand the check join there. So no pair of
+   different components is left that has not been ruled out.
 5. Components of all links; a document's component is the least document id in it.
 
 Why the buckets: the bound alone separates points well but boxes badly, as a box of unrelated sets is wide in all 64
@@ -33,7 +34,7 @@ null id alone has a null component; other columns are ignored; an empty table gi
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial, reduce
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -44,14 +45,14 @@ from pyspark.sql import types as T
 from . import textkit
 from .common import checkpointed, discard, session_conf
 from .components import components
-from .rtree import RTree, apart, best_of, may_reach, point_bytes, reaches, read_points
+from .rtree import Forest, RTree, apart, may_reach, point_bytes, reaches, read_points
 
 SKETCH_BITS = 20
 BLOCK = 4096
-#: Pairs of a node with another component that are tried first.
-NEAREST = 4
 #: Buckets of up to so many nodes are one leaf.
 SMALL = 16
+#: Rows of a block that search its tree at once: few at first, as what they join is not searched again.
+FIRST, MOST = 16, 512
 _CHUNKS = 64
 
 
@@ -148,39 +149,28 @@ def _set_batch(rows: list) -> pa.RecordBatch:
     return pa.record_batch([pa.array(node, pa.int64()), pa.array(tokens, pa.binary())], ["node", "tokens"])
 
 
-def _bounded(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
-    """The pairs (a, b, n_a, n_b, counts_a, counts_b) whose overlap bounds suffice."""
-    for batch in batches:
-        m = batch.num_rows
-        n = np.concatenate([batch.column(i).to_numpy() for i in (2, 3)])
-        vectors, parities = read_points([*batch.column(4).to_pylist(), *batch.column(5).to_pylist()], n)
-        keep = reaches(np.minimum(vectors[:m], vectors[m:]).sum(1), n[:m], n[m:], num, den)
-        at = np.flatnonzero(keep)
-        keep[at] = may_reach(apart(at, at + m, parities), n[at], n[at + m], num, den)
-        yield batch.select([0, 1]).filter(pa.array(keep))
+def similar(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
+    """Whether two sorted sets are as similar as asked."""
+    if len(a) > len(b):
+        a, b = b, a
+    at = np.searchsorted(b, a)
+    at[at == len(b)] = 0
+    return bool(reaches(np.array((b[at] == a).sum()), np.array(len(a)), np.array(len(b)), num, den))
 
 
 def _checked(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
-    """The pairs of sets that are as similar as asked."""
+    """The pairs of sets, and whether they are as similar as asked."""
     for batch in batches:
-        keep = np.zeros(batch.num_rows, bool)
-        for i in range(batch.num_rows):
-            a, b = (np.frombuffer(batch.column(c)[i].as_buffer(), np.uint64) for c in (2, 3))
-            if len(a) > len(b):
-                a, b = b, a
-            at = np.searchsorted(b, a)
-            at[at == len(b)] = 0
-            shared = np.array([(b[at] == a).sum()])
-            keep[i] = reaches(shared, np.array([len(a)]), np.array([len(b)]), num, den)[0]
-        yield batch.select([0, 1]).filter(pa.array(keep))
-
-
-def _small(tokens: np.ndarray, vectors: np.ndarray, n: np.ndarray, labels: np.ndarray, num: int, den: int):
+        ok = [similar(*(np.frombuffer(batch.column(c)[i].as_buffer(), np.uint64) for c in (2, 3)), num, den) for i in range(batch.num_rows)]
+        yield pa.record_batch([batch.column(0), batch.column(1), pa.array(ok, pa.bool_())], ["a", "b", "ok"])
+
+
+def _small(group: np.ndarray, vectors: np.ndarray, n: np.ndarray, labels: np.ndarray, num: int, den: int):
     """Pairs within buckets of at most SMALL rows each, all buckets at once."""
     for d in range(1, SMALL):
-        if len(tokens) <= d:
+        if len(group) <= d:
             return
-        i = np.flatnonzero((tokens[d:] == tokens[:-d]) & (labels[d:] != labels[:-d]))
+        i = np.flatnonzero((group[d:] == group[:-d]) & (labels[d:] != labels[:-d]))
         i = i[(den * np.minimum(n[i], n[i + d]) >= num * np.maximum(n[i], n[i + d]))]
         for s in range(0, len(i), 1 << 14):
             c = i[s : s + (1 << 14)]
@@ -188,11 +178,11 @@ def _small(tokens: np.ndarray, vectors: np.ndarray, n: np.ndarray, labels: np.nd
             yield c[ok], c[ok] + d
 
 
-def _searched(batches: Iterator[pa.RecordBatch], num: int, den: int, most: int | None) -> Iterator[pa.RecordBatch]:
-    """Input sorted by (bucket, block a, block b). Yields candidate pairs of each block pair, from its R-tree.
+def _searched(batches: Iterator[pa.RecordBatch], num: int, den: int, exact: bool) -> Iterator[pa.RecordBatch]:
+    """Input sorted by (bucket, block a, block b), a row being bucket, a, b, own block, node, label, n, point, set.
 
-    With ``most``, of a node's pairs with one component only so many nearest ones come, and a pair of nulls says that
-    there are more.
+    Yields (bucket, a, b), edges that join all components of a block pair that its candidate pairs join, so less than
+    its nodes; of a bucket whose components need none nothing comes. With ``exact`` edges are checked on the sets.
     """
 
     def search(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,35 +191,53 @@ def _searched(batches: Iterator[pa.RecordBatch], num: int, den: int, most: int |
         vectors, parities = read_points(table.column(7).to_pylist(), n)
         start = np.flatnonzero(np.concatenate([[True], (token[1:] != token[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
         length = np.diff([*start, len(token)])
-        small = np.repeat((length <= SMALL) & (a[start] == b[start]), length)
         group = np.repeat(np.arange(len(start)), length)
-        at = np.flatnonzero(small)
-        found = [(at[x], at[y]) for x, y in _small(group[at], vectors[at], n[at], label[at], num, den)] if len(at) else []
+        # a component within a block pair is a number of its own
+        order = np.lexsort((label, group))
+        new = np.ones(len(order), bool)
+        new[1:] = (group[order][1:] != group[order][:-1]) | (label[order][1:] != label[order][:-1])
+        local = np.empty(len(order), np.int64)
+        local[order] = np.cumsum(new) - 1
+        forest = Forest(int(new.sum()))
+
+        def linked(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+            return np.array([similar(*(np.frombuffer(table.column(8)[int(i)].as_buffer(), np.uint64) for i in pair), num, den) for pair in zip(x, y, strict=True)], bool)
+
+        def joined(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            differ = apart(x, y, parities)
+            ok = may_reach(differ, n[x], n[y], num, den)
+            x, y, differ = x[ok], y[ok], differ[ok]
+            at = forest.joined(local[x], local[y], differ, (lambda i: linked(x[i], y[i])) if exact else None)
+            return x[at], y[at]
+
+        edges = []
+        small = np.repeat((length <= SMALL) & (a[start] == b[start]), length)
+        if len(at := np.flatnonzero(small)):
+            found = [(at[x], at[y]) for x, y in _small(group[at], vectors[at], n[at], label[at], num, den)]
+            if found:
+                edges.append(joined(*(np.concatenate([f[i] for f in found]) for i in (0, 1))))
         for s, m in zip(start, length, strict=True):
             if small[s]:
                 continue
             rows = np.arange(s, s + m)
             left, right = (rows, rows) if a[s] == b[s] else (rows[own[rows] == a[s]], rows[own[rows] == b[s]])
-            if len(left) and len(right):
-                tree = RTree(vectors[right], n[right], label[right])
-                for x, y in tree.pairs(vectors[left], n[left], label[left], num, den):
-                    x, y = left[x], right[y]
-                    ok = node[x] < node[y] if a[s] == b[s] else np.ones(len(x), bool)
-                    found.append((x[ok], y[ok]))
-        if found:
-            x, y = (np.concatenate([f[i] for f in found]) for i in (0, 1))
-            differ = apart(x, y, parities)
-            ok = may_reach(differ, n[x], n[y], num, den)
-            x, y, differ = x[ok], y[ok], differ[ok]
-            more = False
-            if most is not None and len(x):
-                ok = best_of(x, label[y], differ, most) & best_of(y, label[x], differ, most)
-                more = not ok.all()
-                x, y = x[ok], y[ok]
-            pairs = np.unique(np.stack([np.minimum(node[x], node[y]), np.maximum(node[x], node[y])], 1), axis=0)
-            pairs = pairs[pairs[:, 0] < pairs[:, 1]]
-            both = [pa.array([*pairs[:, i].tolist(), *[None] * more], pa.int64()) for i in (0, 1)]
-            yield pa.record_batch(both, ["a", "b"])
+            if not len(left) or not len(right):
+                continue
+            tree = RTree(vectors[right], n[right], forest.root[local[right]])
+            i, step = 0, FIRST
+            while i < len(left):
+                part = left[i : i + step]
+                found = list(tree.pairs(vectors[part], n[part], forest.root[local[part]], num, den))
+                if found:
+                    x, y = joined(*(side[np.concatenate([f[j] for f in found])] for j, side in ((0, part), (1, right))))
+                    if len(x):
+                        edges.append((x, y))
+                        tree.relabel(forest.root[local[right]])  # what is one component now is not searched again
+                i, step = i + step, min(2 * step, MOST)
+        if edges:
+            x, y = (np.concatenate([e[i] for e in edges]) for i in (0, 1))
+            both = np.minimum(node[x], node[y]), np.maximum(node[x], node[y])
+            yield pa.record_batch([pa.array(v) for v in (token[x], *both)], ["token", "a", "b"])
 
     held: list[pa.RecordBatch] = []
     last = None
@@ -253,20 +261,52 @@ def _searched(batches: Iterator[pa.RecordBatch], num: int, den: int, most: int |
         yield from search(held)
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, num: int, den: int, k: int) -> DataFrame:
-    """The pairs (a, b) that are as similar as asked. ``nodes``: node, doc_id of a row that has the set."""
-    need = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+def _sets_of(need: DataFrame, nodes: DataFrame, rows: DataFrame, k: int) -> DataFrame:
+    """(node, tokens) of the nodes in ``need``. ``nodes``: node, doc_id of a row that has the set."""
     owners = nodes.join(need, "node").select("doc_id").distinct()
     texts = rows.join(owners, "doc_id", "left_semi").select("text").unionByName(rows.where("doc_id is null").select("text"))
+    return checkpointed(texts.mapInArrow(partial(_sets, k=k), "node bigint, tokens binary").join(need, "node", "left_semi").dropDuplicates(["node"]))
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, num: int, den: int, k: int) -> DataFrame:
+    """(a, b, ok) of the pairs."""
+    need = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     with session_conf(rows.sparkSession, spark__sql__execution__arrow__maxRecordsPerBatch=128):
-        sets = checkpointed(texts.mapInArrow(partial(_sets, k=k), "node bigint, tokens binary").join(need, "node", "left_semi").dropDuplicates(["node"]))
+        sets = _sets_of(need, nodes, rows, k)
         one = sets.select(F.col("node").alias("b"), F.col("tokens").alias("tokens_b"))
         two = sets.select(F.col("node").alias("a"), F.col("tokens").alias("tokens_a"))
-        out = checkpointed(pairs.join(one, "b").join(two, "a").select("a", "b", "tokens_a", "tokens_b").mapInArrow(partial(_checked, num=num, den=den), "a bigint, b bigint"))
+        out = checkpointed(pairs.join(one, "b").join(two, "a").select("a", "b", "tokens_a", "tokens_b").mapInArrow(partial(_checked, num=num, den=den), "a bigint, b bigint, ok boolean"))
     discard(sets)
     return out
 
 
+def _dealt_once(buckets: DataFrame) -> DataFrame:
+    """Every node in its largest bucket only, which is cut to blocks that don't meet."""
+    size = buckets.groupBy("token").agg(F.count(F.lit(1)).alias("m"))
+    best = buckets.join(size, "token").groupBy("node").agg(F.max(F.struct("m", "token")).alias("at"))
+    block = F.pmod(F.xxhash64("node"), F.ceil(F.col("at.m") / BLOCK)).cast("int")
+    return best.select(F.col("at.token").alias("token"), block.alias("x"), block.alias("y"), block.alias("own"), "node", F.col("node").alias("label"))
+
+
+def _dealt(buckets: DataFrame, label: DataFrame) -> DataFrame:
+    """The nodes of buckets that hold two components or more, once for each block pair that they are in.
+
+    A bucket of over ``BLOCK`` nodes is cut to blocks that meet pairwise, those of its largest component by themselves:
+    these meet the others' blocks, never each other. So what a large group of copies adds is one row a node and block of others.
+    """
+    known = buckets.join(label, "node", "left").select("token", "node", F.coalesce("component", "node").alias("label"))
+    parts = known.groupBy("token", "label").agg(F.count(F.lit(1)).alias("m"))
+    whole = parts.groupBy("token").agg(F.sum("m").alias("m"), F.max(F.struct("m", "label")).alias("top"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
+    cuts = whole.select("token", F.col("top.label").alias("top"), (F.col("m") <= BLOCK).alias("one"),
+                        F.ceil((F.col("m") - F.col("top.m")) / BLOCK).cast("int").alias("rest"), F.ceil(F.col("top.m") / BLOCK).cast("int").alias("main"))
+    h = F.xxhash64("node")
+    main = F.col("label") == F.col("top")
+    own = F.when(F.col("one"), 0).when(main, F.col("rest") + F.pmod(h, F.col("main"))).otherwise(F.pmod(h, F.col("rest"))).cast("int")
+    others = F.when(F.col("one"), F.array(F.lit(0))).when(main, F.sequence(F.lit(0), F.col("rest") - 1)).otherwise(F.sequence(F.lit(0), F.col("rest") + F.col("main") - 1))
+    dealt = known.join(cuts, "token").withColumn("own", own).withColumn("other", F.explode(others))
+    return dealt.select("token", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "node", "label")
+
+
 def links(docs: DataFrame, num: int = 80, den: int = 100, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(profile, links): per row doc_id, n and node; and node pairs (a, b) whose components are those of all links."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -277,46 +317,42 @@ def links(docs: DataFrame, num: int = 80, den: int = 100, k: int = 5, id_col: st
     nodes = both.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("counts").alias("counts"))
 
     keyed = rows.select("text").mapInArrow(partial(_prefixes, k=k, sketch=sketch, num=num, den=den), "token bigint, node bigint")
-    shared = keyed.groupBy("token").agg(F.min("node").alias("center"), F.max("node").alias("last")).where(F.col("center") < F.col("last")).select("token", "center")
+    shared = keyed.groupBy("token").agg(F.min("node").alias("least"), F.max("node").alias("last")).where("least < last").select("token")
     # a bucket's name is a hash of its nodes; all of these steps keep the partitioning by token
     per = Window.partitionBy("token")
     name = F.xxhash64(F.count(F.lit(1)).over(per), F.sum(F.shiftright(F.xxhash64("node"), 24)).over(per), F.max("node").over(per))
-    every = checkpointed(keyed.join(shared, "token").distinct().select("token", "node", "center", name.alias("name")))
+    every = checkpointed(keyed.join(shared, "token").distinct().select("token", "node", name.alias("name")))
+    sketch.unpersist()
     # buckets with the same nodes are one
     one = every.groupBy("name").agg(F.min("token").alias("token"))
-    buckets = checkpointed(every.join(one, ["name", "token"], "left_semi").select("token", "node", "center"))
+    buckets = checkpointed(every.join(one, ["name", "token"], "left_semi").select("token", "node"))
     discard(every)
 
-    # each node with the least of its buckets' centers
-    stars = buckets.groupBy("node").agg(F.min("center").alias("a")).where("a != node").withColumnRenamed("node", "b")
-    point = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("counts").alias(f"counts_{x}"))
-    ratio = (den * F.least("n_a", "n_b") >= num * F.greatest("n_a", "n_b"))
-    near = checkpointed(stars.join(point("b"), "b").join(point("a"), "a").where(ratio).select("a", "b", "n_a", "n_b", "counts_a", "counts_b").mapInArrow(partial(_bounded, num=num, den=den), "a bigint, b bigint"))
-    first = _verified(near, nodes, rows, num, den, k)
-    label = components(first)
-
-    # nearest pairs of different components first: most components meet by these, and the last round has little left
-    edges, tried = [first], near
-    for most in (NEAREST, None):
-        known = checkpointed(buckets.join(label, "node", "left").select("token", "node", F.coalesce("component", "node").alias("label")))
-        open_ = known.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("m")).where(F.col("lo") < F.col("hi"))
-        open_ = open_.select("token", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-        mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-        dealt = (known.join(open_, "token").withColumn("own", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-                 .select("token", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "node", "label")
-                 .join(nodes.select("node", "n", "counts"), "node").select("token", "x", "y", "own", "node", "label", "n", "counts"))
-        found = dealt.repartition("token", "x", "y").sortWithinPartitions("token", "x", "y").mapInArrow(partial(_searched, num=num, den=den, most=most), "a bigint, b bigint")
-        found = checkpointed(found.distinct().join(tried, ["a", "b"], "left_anti"))
-        discard(known)
-        fresh = found.where("a is not null")
-        if not fresh.isEmpty():
-            edges.append(_verified(fresh, nodes, rows, num, den, k))
-        if most is None or found.where("a is null").isEmpty():
-            break
-        tried = tried.unionByName(fresh)
-        label = components(reduce(DataFrame.unionByName, edges))
-    discard(buckets)
-    return profile, reduce(DataFrame.unionByName, edges)
+    def searched(dealt: DataFrame, sets: DataFrame | None = None) -> DataFrame:
+        wide = dealt.join(nodes.select("node", "n", "counts"), "node")
+        wide = wide.withColumn("tokens", F.lit(None).cast("binary")) if sets is None else wide.join(sets, "node")
+        wide = wide.select("token", "x", "y", "own", "node", "label", "n", "counts", "tokens").repartition("token", "x", "y").sortWithinPartitions("token", "x", "y")
+        with session_conf(docs.sparkSession, spark__sql__execution__arrow__maxRecordsPerBatch=2048):
+            return checkpointed(wide.mapInArrow(partial(_searched, num=num, den=den, exact=sets is not None), "token bigint, a bigint, b bigint"))
+
+    found = searched(_dealt_once(buckets))
+    first = _verified(found.select("a", "b").distinct(), nodes, rows, num, den, k)
+    discard(found)
+    edges = first.where("ok").select("a", "b")
+    found = searched(_dealt(buckets, components(edges)))
+    fresh = found.select("a", "b").distinct().join(first.select("a", "b"), ["a", "b"], "left_anti")
+    second = _verified(fresh, nodes, rows, num, den, k)
+    edges = edges.unionByName(second.where("ok").select("a", "b"))
+    wrong = first.where("not ok").select("a", "b").unionByName(second.where("not ok").select("a", "b"))
+    again = checkpointed(found.join(wrong, ["a", "b"], "left_semi").select("token").distinct())
+    discard(found)
+    if not again.isEmpty():
+        dealt = checkpointed(_dealt(buckets.join(again, "token", "left_semi"), components(edges)))
+        sets = _sets_of(dealt.select("node").distinct(), nodes, rows, k)
+        edges = edges.unionByName(searched(dealt, sets).select("a", "b"))
+        discard(dealt, sets)
+    discard(again, buckets)
+    return profile, edges
 
 
 def jaccard_components(docs: DataFrame, num: int = 80, den: int = 100, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

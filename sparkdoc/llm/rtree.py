@@ -59,15 +59,41 @@ def may_reach(differ: np.ndarray, p: np.ndarray, q: np.ndarray, num: int, den: i
     return (num + den) * (p + q - differ) >= 2 * num * (p + q)
 
 
-def best_of(x: np.ndarray, group: np.ndarray, distance: np.ndarray, most: int) -> np.ndarray:
-    """Mask of the ``most`` nearest pairs of each (x, group); of equal ones the earlier."""
-    order = np.lexsort((np.arange(len(x)), distance, group, x))
-    new = np.ones(len(x), bool)
-    new[1:] = (x[order][1:] != x[order][:-1]) | (group[order][1:] != group[order][:-1])
-    begin = np.flatnonzero(new)
-    out = np.zeros(len(x), bool)
-    out[order] = np.arange(len(x)) - np.repeat(begin, np.diff([*begin, len(x)])) < most
-    return out
+class Forest:
+    """Components of numbers 0 to n - 1, which edges join; ``root`` names each number's component."""
+
+    def __init__(self, n: int) -> None:
+        self.root = np.arange(n)
+
+    def joined(self, a: np.ndarray, b: np.ndarray, weight: np.ndarray, check=None) -> np.ndarray:
+        """Edges (as indices) that join all that the given ones join: in rounds the lightest edge of each component.
+
+        With ``check`` (edge indices to mask) an edge only joins if it stands it, else it is dropped.
+        """
+        out = []
+        alive = np.lexsort((b, a, weight))
+        while len(alive := alive[self.root[a[alive]] != self.root[b[alive]]]):
+            ends = np.concatenate([self.root[a[alive]], self.root[b[alive]]])
+            lightest = np.full(len(self.root), len(alive))
+            np.minimum.at(lightest, ends, np.tile(np.arange(len(alive)), 2))
+            at = np.unique(lightest[lightest < len(alive)])
+            pick = alive[at]
+            if check is not None:
+                alive = np.delete(alive, at)
+                pick = pick[check(pick)]
+            out.append(pick)
+            self._unite(self.root[a[pick]], self.root[b[pick]])
+        return np.concatenate(out) if out else np.zeros(0, np.int64)
+
+    def _unite(self, a: np.ndarray, b: np.ndarray) -> None:
+        """Joins roots; an edge hangs the greater of its roots on the lesser until none is left to hang."""
+        while len(a):
+            np.minimum.at(self.root, np.maximum(a, b), np.minimum(a, b))
+            while (self.root[self.root] != self.root).any():
+                self.root = self.root[self.root]
+            a, b = self.root[a], self.root[b]
+            open_ = a != b
+            a, b = a[open_], b[open_]
 
 
 _ONES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
@@ -87,19 +113,32 @@ class RTree:
         self.order = np.lexsort((half, sizes))
         self.vectors, self.sizes, self.labels = vectors[self.order], sizes[self.order], labels[self.order]
         self.levels = []
-        top, low, high, one = self.vectors, self.sizes, self.sizes, self.labels
-        same = np.ones(len(self.sizes), bool)
+        top, low, high = self.vectors, self.sizes, self.sizes
         width = LEAF
         while True:
             at = np.arange(0, len(low), width)
-            first = one[at]
-            equal = np.logical_and.reduceat(same & (one == np.repeat(first, np.diff([*at, len(one)]))), at)
             top, low, high = np.maximum.reduceat(top, at), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at)
-            one, same = first, equal
-            self.levels.append((top, low, high, one, same, width))
+            self.levels.append((top, low, high, width))
             if len(at) == 1:
                 break
             width = FAN
+        self._name()
+
+    def relabel(self, labels: np.ndarray) -> None:
+        """Other components of the points, in the order that they were given in."""
+        self.labels = labels[self.order]
+        self._name()
+
+    def _name(self) -> None:
+        """Per box its first component, and whether it has no other."""
+        self.names = []
+        one, same = self.labels, np.ones(len(self.labels), bool)
+        for *_, width in self.levels:
+            at = np.arange(0, len(one), width)
+            first = one[at]
+            same = np.logical_and.reduceat(same & (one == np.repeat(first, np.diff([*at, len(one)]))), at)
+            one = first
+            self.names.append((one, same))
 
     def pairs(self, vectors: np.ndarray, sizes: np.ndarray, labels: np.ndarray, num: int, den: int, chunk: int = 1 << 14):
         """Yields (query, point) index arrays that may reach num / den Jaccard and have different labels."""
@@ -107,7 +146,7 @@ class RTree:
             q = np.arange(s, min(len(sizes), s + 512))
             node = np.zeros(len(q), np.int64)
             for k in range(len(self.levels) - 1, -1, -1):
-                top, low, high, one, same, width = self.levels[k]
+                (top, low, high, width), (one, same) = self.levels[k], self.names[k]
                 keep = (den * high[node] >= num * sizes[q]) & (den * sizes[q] >= num * low[node]) & ~(same[node] & (one[node] == labels[q]))
                 q, node = q[keep], node[keep]
                 ok = np.zeros(len(q), bool)
