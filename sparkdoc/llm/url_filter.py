@@ -3,24 +3,29 @@
 Host: after the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z lower-cased. Path: from there up to ``?``,
 ``#`` or the end. A null url or one without ``://`` has neither.
 
-Templates. A host's paths are cut at ``/``. Each segment is first generalised by its form: numbers, hex strings, dates
-and the like become a wildcard of that form with their ending kept (``25.html`` to ``{n}.html``). Then the tree grows
-level by level for as many levels as the longest path has: a node that has more than ``fan_out`` different children
-generalises the rare ones to ``{*}``. A child with ``pages`` pages or ``labels`` labelled ones stays as it is, however
-many others there are.
-
-Merging: under one node, sibling templates at a path's end are put in order of their smoothed share of poor pages, and
-neighbours whose shares differ by less than ``z`` standard errors become one class. A node's siblings are its frequent
-children and, if it has few, its rare ones, so the window that does it is small against its pages.
-
-Verdict: a class whose share of poor labelled pages, smoothed by ``strength`` pages of the corpus's own share, is
+Templates. A host's paths are cut at ``/``; what lies beyond ``depth`` segments is one segment, the last. Each segment is
+first generalised by its form: numbers, hex strings, dates and the like become a wildcard of that form with their ending
+kept (``25.html`` to ``{n}.html``). Then the tree grows level by level, and at each level every node does two things:
+
+* If it has more than ``fan_out`` different children, it generalises the rare ones to ``{*}``. A child with ``pages``
+  pages or ``labels`` labelled ones stays as it is, however many others there are.
+* It merges branches that are alike: of one shape (the most frequent form of what follows) and with label shares that
+  agree. Children of a shape are put in order of their smoothed share of poor pages; neighbours less than ``z`` standard
+  errors apart are one class, and a class is cut where it would be wider than ``span`` (of the arc sine of the share's
+  root, whose error is the same for all shares), so that a row of small steps can't join what is far apart. A class is
+  one node, ``{~name of its first member}``, with the pages and labels of all of its members, at all levels below, too.
+
+Verdict: a template whose share of poor labelled pages, smoothed by ``strength`` pages of the corpus's own share, is
 above ``reject`` blocks its urls, otherwise they are allowed. Rules come first: the longest rule that fits decides.
 
-All steps are aggregations with map-side combining and equi-joins over (host, template), so a host with a third of all
-rows is never in one task: it has few templates after generalisation, and its rows are only joined to them.
+All steps are aggregations with map-side combining, equi-joins over (host, node) of paths that are one row a form, and
+windows over a node's children. In the end pages are joined to the templates by (host, form). Forms of a thousandth of
+all pages or more, which are a thousand at most, are broadcast for that, so a host with a third of all rows is
+never in one task.
 
-Defined cases: null urls have empty host and path and get the verdict of the empty template's class; repeated rows
-each get a row; pages without labels take part in the tree, not in the shares; without any label all is allowed.
+Defined cases: null urls have empty host and path and get the verdict of the empty template; repeated rows each get a
+row; a page with several labels is poor if one of them is; pages without labels take part in the tree, not in the
+shares; without any label all is allowed; urls of any length are judged; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,20 +35,26 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, checkpointed
+from .common import ascii_lower, checkpointed, discard
 
 #: The contract's rules.
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 
 
+#: Forms of so small a part of all pages or more are joined by broadcast.
+FREQUENT = 1_000
+
+
 @dataclass(frozen=True)
 class Policy:
     fan_out: int = 24
     strength: float = 20.0
     reject: float = 0.5
     z: float = 1.5
+    span: float = 0.35
     pages: int = 200
     labels: int = 20
+    depth: int = 12
 
 
 def parts(url: Column) -> tuple[Column, Column]:
@@ -77,42 +88,58 @@ def generalised(segment: Column) -> Column:
             .otherwise(segment))
 
 
-def grown_tree(paths: DataFrame, policy: Policy) -> DataFrame:
-    """``paths`` (host, path, n, labelled, poor) with the template of each path.
+def segments_of(path: Column, depth: int) -> Column:
+    """The generalised segments, the first of which stands before the first slash; of a long path the last holds the rest."""
+    parts = F.split(path, "/", depth + 1)
+    return F.transform(parts, generalised)
 
-    One pass a level: the paths' own number of segments is the loop's length, so no level is left out.
-    """
-    tree = paths.withColumn("segments", F.transform(F.split(F.col("path"), "/", -1), generalised)).withColumn("template", F.lit(""))
-    # paths of one form are one row from here on
-    tree = checkpointed(tree.groupBy("host", "segments", "template").agg(*(F.sum(c).alias(c) for c in ("n", "labelled", "poor"))).withColumn("form", F.array_join("segments", "/")))
+
+def merged(here: DataFrame, policy: Policy, prior: float) -> DataFrame:
+    """``here``: (host, template, child, shape, labels, poor), one row a child. Returns (host, template, child, name), with a name for each class."""
+    share = (F.col("poor") + policy.strength * prior) / (F.col("labels") + policy.strength)
+    turned = F.asin(F.sqrt(share))
+    # the error of the arc sine of a share's root is 1 / (2 sqrt(n))
+    here = here.select("host", "template", "child", "shape", turned.alias("y"), (0.25 / (F.col("labels") + policy.strength)).alias("e2"))
+    order = Window.partitionBy("host", "template", "shape").orderBy("y", "child")
+    apart = F.col("y") - F.lag("y").over(order) > policy.z * F.sqrt(F.col("e2") + F.lag("e2").over(order))
+    here = here.withColumn("chain", F.sum(F.when(apart, 1).otherwise(0)).over(order))
+    chain = Window.partitionBy("host", "template", "shape", "chain")
+    here = here.withColumn("piece", F.floor((F.col("y") - F.min("y").over(chain)) / policy.span))
+    own = Window.partitionBy("host", "template", "shape", "chain", "piece")
+    name = F.when(F.count(F.lit(1)).over(own) > 1, F.concat(F.lit("{~"), F.min("child").over(own), F.lit("}"))).otherwise(F.col("child"))
+    return here.select("host", "template", "child", name.alias("name"))
+
+
+def grown_tree(paths: DataFrame, policy: Policy, prior: float) -> DataFrame:
+    """(host, form, n, labelled, poor, template) of ``paths`` (host, segments, n, labelled, poor), which are one row a form. One pass a level."""
+    tree = paths.withColumn("template", F.lit(""))
     levels = tree.agg(F.max(F.size("segments"))).first()[0] or 0
+    held = []
     for level in range(1, levels):  # segment 0 is what stands before the first slash
-        tree = tree.withColumn("segment", F.get("segments", F.lit(level)))
-        here = tree.where(F.size("segments") > level).groupBy("host", "template", "segment").agg(F.sum("n").alias("pages"), F.sum("labelled").alias("labels"))
-        wide = here.groupBy("host", "template").agg(F.count(F.lit(1)).alias("children")).where(F.col("children") > policy.fan_out).select("host", "template", F.lit(True).alias("wide"))
-        known = here.where((F.col("pages") >= policy.pages) | (F.col("labels") >= policy.labels)).select("host", "template", "segment", F.lit(True).alias("known"))
-        tree = tree.join(wide, ["host", "template"], "left").join(known, ["host", "template", "segment"], "left").select(
-            "host", "form", "segments", "n", "labelled", "poor",
-            F.when(F.size("segments") <= level, F.col("template")).otherwise(F.concat("template", F.lit("/"), F.when(F.col("wide") & F.col("known").isNull(), F.lit("{*}")).otherwise(F.col("segment")))).alias("template"))
-        if level % 4 == 0:
-            tree = checkpointed(tree)
+        tree = tree.withColumn("child", F.get("segments", F.lit(level)))
+        deep = F.size("segments") > level
+        sums = [F.sum(c).alias(c) for c in ("pages", "labels", "poor")]
+        rest = F.array_join(F.transform(F.slice("segments", level + 2, policy.depth), lambda x: F.when(x.contains("{"), x).otherwise("{w}")), "/")
+        shaped = tree.where(deep).groupBy("host", "template", "child", rest.alias("rest")).agg(F.sum("n").alias("pages"), F.sum("labelled").alias("labels"), F.sum("poor").alias("poor"))
+        here = shaped.groupBy("host", "template", "child").agg(*sums, F.max_by("rest", F.struct("pages", "rest")).alias("shape"))
+        node = Window.partitionBy("host", "template")
+        rare = (F.count(F.lit(1)).over(node) > policy.fan_out) & (F.col("pages") < policy.pages) & (F.col("labels") < policy.labels)
+        here = checkpointed(here.withColumn("kept", F.when(rare, F.lit("{*}")).otherwise(F.col("child"))))
+        kept = here.groupBy("host", "template", F.col("kept").alias("child")).agg(*sums, F.max_by("shape", F.struct("pages", "shape")).alias("shape"))
+        names = here.join(merged(kept, policy, prior).withColumnRenamed("child", "kept"), ["host", "template", "kept"]).select("host", "template", "child", "name")
+        tree = tree.join(names, ["host", "template", "child"], "left").select(
+            "host", "form", "segments", "n", "labelled", "poor", F.when(deep, F.concat("template", F.lit("/"), "name")).otherwise(F.col("template")).alias("template"))
+        tree = checkpointed(tree)
+        discard(here, *held)
+        held = [tree]
     return tree
 
 
-def template_verdicts(tree: DataFrame, policy: Policy) -> DataFrame:
-    """(host, template, class_id, class_labelled, class_poor, purity, blocked) of every template."""
-    ends = tree.groupBy("host", "template").agg(*(F.sum(c).alias(c) for c in ("n", "labelled", "poor"))).withColumn("parent", F.regexp_replace("template", "/[^/]*$", ""))
-    labelled, poor = tree.agg(F.sum("labelled"), F.sum("poor")).first()
-    ends = ends.withColumn("prior", F.lit(float(poor) / labelled if labelled else 0.0))
-    share = (F.col("poor") + policy.strength * F.col("prior")) / (F.col("labelled") + policy.strength)
-    ends = ends.withColumn("share", share).withColumn("error2", F.col("share") * (1 - F.col("share")) / (F.col("labelled") + policy.strength))
-    order = Window.partitionBy("host", "parent").orderBy("share", "template")
-    apart = F.col("share") - F.lag("share").over(order) > policy.z * F.sqrt(F.col("error2") + F.lag("error2").over(order))
-    ends = ends.withColumn("apart", F.when(apart, 1).otherwise(0)).withColumn("class_id", F.sum("apart").over(order))
-    classes = ends.groupBy("host", "parent", "class_id").agg(F.sum("labelled").alias("class_labelled"), F.sum("poor").alias("class_poor"), F.first("prior").alias("prior"))
-    purity = 1 - (F.col("class_poor") + policy.strength * F.col("prior")) / (F.col("class_labelled") + policy.strength)
-    classes = classes.withColumn("purity", purity).withColumn("blocked", 1 - F.col("purity") > policy.reject).drop("prior")
-    return ends.select("host", "parent", "template", "class_id").join(classes, ["host", "parent", "class_id"]).drop("parent")
+def template_verdicts(tree: DataFrame, policy: Policy, prior: float) -> DataFrame:
+    """(host, template, purity, blocked) of every template."""
+    ends = tree.groupBy("host", "template").agg(F.sum("labelled").alias("labelled"), F.sum("poor").alias("poor"))
+    purity = 1 - (F.col("poor") + policy.strength * prior) / (F.col("labelled") + policy.strength)
+    return ends.select("host", "template", purity.alias("purity"), (1 - purity > policy.reject).alias("blocked"))
 
 
 def url_verdicts(pages: DataFrame, labels: DataFrame, rules=RULES, policy: Policy = Policy(), id_col: str = "page_id", url_col: str = "url") -> DataFrame:  # noqa: B008
@@ -120,10 +147,17 @@ def url_verdicts(pages: DataFrame, labels: DataFrame, rules=RULES, policy: Polic
     host, path = parts(F.col(url_col))
     rows = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
     known = labels.where("quality in (0, 1)").groupBy("doc_id").agg(F.max(1 - F.col("quality")).alias("poor")).select(F.col("doc_id").alias("page_id"), "poor")
-    paths = rows.join(known, "page_id", "left").groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.count("poor").alias("labelled"), F.coalesce(F.sum("poor"), F.lit(0)).alias("poor"))
-    tree = checkpointed(grown_tree(paths, policy))
-    found = tree.select("host", "form", "template").join(template_verdicts(tree, policy), ["host", "template"]).withColumnsRenamed({"host": "_host", "form": "_form"})
-    rows = rows.withColumn("form", F.array_join(F.transform(F.split(F.col("path"), "/", -1), generalised), "/"))
+    rows = rows.withColumn("form", F.array_join(segments_of(F.col("path"), policy.depth), "/"))
+    labelled = rows.join(known, "page_id", "left").groupBy("host", "form", "path").agg(F.count(F.lit(1)).alias("n"), F.count("poor").alias("labelled"), F.coalesce(F.sum("poor"), F.lit(0)).alias("poor"))
+    # paths of one form are one row from here on
+    paths = checkpointed(labelled.groupBy("host", "form").agg(*(F.sum(c).alias(c) for c in ("n", "labelled", "poor")), segments_of(F.min("path"), policy.depth).alias("segments")))
+    total = paths.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.sum("labelled").alias("labelled"), F.sum("poor").alias("poor")).first()
+    prior = float(total.poor) / total.labelled if total.labelled else 0.0
+    tree = grown_tree(paths, policy, prior)
+    found = checkpointed(tree.join(template_verdicts(tree, policy, prior), ["host", "template"]).select(F.col("host").alias("_host"), F.col("form").alias("_form"), "n", "template", "purity", "blocked"))
+    discard(paths)
     rule, said = ruled(F.col("host"), F.col("path"), rules)
-    joined = rows.join(found, (F.col("host") == F.col("_host")) & (F.col("form") == F.col("_form")), "left")
+    same = (F.col("host") == F.col("_host")) & (F.col("form") == F.col("_form"))
+    often = found.where(F.col("n") * FREQUENT >= total.n)  # at most FREQUENT forms
+    joined = rows.join(F.broadcast(often), same).unionByName(rows.join(F.broadcast(often), same, "left_anti").join(found.where(F.col("n") * FREQUENT < total.n), same, "left"), allowMissingColumns=True)
     return joined.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(said, F.when(F.col("blocked"), "block").otherwise("allow")).alias("verdict"), "template", "purity")

@@ -1,5 +1,7 @@
 import hashlib
 import math
+import random
+import re
 import struct
 import zlib
 from collections import Counter
@@ -119,7 +121,7 @@ def test_templates_generalise_and_block(spark):
     pages = spark.createDataFrame(rows, "page_id long, url string")
     labels = spark.createDataFrame([(i, 1) for i in range(0, 300, 2)] + [(1097 + i, 0) for i in range(0, 100, 2)] + [(2000 + i, 1) for i in range(30)], "doc_id long, quality int")
     got = {r.page_id: r for r in url_filter.url_verdicts(pages, labels).collect()}
-    assert got[4].template == "/item/{n}.html" and got[4].verdict == "allow" and got[2000].template == "/about/a"
+    assert got[4].template == "/item/{n}.html" and got[4].verdict == "allow" and got[2000].template == "/about/{~a}"
     assert all(got[i].verdict == "block" and got[i].template.startswith("/spam/") for i in range(1097, 1197))
     wide = [r for r in got.values() if r.template == "/spam/{*}/buy"]
     assert len(wide) == 100
@@ -132,3 +134,92 @@ def test_frequent_sections_stay_beside_many_rare_ones(spark):
     got = {r.page_id: r for r in url_filter.url_verdicts(pages, labels).collect()}
     assert {r.template for r in got.values()} == {"/spam/{n}", "/news/{n}", "/{*}/{n}"}
     assert all(got[i].verdict == ("block" if i % 2 else "allow") for i in range(300))
+
+
+def plain_templates(rows, poor_of, policy):
+    """{page_id: (template, purity, blocked)} by loops over a host's paths. Segments are taken as they are or as {n}."""
+    known = [p for i, _ in rows if (p := poor_of.get(i)) is not None]
+    prior = sum(known) / len(known) if known else 0.0
+    at = {}
+    for i, url in rows:
+        host, path = plain(url)
+        parts = path.split("/", policy.depth)
+        at[i] = (host, [re.sub(r"^\d+$", "{n}", x) for x in parts], "")
+    for level in range(1, max(len(x[1]) for x in at.values())):
+        nodes = {}
+        for i, (host, parts, template) in at.items():
+            if len(parts) > level:
+                rest = "/".join(x if "{" in x else "{w}" for x in parts[level + 1 :])
+                c = nodes.setdefault((host, template), {}).setdefault(parts[level], [0, 0, 0, Counter()])
+                c[0] += 1
+                c[1] += poor_of.get(i) is not None
+                c[2] += poor_of.get(i) or 0
+                c[3][rest] += 1
+        names = {}
+        for node, children in nodes.items():
+            kept, of = {}, {}
+            for child, (n, labelled, poor, shapes) in children.items():
+                of[child] = "{*}" if len(children) > policy.fan_out and n < policy.pages and labelled < policy.labels else child
+                k = kept.setdefault(of[child], [0, 0, []])
+                k[0] += labelled
+                k[1] += poor
+                k[2].append((n, max((v, x) for x, v in shapes.items())[1]))
+            by = {}
+            for child, (labelled, poor, shapes) in kept.items():
+                share = (poor + policy.strength * prior) / (labelled + policy.strength)
+                by.setdefault(max(shapes)[1], []).append((math.asin(math.sqrt(share)), child, 0.25 / (labelled + policy.strength)))
+            for items in by.values():
+                items.sort()
+                classes = {}
+                for j, (y, child, e2) in enumerate(items):
+                    if j == 0 or y - items[j - 1][0] > policy.z * math.sqrt(e2 + items[j - 1][2]):
+                        begin = (j, y)
+                    classes.setdefault((begin[0], math.floor((y - begin[1]) / policy.span)), []).append(child)
+                for members in classes.values():
+                    for child in members:
+                        names[node, child] = child if len(members) == 1 else "{~" + min(members) + "}"
+            for child, to in of.items():
+                names[node, child] = names[node, to]
+        at = {i: (h, x, t + "/" + names[(h, t), x[level]] if len(x) > level else t) for i, (h, x, t) in at.items()}
+    counts = {}
+    for i, (host, _, template) in at.items():
+        c = counts.setdefault((host, template), [0, 0])
+        c[0] += poor_of.get(i) is not None
+        c[1] += poor_of.get(i) or 0
+    share = {k: (poor + policy.strength * prior) / (n + policy.strength) for k, (n, poor) in counts.items()}
+    return {i: (t, 1 - share[h, t], share[h, t] > policy.reject) for i, (h, _, t) in at.items()}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_tree_equals_plain_loops(spark, seed):
+    r = random.Random(seed)
+    hosts = [f"{x}.net" for x in "abc"]
+    words = [f"s{x}" for x in "abcdefghijkl"]
+    chance = {w: r.choice([0.02, 0.05, 0.5, 0.9, 0.97]) for w in words}
+    rows, labels = [], []
+    for i in range(1500):
+        path = [r.choice(words) for _ in range(r.choice([0, 1, 1, 2, 3]))] + r.choice([[], ["7"], [str(r.randrange(100))]])
+        rows.append((i, f"http://{r.choice(hosts)}/" + "/".join(path)))
+        if r.random() < 0.4:
+            labels.append((i, int(r.random() >= max((chance.get(x, 0) for x in path), default=0))))
+    rows += [(2000, "http://a.net/" + "/".join(["deep"] * 2000)), (2001, "http://a.net/" + "x" * 50_000), (2002, rows[0][1]), (2003, None), (2004, "http://a.net")]
+    policy = url_filter.Policy(fan_out=6, pages=60, labels=12)
+    want = plain_templates(rows, {i: 1 - q for i, q in labels}, policy)
+    frames = spark.createDataFrame([*rows, (2003, None)], "page_id long, url string"), spark.createDataFrame([*labels, *labels[:5]], "doc_id long, quality int")
+    got = url_filter.url_verdicts(*frames, rules=(), policy=policy).collect()
+    assert len(got) == len(rows) + 1
+    for x in got:
+        template, purity, blocked = want[x.page_id]
+        assert (x.template, x.verdict) == (template, "block" if blocked else "allow") and abs(x.purity - purity) < 1e-9, x
+    assert sum(x.verdict == "block" for x in got) > 20
+
+
+def test_sparse_branches_merge_and_small_steps_do_not_chain(spark):
+    rows = [(100 * u + i, f"http://h.net/u{chr(97 + u)}/{i}") for u in range(20) for i in range(8)]
+    rows += [(10_000 + 100 * u + i, f"http://g.net/v{chr(97 + u)}/{i}") for u in range(20) for i in range(100)]
+    labels = [(i, 0) for i, u in rows if "h.net" in u] + [(10_000 + 100 * u + i, int(i >= 5 * u)) for u in range(20) for i in range(100)] + [(50_000 + i, 1) for i in range(2000)]
+    rows += [(50_000 + i, f"http://clean.net/p/{i}") for i in range(2000)]
+    got = {r.page_id: r for r in url_filter.url_verdicts(spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(labels, "doc_id long, quality int"), rules=()).collect()}
+    assert {got[i].verdict for i, u in rows if "h.net" in u} == {"block"} and {got[i].template for i, u in rows if "h.net" in u} == {"/{~ua}/{n}"}
+    assert {got[10_000 + i].verdict for i in range(300)} == {"allow"} and {got[10_000 + 1800 + i].verdict for i in range(200)} == {"block"}
+    assert len({got[10_000 + 100 * u].template for u in range(20)}) > 2
