@@ -1,16 +1,20 @@
 """Secret scans: patterns, then automata inferred from labelled credentials.
 
 The base patterns find assignments, access keys and hex runs. The credentials that they find are the labels: up to
-``MAX_TRAIN`` distinct ones per kind (the least by hash, so partitions don't matter). From each
-kind's strings a prefix tree with counts is built, and states whose outgoing frequencies are compatible by the Hoeffding
-bound are merged, red-blue order, into a probabilistic automaton (ALERGIA). Characters are read as classes within a
-format: digits, lower a-f, lower g-z, upper, other; with the automaton over classes, a character's chance is its class's
-chance divided by the class's size.
-
-Every candidate of the whole text, a run of 16 or more of the credential characters ``[A-Za-z0-9+/_.=-]``, is then
-scored: mean log likelihood per character under each automaton against a background, the class
-transitions of all texts' runs of such characters. A
-candidate that scores ``MARGIN`` or more and overlaps no base span is added as kind ``learned``.
+``MAX_TRAIN`` distinct ones per kind of at most ``MAX_LENGTH`` characters each (the least by hash, so partitions don't
+matter). From each kind's strings a prefix tree with counts is built, and states whose outgoing frequencies are
+compatible by the Hoeffding bound are merged, red-blue order, into a probabilistic automaton (ALERGIA). Characters are
+read as classes within a format: digits, lower a-f, lower g-z, upper, other; with the automaton over classes, a
+character's chance is its class's chance divided by the class's size. A class that a state never saw has a small smoothed
+chance and goes back to the first state.
+
+Candidates are all runs of the credential characters ``[A-Za-z0-9+/_.=-]`` of the whole text, and the parts of a run
+between ``=``, between ``=`` and ``/``, and between ``=``, ``/`` and ``.``, each without marks at its end, of
+``SHORTEST`` characters or more, which is the least length of a label. Every one is scored: log likelihood under each
+automaton against a background, the class transitions of all texts' runs of such characters outside credentials. A
+candidate is added as kind ``learned`` if the likelihood ratio is ``EVIDENCE`` in all (a credential is rare among runs, so
+a short one must fit its format well) and ``MARGIN`` a character, and it overlaps no base span. Of a run and its parts
+the largest that qualify count. All candidates of a batch are scored together, character by character.
 
 Defined cases: null is the empty text, which has no spans; candidates of any length are scored whole; a corpus without
 credentials adds nothing; spans are in code points, end exclusive; repeated ids and other columns don't matter.
@@ -39,13 +43,20 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 LEAST = {"assign": 6, "access": 20, "hex": 24}
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
 #: A text without one of these has no assignment; they are looked for first.
 _NAMES = re.compile(r"password|passwd|secret|token|api_?key", re.ASCII | re.IGNORECASE)
 
 MAX_TRAIN = 2_000
+MAX_LENGTH = 1_000
+SHORTEST = min(LEAST.values())
 MARGIN = 0.4
+#: Log of the odds against a run being a credential.
+EVIDENCE = 14.0
+#: Candidates that are longer than all but so many others are scored one by one from there on.
+FEW = 16
 ALPHA = 0.05
+#: Times that a class counts as seen where it was not.
+UNSEEN = 0.1
 LEARNED = "learned"
 
 #: Character classes: 0 digit, 1 a-f, 2 g-z, 3 A-Z, 4 other; and how many characters each has.
@@ -53,6 +64,8 @@ _CLASS = np.full(256, 4, np.int8)
 _CLASS[48:58], _CLASS[97:103], _CLASS[103:123], _CLASS[65:91] = 0, 1, 2, 3
 _WIDTH = np.array([10.0, 6.0, 20.0, 26.0, 6.0])
 _TABLE = {i: int(c) for i, c in enumerate(_CLASS[:128])}
+_TRAIL = np.zeros(256, bool)
+_TRAIL[[*b".=-"]] = True  # at a run's end these belong to the sentence
 _RUN = np.zeros(256, bool)
 _RUN[[*range(48, 58), *range(65, 91), *range(97, 123), *b"+/_.=-"]] = True
 
@@ -75,22 +88,39 @@ def credential(text: str, start: int, kind: int, end: int) -> str:
 
 @dataclass
 class Automaton:
-    """``goto[s, c]`` is the next state or -1; ``logp[s, c]`` the log chance per character; ``end[s]`` of ending."""
+    """``goto[s, c]`` is the next state; ``logp[s, c]`` the log chance per character; ``end[s]`` of ending."""
 
     goto: np.ndarray
     logp: np.ndarray
     end: np.ndarray
 
+    def scores(self, classes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Log likelihoods of the spans of a sequence of character classes, all spans a character at a time."""
+        length = ends - starts
+        order = np.argsort(-length, kind="stable")
+        at, length = starts[order], length[order]
+        state, total = np.zeros(len(at), np.int64), np.zeros(len(at))
+        t, alive = 0, len(at)
+        while (alive := int(np.searchsorted(-length[:alive], -t))) > FEW:
+            c = classes[at[:alive] + t]
+            total[:alive] += self.logp[state[:alive], c]
+            state[:alive] = self.goto[state[:alive], c]
+            t += 1
+        if alive:
+            goto, logp = self.goto.tolist(), self.logp.tolist()
+            for i in range(alive):
+                s, add = int(state[i]), 0.0
+                for c in classes[at[i] + t : at[i] + length[i]].tolist():
+                    add += logp[s][c]
+                    s = goto[s][c]
+                state[i], total[i] = s, total[i] + add
+        out = np.empty(len(at))
+        out[order] = total + self.end[state]
+        return out
+
     def score(self, text: str) -> float:
-        """Log likelihood of the text; -inf off the automaton."""
-        s, total = 0, 0.0
-        for ch in text:
-            c = _TABLE.get(ord(ch), 4)
-            total += self.logp[s, c]
-            s = self.goto[s, c]
-            if s < 0:
-                return -math.inf
-        return total + self.end[s]
+        classes = _CLASS[np.frombuffer(text.encode("latin-1", "replace"), np.uint8)]
+        return float(self.scores(classes, np.array([0]), np.array([len(classes)]))[0])
 
 
 def infer(words: list[str], alpha: float = ALPHA) -> Automaton:
@@ -156,13 +186,14 @@ def infer(words: list[str], alpha: float = ALPHA) -> Automaton:
             red.append(t)
     at = {s: i for i, s in enumerate(red)}
     n = len(red)
-    goto, logp, end = np.full((n, 5), -1, np.int64), np.full((n, 5), -30.0), np.full(n, -30.0)
+    goto, logp, end = np.zeros((n, 5), np.int64), np.zeros((n, 5)), np.zeros(n)
     for s, i in at.items():
-        total = count[s] + 0.5 * (len(kids[s]) + 1)
+        total = count[s] + 6 * UNSEEN
+        for c in range(5):
+            logp[i, c] = math.log((flow[s][c] + UNSEEN) / total / _WIDTH[c])
         for c, t in kids[s].items():
             goto[i, c] = at[t]
-            logp[i, c] = math.log((flow[s][c] + 0.5) / total / _WIDTH[c])
-        end[i] = math.log((stop[s] + 0.5) / total)
+        end[i] = math.log((stop[s] + UNSEEN) / total)
     return Automaton(goto, logp, end)
 
 
@@ -173,27 +204,38 @@ class Formats:
     automata: list[Automaton]
     background: np.ndarray
 
-    def margin(self, text: str) -> float:
-        """How much better per character an automaton explains the text than the background does."""
-        plain, last = 0.0, 5
-        for ch in text:
-            c = _TABLE.get(ord(ch), 4)
-            plain += self.background[last][c]
-            last = c
-        return max((a.score(text) - plain for a in self.automata), default=-math.inf) / len(text)
+    def sums(self, classes: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Running sums of the background's score, and of the most that each automaton may give."""
+        summed = lambda x: np.concatenate([[0.0], np.cumsum(x)])
+        return summed(self.background[before, classes]), [summed(a.logp.max(0)[classes]) for a in self.automata]
+
+    def evidence(self, classes: np.ndarray, sums: tuple[np.ndarray, list[np.ndarray]], starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Log likelihood ratio of the best automaton to the background for spans; -inf where it can't qualify."""
+        out = np.full(len(starts), -np.inf)
+        least = np.maximum(EVIDENCE, MARGIN * (ends - starts))
+        plain = sums[0][ends] - sums[0][starts]
+        for a, most in zip(self.automata, sums[1], strict=True):
+            maybe = np.flatnonzero(most[ends] - most[starts] + a.end.max() - plain >= least - 1e-6)
+            out[maybe] = np.maximum(out[maybe], a.scores(classes, starts[maybe], ends[maybe]) - plain[maybe])
+        return out
+
+
+def _before(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(whether a byte is a credential character, class of such a one right before it in its text, or 5)."""
+    run = _RUN[data]
+    before = np.full(len(data), 5, np.int64)
+    before[1:][run[:-1]] = _CLASS[data[:-1]][run[:-1]]
+    inner = bounds[:-1]
+    before[inner[inner < len(data)]] = 5
+    return run, before
 
 
 def class_pairs(column: pa.Array) -> np.ndarray:
     """Counts of (class before or 5, class) over all runs of credential characters of all texts."""
     out = np.zeros(36, np.int64)
     for _, _, data, bounds in pieces(column):
-        run = _RUN[data]
-        now = _CLASS[data]
-        before = np.full(len(data), 5, np.int64)
-        before[1:][run[:-1]] = now[:-1][run[:-1]]
-        inner = bounds[:-1]
-        before[inner[inner < len(data)]] = 5
-        out += np.bincount((before * 6 + now)[run], minlength=36)
+        run, before = _before(data, bounds)
+        out += np.bincount((before * 6 + _CLASS[data])[run], minlength=36)
     return out
 
 
@@ -206,16 +248,41 @@ def background(pairs: dict[int, int]) -> np.ndarray:
     return np.log(n / n.sum(1, keepdims=True) / _WIDTH)
 
 
-def learned_spans(text: str, taken: list[tuple[int, int, int]], formats: Formats) -> list[tuple[int, int]]:
-    """Spans of candidates that an automaton accepts and that no base span overlaps."""
-    out = []
-    for m in CANDIDATE.finditer(text):
-        a, b = m.span()
-        while b - a > 16 and text[b - 1] in ".=-":  # marks at the end belong to the sentence
-            b -= 1
-        if not any(x < b and a < y for x, _, y in taken) and formats.margin(text[a:b]) >= MARGIN:
-            out.append((a, b))
-    return out
+def candidates(data: np.ndarray, bounds: np.ndarray, run: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(starts, ends) of the runs, and then of their parts at finer and finer cuts."""
+    last = np.maximum.accumulate(np.where(_TRAIL[data], -1, np.arange(len(data))))  # the last place so far that is no mark
+    ink = run.copy()
+    border = np.zeros(len(data) + 1, bool)  # one text's run ends where the next one's begins
+    border[bounds] = True
+    for cut in (0, *b"=/."):
+        ink &= data != cut
+        starts = ink.copy()
+        starts[1:] &= ~ink[:-1] | border[1:-1]
+        ends = ink.copy()
+        ends[:-1] &= ~ink[1:] | border[1:-1]
+        starts, ends = np.flatnonzero(starts), np.flatnonzero(ends) + 1
+        if cut:  # parts beside such a cut are new
+            new = np.zeros(len(starts), bool)
+            new[starts > 0] = data[starts[starts > 0] - 1] == cut
+            new[ends < len(data)] |= data[ends[ends < len(data)]] == cut
+            starts, ends = starts[new], ends[new]
+        ends = np.minimum(ends, last[ends - 1] + 1)
+        ok = ends - starts >= SHORTEST
+        yield starts[ok], ends[ok]
+
+
+def learned_spans(column: pa.Array, formats: Formats) -> Iterator[tuple[int, int, int]]:
+    """(row, start, end) in bytes of the candidates that qualify, the largest ones first within a row."""
+    for i, _, data, bounds in pieces(column):
+        run, before = _before(data, bounds)
+        classes = _CLASS[data].astype(np.int64)
+        sums = formats.sums(classes, before)
+        for starts, ends in candidates(data, bounds, run):
+            good = formats.evidence(classes, sums, starts, ends) >= np.maximum(EVIDENCE, MARGIN * (ends - starts))
+            rows = np.searchsorted(bounds, starts[good], "right") - 1
+            for r, a, b in zip(rows.tolist(), starts[good].tolist(), ends[good].tolist(), strict=True):
+                base = int(bounds[r])
+                yield i + r, a - base, b - base
 
 
 def train(docs: DataFrame, max_train: int = MAX_TRAIN, text_col: str = "text") -> Formats:
@@ -236,20 +303,28 @@ def train(docs: DataFrame, max_train: int = MAX_TRAIN, text_col: str = "text") -
     pairs = {r.kind - 10: r.n for r in counted.where("kind >= 10").collect()}
     out = []
     for kind in range(len(KINDS)):
-        words = [r.word for r in counted.where(F.col("kind") == kind).orderBy(F.xxhash64("word"), "word").limit(max_train).collect()]
+        words = [r.word for r in counted.where((F.col("kind") == kind) & (F.length("word") <= MAX_LENGTH)).orderBy(F.xxhash64("word"), "word").limit(max_train).collect()]
         if words:
             out.append(infer(sorted(words)))
     return Formats(out, background(pairs))
 
 
-def scan_text(text: str, formats: Formats) -> tuple[list[int], str, str]:
-    """(base counts, base spans as text, all spans as text)."""
-    base = base_spans(text)
-    more = learned_spans(text, base, formats) if formats.automata else []
-    rows = sorted([*base, *((a, len(KINDS), b) for a, b in more)])
+def scan_batch(column: pa.Array, formats: Formats) -> list[tuple[list[int], str, str]]:
+    """Per text: base counts, base spans as text, all spans as text."""
+    texts = [x or "" for x in column.to_pylist()]
+    base = [base_spans(x) for x in texts]
+    more: dict[int, list] = {}
+    for row, a, b in learned_spans(column, formats) if formats.automata else ():
+        text = texts[row]
+        if not text.isascii():  # spans are in code points
+            raw = text.encode()
+            a, b = len(raw[:a].decode()), len(raw[:b].decode())
+        taken = [*base[row], *more.get(row, ())]
+        if not any(x < b and a < y for x, _, y in taken):
+            more.setdefault(row, []).append((a, len(KINDS), b))
     names = (*KINDS, LEARNED)
     said = lambda spans: ",".join(f"{names[k]}:{a}:{b}" for a, k, b in spans)
-    return [sum(k == i for _, k, _ in base) for i in range(3)], said(base), said(rows)
+    return [([sum(k == i for _, k, _ in spans) for i in range(3)], said(spans), said(sorted([*spans, *more.get(row, ())]))) for row, spans in enumerate(base)]
 
 
 def scanned(docs: DataFrame, formats: Formats, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -261,7 +336,7 @@ def scanned(docs: DataFrame, formats: Formats, id_col: str = "doc_id", text_col:
         for batch in batches:
             for i in range(0, batch.num_rows, 512):
                 part = batch.slice(i, 512)
-                rows = [scan_text(x or "", model.value) for x in part.column(1).to_pylist()]
+                rows = scan_batch(part.column(1), model.value)
                 n = [pa.array([r[0][k] for r in rows], pa.int64()) for k in range(3)]
                 digest = pa.array([hashlib.sha256(r[1].encode()).hexdigest() for r in rows], pa.string())
                 learned = pa.array([r[2].count(LEARNED) for r in rows], pa.int64())
