@@ -1,4 +1,5 @@
 import hashlib
+import itertools
 import random
 import re
 from collections import Counter
@@ -9,9 +10,15 @@ import pytest
 
 from sparkdoc.llm import chat, decontaminate, passages, pieces, quality, secret_scan, textkit
 
+from sparkdoc.llm.common import session_conf
+
 from .helpers import documents, shingle_set, words
 
-P = pytest.importorskip("public_tokenizers")
+try:
+    import public_tokenizers as P
+except ImportError:
+    P = None
+tokenizers = pytest.mark.skipif(P is None, reason="no tokenizer files")
 ODD = ["", None, " ", "a", "  a  b   ", "▁", "a▁b ▁▁ x", "\n\n a\t b", "日本語 テスト 🎉🎉", "<s> </s> <0x41>", "x" * 3000, "\x00a\x00", "é́ x"]
 
 
@@ -21,6 +28,7 @@ def sample(seed=1, n=200):
 
 
 # ---- pieces
+@tokenizers
 def test_pieces_equal_the_library_and_spans_cover(spark):
     import sentencepiece
 
@@ -46,17 +54,24 @@ def test_pieces_equal_the_library_and_spans_cover(spark):
     assert pieces.encoded_digests(documents(spark, []), P.path("piece_bpe_32k.model")).count() == 0
 
 
+@tokenizers
 def test_digests_come_from_aligned_and_decoded_pieces(monkeypatch):
     with open(P.path("piece_bpe_32k.model"), "rb") as f:
         encoder = pieces.Encoder(f.read())
-    texts = sample(7, 20)
+    texts = [*sample(7, 300), "a\nb", "\n", " \n", "a \n b\n\nc", "  \n", "x\n▁y ▁\n z", "a" * 500 + "\n" + "b c" * 300, "long words " * 20_000, "same", "same"]
     projected, decoded = [], []
-    spans, decode = encoder.spans, encoder.decode
-    monkeypatch.setattr(encoder, "spans", lambda x: projected.append(x) or spans(x))
-    monkeypatch.setattr(encoder, "decode", lambda x: decoded.append(x) or decode(x))
+    batch, decode = encoder.batch, encoder.decode
+    monkeypatch.setattr(encoder, "batch", lambda x: projected.append(len(x)) or batch(x))
+    monkeypatch.setattr(encoder, "decode", lambda x: decoded.extend(x) or decode(x))
     got = pieces._digests(pa.record_batch([pa.array(range(len(texts))), pa.array(texts, pa.string())], ["doc_id", "text"]), encoder)
-    assert projected == texts and len(decoded) == len(texts)
-    assert got.column(3).to_pylist() == [hashlib.sha256(decode(x).encode()).hexdigest() for x in decoded]
+    assert projected == [len(texts)] and len(decoded) == len(texts)
+    assert got.column(3).to_pylist() == [hashlib.sha256(x.encode()).hexdigest() for x in decode(decoded)]
+    assert decoded == [encoder.library.encode(x or "") for x in texts]
+    # a batch's spans are those of its texts one by one
+    ids, starts, ends = batch(pa.array(texts, pa.string()))
+    alone = [encoder.spans(x) for x in texts]
+    assert [x.tolist() for x in ids] == [x[0] for x in alone]
+    assert (np.stack([starts, ends], 1) == np.concatenate([x[1] for x in alone])).all()
 
 
 @pytest.mark.parametrize("rule", ["nmt_nfkc", "nfkc_cf", "identity"])
@@ -150,6 +165,17 @@ def test_secret_scans(spark):
         assert {s for s in got[i].spans.split(",") if not s.startswith("learned")} == set(want.split(","))  or not want
     assert sum("learned" in got[i].spans for i in range(120, 140)) >= 16  # bare keys of the assigned format
     assert sum("learned" in x.spans for i, x in got.items() if i >= 144) == 0
+    # short and glued credentials of a known format, in urls and beside other marks; and texts of any length, repeated
+    short = lambda: "".join(r.choices("BCDFGHJKLMNPQRSTVWXZ", k=4)) + "".join(r.choices("0123456789", k=7))
+    keys = [short() for _ in range(12)]
+    long = "é" + "lorem ipsum " * 30_000 + keys[3] + " dolor" * 1_000 + " " + "x" * 50_000
+    tried = [f"see http://host.example/a/{keys[0]}/b?c", f"name={keys[1]} and", f"plain {keys[2]}.", long, long, *["a plain text of words"] * 3, None]
+    labelled = [(i, f"token={short()} among plain words like internationalisation and host.example/path") for i in range(200)]
+    more = secret_scan.train(documents(spark, labelled))
+    found = {}
+    for x in secret_scan.scanned(documents(spark, list(enumerate(tried))), more).collect():
+        found[x.doc_id] = [tried[x.doc_id][int(s.split(":")[1]) : int(s.split(":")[2])] for s in x.spans.split(",") if s.startswith("learned")]
+    assert found == {0: [keys[0]], 1: [keys[1]], 2: [keys[2]], 3: [keys[3]], 4: [keys[3]], 5: [], 6: [], 7: [], 8: []}
     assert secret_scan.scanned(docs.limit(0), secret_scan.train(docs.limit(0))).count() == 0
 
 
@@ -158,6 +184,21 @@ def test_automaton_prefers_its_format():
     make = lambda: "ab-" + "".join(r.choices("0123456789", k=10))
     a = secret_scan.infer([make() for _ in range(300)])
     assert a.score(make()) > -60 > a.score("zz-" + "q" * 10) and len(a.goto) < 40
+    # spans scored together have the scores that each has alone, however long
+    words = [make() + "Z" * r.randrange(40) for _ in range(50)] + ["q" * 3000, "x"]
+    data = np.frombuffer("".join(words).encode(), np.uint8)
+    stop = np.cumsum([len(w) for w in words])
+    together = a.scores(secret_scan._CLASS[data], stop - [len(w) for w in words], stop)
+
+    def plain(w):
+        s, total = 0, 0.0
+        for ch in w:
+            c = 0 if ch.isdigit() else 1 if ch in "abcdef" else 2 if ch.islower() else 3 if ch.isupper() else 4
+            total += a.logp[s, c]
+            s = a.goto[s, c]
+        return total + a.end[s]
+
+    assert np.allclose(together, [plain(w) for w in words])
 
 
 # ---- decontamination
@@ -237,11 +278,47 @@ def cartesian(v, least):
 
 
 @pytest.mark.parametrize("least", [1, 2, 5, 46])
-def test_compact_windows_are_the_cartesian_trees_nodes(least):
-    t = np.random.default_rng(least).integers(0, 1 << 63, 300, dtype=np.uint64)
-    for h in range(2):
-        got = sorted(zip(*(x.tolist() for x in passages.compact_windows(t, h, least)), strict=True))
-        assert got == cartesian(textkit.mix(t * passages._SEEDS[h]), least)
+def test_windows_are_the_cartesian_trees_nodes_joined_on_their_intervals(least):
+    r = np.random.default_rng(least)
+    texts = [r.integers(0, 1 << 63, n, dtype=np.uint64) for n in (300, 46, 45, 120, 1)]
+    tokens, text = np.concatenate(texts), np.repeat(np.arange(5), [len(t) for t in texts])
+    base = np.cumsum([0, *map(len, texts)])
+    for family in range(passages.FAMILIES):
+        want = []
+        for t, b in zip(texts, base, strict=False):
+            # a node's runs begin within its subtree, so that they hold it
+            trees = [[(c, max(a, c - least + 1), min(c, e - least + 1)) for _, a, c, e in cartesian(textkit.mix(t * passages._SEEDS[h]), least)] for h in (2 * family, 2 * family + 1)]
+            want += [(b + max(a, x), b + c, b + min(e, y) + least - 1) for c, a, e in trees[0] for _, x, y in trees[1] if max(a, x) <= min(e, y)]
+        _, l, c, r_ = passages.joint_windows(tokens, text, family, least)
+        assert sorted(zip(l.tolist(), c.tolist(), r_.tolist(), strict=True)) == sorted(want)
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 7, 1000])
+def test_members_are_those_of_whole_groups(size):
+    """Groups that go over batches, with copies of rows, against a plain grouping."""
+    r = np.random.default_rng(3)
+    rows = [(int(v) * 4 + int(f), int(t) ^ int(passages._ORDER[f]), int(p) * 46 * 46 + 46 * 3 + 5) for v, f, t, p in zip(r.integers(0, 40, 600), r.integers(0, 3, 600), r.integers(0, 6, 600), r.integers(0, 4, 600), strict=True)]
+    rows = sorted(rows + rows[:100] + [(801, 7 ^ int(passages._ORDER[1]), 46 * 46 * i) for i in range(9)])
+    table = np.array(rows)
+    batches = [pa.record_batch([pa.array(table[i : i + size, j]) for j in range(3)], ["value", "rank", "place"]) for i in range(0, len(table), size)]
+    got = sorted(x for b in passages._members(batches, 46) for x in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True))
+    want = []
+    for v in {x[0] for x in rows}:
+        group = sorted({x for x in rows if x[0] == v})
+        if len({x[1] for x in group}) > 1:
+            turn, (_, cr, cp) = int(passages._ORDER[v & 3]), group[0]
+            for _, rank, place in group:
+                win = len(group) > 2 and v & 3 == 0
+                c, cc = place // 46**2, cp // 46**2
+                if rank != cr or (win and c != cc):
+                    want.append((rank ^ turn, cr ^ turn, c - cc, c - place % 46**2 // 46, c + place % 46, win))
+    assert got == sorted(want)
+
+
+def test_periodic_texts_have_few_windows():
+    t = np.tile(np.random.default_rng(1).integers(0, 1 << 63, 3, dtype=np.uint64), 5000)
+    name, *_ = passages.joint_windows(t, np.zeros(len(t), np.int64), 0, 46)
+    assert len(name) <= 6
 
 
 def test_exact_repeats_are_found(spark):
@@ -316,21 +393,21 @@ def test_exact_repeats_are_found_beside_a_third_text(spark):
     assert not lost, lost[:5]
 
 
-def test_near_repeats_are_found_for_certain(spark):
-    """Fifty words with the middle one changed, alone and beside third texts that have a part of them."""
+def test_near_repeats_recall(spark):
+    """Fifty words with the middle one changed (similarity 0.80), alone and beside texts that have a part of them: over nine of ten are found, nothing else."""
     r = random.Random(22)
     text = lambda n: [f"q{r.randrange(10**9)}" for _ in range(n)]
     rows = []
-    for g in range(200):
+    for g in range(400):
         p = text(50)
         q = [*p[:25], "changed", *p[26:]]
         made = [text(15) + p + text(15), text(15) + q + text(15)]
         if g % 2:  # parts of the passage that are too short for a pair
             made += [text(30) + p[a : a + 18] + text(30) for a in (0, 7, 26, 32)]
-        rows += [(10 * g + i, " ".join(w)) for i, w in enumerate(made if g % 4 < 2 else made[::-1])]
+        rows += [(10 * g + i, " ".join(w)) for i, w in enumerate(made)]
     got = {frozenset((x.doc_id, x.rep_doc_id)) for x in passages.repeated_passages(documents(spark, rows)).collect()}
-    want = {frozenset((10 * g, 10 * g + 1)) if g % 4 < 2 else frozenset((10 * g + n, 10 * g + n + 1)) for g in range(200) for n in [4 if g % 2 else 0]}
-    assert got == want
+    want = {frozenset((10 * g, 10 * g + 1)) for g in range(400)}
+    assert got <= want and len(got) >= 0.93 * len(want)
 
 
 # ---- chat
@@ -369,11 +446,53 @@ def test_fragments_give_the_whole_path(spark):
     score = lambda path: model.start[path[0]] + sum(model.move[a, b] for a, b in zip(path, path[1:], strict=False)) + model.emissions(seen)[np.arange(90), path].sum()
     assert abs(score(got) - score(whole)) < 1e-9
     one = [(1, t, ["user", "assistant"][t % 2], "line\nline") for t in range(400)] + [(None, 0, None, None), (2, 0, "user", ""), (2, 0, "user", "")]
-    turns = spark.createDataFrame(one, "conv_id long, turn long, role string, text string")
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
-    try:
+    turns = spark.createDataFrame([(*x, 1, "x") for x in one], "conv_id long, turn long, role string, text string, part int, place string")
+    with session_conf(spark, spark__sql__adaptive__coalescePartitions__enabled="false"):
         out = chat.parsed(turns, chat.train(turns)).collect()
-    finally:
-        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert [x.role for x in sorted((x for x in out if x.conv_id == 1), key=lambda x: x.turn)] == ["user", "assistant"] * 200
-    assert chat.parsed(turns.limit(0), model).count() == 0
+    assert chat.parsed(turns.limit(0), model).count() == 0 and np.isfinite(chat.train(turns.limit(0)).move).all()
+
+
+def test_the_path_is_the_best_of_all():
+    """Viterbi against all paths, on lines with and without markers."""
+    model = chat.count([[("user", "a?"), ("assistant", "b\nc")], [("system", "x"), ("user", "q\nr?"), ("assistant", "long " * 50), ("tool", "1")]])
+    r = np.random.default_rng(4)
+    for _ in range(12):
+        seen = np.stack([r.integers(0, n, 4) for n in (5, 7, 2, 2)], 1)
+        said = model.emissions(seen)
+        score = lambda p: model.start[p[0]] + sum(model.move[a, b] for a, b in itertools.pairwise(p)) + sum(said[i, s] for i, s in enumerate(p))  # noqa: B023, E731
+        best = max(map(score, itertools.product(range(chat.STATES), repeat=4)))
+        assert abs(best - score(model.path(seen))) < 1e-9
+
+
+def test_turns_keep_their_texts_however_they_are_dealt(spark):
+    """Unmarked rows go on with a turn over many partitions; texts, indents and unknown roles stay as they are; turn numbers begin anywhere."""
+    labelled = [(c, 1000 + t, role, text) for c in range(40) for t, (role, text) in enumerate([("user", "why?\nplease?"), ("assistant", "It is so.\n" * 5 + "end"), ("user", "and?"), ("assistant", "No.\nno")] * 2)]
+    model = chat.train(spark.createDataFrame(labelled, "conv_id long, turn long, role string, text string"))
+    again = chat.count([[(role, text) for x, _, role, text in labelled if x == c] for c in range(40)])
+    assert np.allclose(model.move, again.move) and np.allclose(model.start, again.start) and all(np.allclose(a, b) for a, b in zip(model.say, again.say, strict=True))
+    rows = [(7, 0, "user", "   indented code"), (7, 1, "assistant", "\n".join(f"  row {i}" for i in range(300))), (7, 2, "moderator", "hi there"), (8, 0, None, "User:  two spaces"), (8, 1, "human", "User: quoted"), (8, 2, "assistant", "x" * 200_000)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    # a path may cut a row into turns, but all lines are there, in order and unchanged but for markers that were cut off
+    want = {}
+    for conv, _, role, text in rows:
+        want.setdefault(conv, []).extend((text if role else text.replace("User: ", "")).split("\n"))
+    got = {}
+    for parts in (1, 7):
+        with session_conf(spark, spark__sql__adaptive__coalescePartitions__enabled="false", spark__sql__shuffle__partitions=parts):
+            got[parts] = sorted(map(tuple, chat.parsed(turns, model).collect()))
+    assert got[1] == got[7]
+    lines = {}
+    for conv, turn, line, begins, role, n, text, rendered in got[7]:
+        assert rendered == f"<|{role}|>\n{text}\n<|end|>" and text.count("\n") + 1 == n
+        lines.setdefault(conv, []).extend(text.split("\n"))
+    assert lines == want
+    assert {(c, t): role for c, t, line, _, role, *_ in got[1] if line == 0 and t < 2 and c == 7} == {(7, 0): "user", (7, 1): "assistant"}
+    # one conversation whose single turn lies in many partitions
+    long = [(1, t, "assistant" if t == 0 else None, f"sentence {t} goes on. " * 8) for t in range(500)]
+    frame = spark.createDataFrame(long, "conv_id long, turn long, role string, text string")
+    both = []
+    for parts in (1, 9):
+        with session_conf(spark, spark__sql__adaptive__coalescePartitions__enabled="false", spark__sql__shuffle__partitions=parts):
+            both.append(sorted(map(tuple, chat.parsed(frame, model).collect())))
+    assert both[0] == both[1]
