@@ -204,7 +204,9 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Tre
     """Trees fitted on labelled documents; None without both classes. ``labels``: doc_id, quality (0 or 1)."""
     known = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     known = known.orderBy(F.xxhash64("doc_id", F.lit("train")), "doc_id").limit(max_train)
-    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")  # at most max_train rows
+    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")  # at most max_train ids
+    # of rows that share an id the least text counts
+    rows = rows.groupBy("doc_id", "quality").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -212,7 +214,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Tre
             yield pa.record_batch([batch.column(0), batch.column(2), pa.array(list(x), pa.list_(pa.float64()))], ["doc_id", "quality", "x"])
 
     found = rows.select("doc_id", "text", F.col("quality").cast("int")).mapInArrow(features, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, quality int, x array<double>")
-    found = sorted(map(tuple, found.limit(2 * max_train).collect()))  # max_train ids; repeated ids are the only more
+    found = sorted(map(tuple, found.collect()))
     y = np.array([r[1] for r in found], float)
     if len(set(y)) < 2:
         return None
@@ -233,6 +235,22 @@ def _judged(batches: Iterator[pa.RecordBatch], at: int, trees, threshold: float)
         yield pa.RecordBatch.from_arrays([*batch.columns, *made], [*batch.schema.names, *BASE, "base_failed", "score", "kept"])
 
 
+def _passing(batches: Iterator[pa.RecordBatch], at: int, trees, threshold: float) -> Iterator[pa.RecordBatch]:
+    model = trees.value
+    for batch in batches:
+        base, x = statistics(batch.column(at))
+        keep = ~base_failed(base)
+        if model and keep.any():
+            keep &= model.score(x) >= threshold
+        yield batch.filter(pa.array(keep))
+
+
+def passing(docs: DataFrame, trees: Trees | None, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
+    """The documents that are kept, with their own columns only."""
+    model = docs.sparkSession.sparkContext.broadcast(trees)  # a few thousand nodes
+    return docs.mapInArrow(partial(_passing, at=docs.columns.index(text_col), trees=model, threshold=threshold), docs.schema)
+
+
 def judged(docs: DataFrame, trees: Trees | None, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
     """``docs`` with the base counts, base_failed, score (log odds) and kept. Columns that clash are replaced."""
     made = [*BASE, "base_failed", "score", "kept"]
