@@ -9,8 +9,9 @@ differs from the one before it is a new document, the first row of a hash is its
 added up per hash with map-side combining.
 
 Marking: the lines whose key is in ``min_docs`` documents or more are joined back by hash, and their positions become
-one run-length coded keep bitmap per distinct text: ``keep_runs``, an array of (first, length). No text is shuffled
-for that; ``apply_runs`` slices the kept lines out of a text.
+one run-length coded keep bitmap per distinct text: ``keep_runs``, an array of (first, length). The ``HOT`` most frequent
+keys are spread over ``SALTS`` tasks there. No text is shuffled for the bitmaps. ``line_dedup`` and ``without_lines``
+then join texts to bitmaps by fingerprint, which shuffles every text once, and slice the kept lines out of them.
 
 Defined cases: a null text is one empty line, as the empty text is; each row is a document, also where ids repeat or
 are null; an empty table gives an empty result; other columns are ignored.
@@ -21,9 +22,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACES, ascii_lower
+from .common import SPACES, ascii_lower, checkpointed
 
 SALTS = 64
+HOT = 1000
 RANGE_BITS = 12
 FINGERPRINT = ["fp64", "fp32"]
 
@@ -76,10 +78,14 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep:
     """
     if keep not in ("none", "first"):
         raise ValueError(f"keep is none or first, not {keep!r}")
-    keys = repeated_keys(docs, min_docs, min_chars, id_col, text_col)
+    keys = checkpointed(repeated_keys(docs, min_docs, min_chars, id_col, text_col))
+    hot = F.broadcast(keys.orderBy(F.col("n_docs").desc(), "k64", "k32").limit(HOT).select("k64", "k32", F.lit(True).alias("hot")))  # HOT rows
+    salts = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    keys = keys.join(hot, ["k64", "k32"], "left").withColumn("salt", F.explode(salts)).drop("hot", "n_docs")
     rows = docs.select(F.col(id_col).alias("doc"), *fingerprint(F.col(text_col)), lines_of(F.col(text_col)).alias("lines"))
     lines = _keyed(rows.select("doc", *FINGERPRINT, F.size("lines").alias("n_lines"), F.posexplode("lines").alias("pos", "line")), min_chars)
-    hit = lines.join(keys, ["k64", "k32"])
+    lines = lines.join(hot, ["k64", "k32"], "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("fp64", "fp32", "doc"), F.lit(SALTS)).cast("int")).otherwise(0)).drop("hot")
+    hit = lines.join(keys, ["k64", "k32", "salt"])
     if keep == "first":
         hit = hit.where(~(F.col("doc").eqNullSafe(F.col("first_doc")) & (F.col("fp64") == F.col("first_fp64")) & (F.col("fp32") == F.col("first_fp32")) & (F.col("pos") == F.col("first_pos"))))
         # copies of one text under other ids lose the line that the first document keeps
@@ -97,15 +103,26 @@ def apply_runs(text: Column, runs: Column) -> Column:
     return F.when(runs.isNull(), F.coalesce(text, F.lit(""))).otherwise(F.array_join(F.flatten(F.transform(runs, lambda r: F.slice(lines, r["first"] + 1, r["length"]))), "\n"))
 
 
-def line_dedup(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep: str = "none", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with n_lines, n_dropped, keep_runs (null: all lines stay) and kept_text."""
-    maps = keep_bitmaps(docs, min_docs, min_chars, keep, id_col, text_col).drop("n_lines").withColumnsRenamed({"fp64": "_m64", "fp32": "_m32", "doc_key": "_mkey", "n_dropped": "_dropped", "keep_runs": "_runs"})
+def _joined(docs: DataFrame, min_docs: int, min_chars: int, keep: str, id_col: str, text_col: str) -> tuple[DataFrame, list[Column]]:
+    """``docs`` with their bitmaps' columns under names that nothing else has; and (n_lines, n_dropped, keep_runs, kept_text)."""
+    maps = keep_bitmaps(docs, min_docs, min_chars, keep, id_col, text_col).drop("n_lines").withColumnsRenamed({"fp64": "_line_m64", "fp32": "_line_m32", "doc_key": "_line_mkey", "n_dropped": "_line_dropped", "keep_runs": "_line_runs"})
     f64, f32 = fingerprint(F.col(text_col))
-    own = docs.withColumns({"_f64": f64, "_f32": f32})
-    on = (F.col("_f64") == F.col("_m64")) & (F.col("_f32") == F.col("_m32"))
+    own = docs.withColumns({"_line_f64": f64, "_line_f32": f32})
+    on = (F.col("_line_f64") == F.col("_line_m64")) & (F.col("_line_f32") == F.col("_line_m32"))
     if keep == "first":
-        on = on & (F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("-"))) == F.col("_mkey"))
-    joined = own.join(maps, on, "left")
-    return joined.select(*[F.col(c) for c in docs.columns if c not in ("n_lines", "n_dropped", "keep_runs", "kept_text")],
-                         F.size(lines_of(F.col(text_col))).cast("long").alias("n_lines"), F.coalesce(F.col("_dropped"), F.lit(0)).cast("long").alias("n_dropped"),
-                         F.col("_runs").alias("keep_runs"), apply_runs(F.col(text_col), F.col("_runs")).alias("kept_text"))
+        on = on & (F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("-"))) == F.col("_line_mkey"))
+    made = [F.size(lines_of(F.col(text_col))).cast("long"), F.coalesce(F.col("_line_dropped"), F.lit(0)).cast("long"), F.col("_line_runs"), apply_runs(F.col(text_col), F.col("_line_runs"))]
+    return own.join(maps, on, "left"), made
+
+
+def line_dedup(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep: str = "none", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with n_lines, n_dropped, keep_runs (null: all lines stay) and kept_text; columns of these names are replaced."""
+    joined, made = _joined(docs, min_docs, min_chars, keep, id_col, text_col)
+    names = ["n_lines", "n_dropped", "keep_runs", "kept_text"]
+    return joined.select(*[F.col(c) for c in docs.columns if c not in names], *[m.alias(n) for m, n in zip(made, names, strict=True)])
+
+
+def without_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep: str = "none", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with the kept text in place of the text, all other columns as they are."""
+    joined, made = _joined(docs, min_docs, min_chars, keep, id_col, text_col)
+    return joined.select(*[made[3].alias(c) if c == text_col else F.col(c) for c in docs.columns])
