@@ -99,8 +99,9 @@ class Size:
     def candidates(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(window, item) within the radius."""
         found = [np.zeros(0, np.int64)] * 2
-        for s in range(0, len(prints), 4096):
-            p = prints[s : s + 4096]
+        step = max(1, min(4096, (1 << 24) // len(self.items)))  # windows whose table with all items has 16 MB at most
+        for s in range(0, len(prints), step):
+            p = prints[s : s + step]
             hit = self.tables[0][p[:, 0]]
             for b in range(1, 8):
                 hit = hit | self.tables[b][p[:, b]]
@@ -216,7 +217,7 @@ class Index:
 def indexes(benchmark: DataFrame, k: int = 5, radius: int = RADIUS, block_words: int = BLOCK_WORDS, id_col: str = "item_id", text_col: str = "text") -> Iterator[Index]:
     """One index for each block of the benchmark."""
     items = benchmark.select(F.col(id_col).alias("item"), F.col(text_col).alias("text")).where("text is not null")
-    total = items.agg(F.sum(F.size(F.split("text", " ")))).first()[0] or 0
+    total = items.agg(F.sum(F.size(F.split("text", r"[\x20\x09-\x0D]+")))).first()[0] or 0
     blocks = max(1, -(-total // block_words))
     for b in range(blocks):
         part = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b) if blocks > 1 else items
