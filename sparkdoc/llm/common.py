@@ -26,9 +26,11 @@ def ascii_lower(text: Column) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; only where none is set (tests) a temporary one."""
+    """The folder of ``spark.checkpoint.dir``; only where none is set and all runs in one process (tests) a temporary one."""
     sc = spark.sparkContext
     if (found := spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()) is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: executors and driver need a folder that all of them see")
         found = tempfile.mkdtemp("-checkpoints")
         sc.setCheckpointDir(found)
     return found
