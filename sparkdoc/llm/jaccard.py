@@ -338,11 +338,12 @@ def links(docs: DataFrame, num: int = 80, den: int = 100, k: int = 5, id_col: st
     found = searched(_dealt_once(buckets))
     first = _verified(found.select("a", "b").distinct(), nodes, rows, num, den, k)
     discard(found)
-    edges = first.where("ok").select("a", "b")
-    found = searched(_dealt(buckets, components(edges)))
+    label = components(first.where("ok"))
+    found = searched(_dealt(buckets, label))
     fresh = found.select("a", "b").distinct().join(first.select("a", "b"), ["a", "b"], "left_anti")
     second = _verified(fresh, nodes, rows, num, den, k)
-    edges = edges.unionByName(second.where("ok").select("a", "b"))
+    # from here on a component is the links of its nodes to its name, which is sooner contracted again
+    edges = label.select(F.col("node").alias("a"), F.col("component").alias("b")).where("a != b").unionByName(second.where("ok").select("a", "b"))
     wrong = first.where("not ok").select("a", "b").unionByName(second.where("not ok").select("a", "b"))
     again = checkpointed(found.join(wrong, ["a", "b"], "left_semi").select("token").distinct())
     discard(found)
