@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from dataclasses import dataclass
 from decimal import Decimal
-from functools import reduce
+from functools import reduce, total_ordering
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..errors import ArgumentError
-from .paths import Ref, parse_path
+from .paths import EXACT, Ref, parse_path
 
 
 @dataclass(frozen=True)
@@ -55,13 +56,39 @@ def after_cursor(ref: Ref, sort: Sort, key: Column, cursor: str) -> Column:
     """Rows behind the position: keyset comparison part by part."""
     values, last = decode_cursor(cursor)
     parts = ref.order()
+    if {len(values), len(parts)} == {3, 4}:  # fields without large integers have no part for them
+        values = [*values[:2], None, *values[2:]] if len(parts) == 4 else [*values[:2], *values[3:]]
     if len(values) != len(parts):
         raise ArgumentError("the cursor is of another sort")
     out = []
     same = F.lit(True)
-    for part, v in zip(parts, values, strict=True):
-        at = F.lit(v)
+    for i, (part, v) in enumerate(zip(parts, values, strict=True)):
+        at = F.lit(v) if v is None or i != 2 or len(parts) == 3 else F.lit(Decimal(v)).cast(EXACT)  # large integers are written as text
         if v is not None:
             out.append(same & ((part < at) if sort.descending else (part > at)))
         same = same & part.eqNullSafe(at)
     return reduce(Column.__or__, out, same & (key > last))
+
+
+def position_order(sort: Sort) -> Callable[[str], tuple]:
+    """Sorts cursors as the query sorts their rows: missing parts last in descending order, keys ascending either way."""
+
+    @total_ordering
+    class Part:
+        def __init__(self, x: object) -> None:
+            self.x = (x is not None, x)
+
+        def __eq__(self, other: object) -> bool:
+            return self.x == other.x
+
+        def __lt__(self, other: Part) -> bool:
+            return self.x != other.x and ((other.x < self.x) if sort.descending else (self.x < other.x))
+
+    def order(cursor: str) -> tuple:
+        values, key = decode_cursor(cursor)
+        if len(values) == 3:
+            values.insert(2, None)
+        values[2] = None if values[2] is None else Decimal(values[2])  # large integers are written as text
+        return (*map(Part, values), key)
+
+    return order

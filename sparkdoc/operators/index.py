@@ -6,13 +6,13 @@ import hashlib
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import ArgumentError
 from ..functions.paths import parse_path, resolve
 from ..functions.sort import Sort, order_by
-from ..plans.query import KeyRange, Query
+from ..plans.query import Index, KeyRange, Query
 
 
 @dataclass(frozen=True)
@@ -48,6 +48,35 @@ def build(collection: DataFrame, spec: IndexSpec, path: str) -> None:
     entries(collection, spec).repartitionByRange(*order, F.col("key")).sortWithinPartitions(*order, F.col("key")).write.mode("overwrite").parquet(path)
 
 
+def opened(spark: SparkSession, spec: IndexSpec, path: str) -> Index:
+    """A built side table, ready to be read by queries."""
+    return Index(spec, spark.read.parquet(path))
+
+
+def backfill_step(collection: DataFrame, spec: IndexSpec, path: str, after: str | None = None, most: int = 10_000) -> str | None:
+    """Adds the entries of the next ``most`` rows of the prefix by key to the side table; returns the key it came to, None at the end.
+
+    A step is bounded, so writes go on between steps: ``updated`` with the keys at or below the step's key keeps what is
+    there current. Each step is a folder of its own, which a step that is done again writes over.
+    """
+    keys = KeyRange(prefix=spec.prefix, after=after)
+    edge = collection.where(keys.predicate(F.col("key"))).select("key").orderBy("key").limit(most + 1).agg(F.count(F.lit(1)).alias("n"), F.max("key").alias("last")).first()
+    more = edge.n > most
+    part = collection.where(keys.predicate(F.col("key")))
+    if more:
+        part = part.where(F.col("key") < edge["last"])
+    name = hashlib.sha256((after or "").encode()).hexdigest()[:16]
+    order = [c.desc() if spec.descending else c.asc() for c in map(F.col, ("tag", "number", "exact", "text"))]
+    entries(part, spec).sortWithinPartitions(*order, F.col("key")).write.mode("overwrite").parquet(f"{path}/step={name}")
+    return part.agg(F.max("key")).first()[0] if more else None
+
+
+def drop_step(index: DataFrame, most: int = 10_000) -> DataFrame:
+    """What is left of a side table after a step of its removal: all but its ``most`` least keys."""
+    gone = index.select("key").orderBy("key").limit(most)
+    return index.join(F.broadcast(gone), "key", "left_anti")  # at most ``most`` rows
+
+
 def updated(index: DataFrame, before: DataFrame, after: DataFrame, spec: IndexSpec) -> DataFrame:
     """The side table after a commit: entries of changed keys go, those of their new values come."""
     changed = before.select("key").unionByName(after.select("key")).distinct()

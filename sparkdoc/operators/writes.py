@@ -139,24 +139,63 @@ def fold_requests(requests: DataFrame, retention_ms: int = RETENTION_MS) -> Data
     return ordered.mapInPandas(run, _OUT)
 
 
-def first_of_each_mutation(log: DataFrame, retention_ms: int = RETENTION_MS) -> DataFrame:
-    """Retry dedupe: of the rows of a mutation id those of its first seq stay; a retry after the retention is a new write.
+def attempts(log: DataFrame, order: str = "seq", retention_ms: int = RETENTION_MS, payload: bool = True) -> DataFrame:
+    """(mutation_id, ``order``, outcome, version): each arrival of a mutation id, judged by the ones before it.
 
-    ``deduplicated`` marks the others, which publish nothing.
+    The record of a write lives for the retention, counted from that write's own time. An arrival while it lives is
+    ``deduplicated`` and has the write's version, or, with ``payload``, ``mutation_id_reused`` if its ops differ; neither
+    renews the record. One that finds none is ``applied``, a new write. An id's arrivals are streamed in order with
+    one record held, so an id may come any number of times. Null ids are never retries.
     """
-    w = Window.partitionBy("mutation_id")
-    first = F.min(F.struct("seq", "timestamp_ms")).over(w)
-    return log.withColumn("deduplicated", (F.col("seq") > first["seq"]) & (F.col("timestamp_ms") - first["timestamp_ms"] < retention_ms))
+    op = F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in ("kind", "key", "value") if c in log.columns], (F.col("expires_at_ms") - F.col("timestamp_ms")))
+    said = F.concat_ws("/", F.count(F.lit(1)), F.bit_xor(op), F.sum(F.shiftright(op, 24))) if payload else F.lit("")
+    each = log.where("mutation_id is not null").groupBy("mutation_id", order).agg(F.max("timestamp_ms").alias("at"), said.alias("said"))
+    ordered = each.repartition("mutation_id").sortWithinPartitions("mutation_id", order)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, record = None, None
+        for frame in frames:
+            ids, when, told = frame["mutation_id"].to_numpy(), frame["at"].to_numpy(), frame["said"].to_numpy()
+            version, outcome = frame[order].to_numpy().copy(), ["applied"] * len(frame)
+            again = [i for i in range(len(ids)) if ids[i] == (ids[i - 1] if i else last)]
+            for i in again:
+                if i and ids[i - 1] != (ids[i - 2] if i > 1 else last):  # the one before is the id's first
+                    record = version[i - 1], told[i - 1], when[i - 1]
+                if record[2] + retention_ms > when[i]:
+                    outcome[i] = "deduplicated" if record[1] == told[i] else "mutation_id_reused"
+                    version[i] = record[0]
+                else:
+                    record = version[i], told[i], when[i]
+            if len(ids):
+                if not again or again[-1] != len(ids) - 1:
+                    record = version[-1], told[-1], when[-1]
+                last = ids[-1]
+            yield pd.DataFrame({"mutation_id": ids, order: frame[order], "outcome": outcome, "version": version})
+
+    return ordered.mapInPandas(run, f"mutation_id string, {order} bigint, outcome string, version bigint")
+
+
+def first_of_each_mutation(log: DataFrame, retention_ms: int = RETENTION_MS) -> DataFrame:
+    """Retry dedupe: the log with ``outcome`` and ``version`` of each row's batch; ``deduplicated`` marks what publishes nothing."""
+    judged = log.join(attempts(log, "seq", retention_ms), ["mutation_id", "seq"], "left")
+    out = F.coalesce("outcome", F.lit("applied"))
+    return judged.select(*log.columns, out.alias("outcome"), F.coalesce("version", "seq").alias("version"), (out != "applied").alias("deduplicated"))
+
+
+def without_retries(log: DataFrame, order: str = "idx", retention_ms: int = RETENTION_MS) -> DataFrame:
+    """The log without batches that come again: an accepted write that is sent again isn't judged again."""
+    again = attempts(log, order, retention_ms, payload=False).where("outcome <> 'applied'").select("mutation_id", order)
+    return log.join(again, ["mutation_id", order], "left_anti").select(log.columns)
 
 
 def last_writer_wins(log: DataFrame) -> DataFrame:
     """Rows (idx, key, timestamp_ms, mutation_id, strict, and others) with ``wins`` and the pair they met.
 
     A strict write always wins and sets the pair; other writes win with a greater (timestamp, id) than all since the
-    last strict one. Windows are per key and stream in log order.
+    last strict one. Retries are left out first. Windows are per key and stream in log order.
     """
     order = Window.partitionBy("key").orderBy("idx")
-    rows = log.withColumn("segment", F.sum(F.when(F.col("strict"), 1).otherwise(0)).over(order))
+    rows = without_retries(log).withColumn("segment", F.sum(F.when(F.col("strict"), 1).otherwise(0)).over(order))
     before = Window.partitionBy("key", "segment").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
     pair = F.struct("timestamp_ms", "mutation_id")
     rows = rows.withColumn("met", F.max(pair).over(before))

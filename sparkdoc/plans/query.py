@@ -3,26 +3,34 @@
 A collection is a DataFrame with ``key`` (string) and ``value`` (VARIANT or struct), and whatever else records have.
 Everything is declared on DataFrames, so key ranges and typed predicates reach the scan, sort with limit is a
 distributed top-k, and aggregates combine on the map side; nothing loops over pages on the driver.
+
+``page`` serves the client protocol: at most ``max_scanned`` rows are looked at, and the answer says where to go on. With
+an index (``Index``: definition and side table) that covers the range, these rows are the side table's entries in its
+order, and the collection is read at their keys only and checked against the whole filter.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import ArgumentError, SortUnavailable
-from ..functions.aggregates import Aggregates, expressions, parse_aggregates, shaped
-from ..functions.filters import compile_filter, parse, top_level
+from ..functions.aggregates import Aggregates, expressions, merge, parse_aggregates, shaped
+from ..functions.filters import COMPARE, compile_filter, parse, top_level
 from ..functions.paths import Ref, resolve
 from ..functions.project import parse_fields, projected
-from ..functions.sort import Sort, after_cursor, encode_cursor, order_by, parse_sort
+from ..functions.sort import Sort, after_cursor, decode_cursor, encode_cursor, order_by, parse_sort, position_order
 
 DEFAULT_LIMIT, MAX_LIMIT = 100, 1000
 DEFAULT_SCANNED, MAX_SCANNED = 10_000, 100_000
-_NAMES = {"prefix", "start", "end", "after", "cursor", "where", "fields", "aggregate", "sort", "limit", "max_scanned"}
+_NAMES = {"prefix", "start", "end", "after", "where", "fields", "aggregate", "sort", "limit", "max_scanned", "consistency", "max_staleness_ms"}
+CONSISTENCY = ("strict", "session", "bounded", "available", "eventual")
+#: Candidate keys that are pushed to the scan one by one; more are pushed as a range.
+MAX_KEYS = 1000
 
 
 def prefix_end(prefix: str) -> str | None:
@@ -74,9 +82,10 @@ class QuerySpec:
     fields: list | None = None
     aggregate: Aggregates | None = None
     sort: Sort | None = None
-    cursor: str | None = None
+    after: str | None = None
     limit: int = DEFAULT_LIMIT
     max_scanned: int = DEFAULT_SCANNED
+    consistency: str = "strict"
 
     @classmethod
     def of(cls, spec: dict) -> QuerySpec:
@@ -95,8 +104,35 @@ class QuerySpec:
         sort = parse_sort(spec["sort"]) if spec.get("sort") is not None else None
         if sort and aggregate:
             raise ArgumentError("sort and aggregate exclude each other")
-        keys = KeyRange(spec.get("prefix"), spec.get("start"), spec.get("end"), spec.get("after") if not sort else None)
-        return cls(keys, where, spec.get("fields"), aggregate, sort, spec.get("cursor"), limit, scanned)
+        mode, stale = spec.get("consistency") or "strict", spec.get("max_staleness_ms")
+        if mode not in CONSISTENCY:
+            raise ArgumentError(f"consistency is one of {CONSISTENCY}", "invalid_consistency")
+        if (mode == "bounded") != (stale is not None):
+            raise ArgumentError("max_staleness_ms goes with consistency bounded, and only with it")
+        after = spec.get("after")
+        if sort and after is not None:  # a sorted query's cursor is a position, else it is a key
+            decode_cursor(after)
+        keys = KeyRange(spec.get("prefix"), spec.get("start"), spec.get("end"), None if sort else after)
+        return cls(keys, where, spec.get("fields"), aggregate, sort, after, limit, scanned, mode)
+
+
+@dataclass(frozen=True)
+class Index:
+    """An index that can be read: its definition (name, prefix, field, descending) and its side table."""
+
+    spec: object
+    table: DataFrame
+
+
+class _Entry(Ref):
+    """The indexed field as a side table has it."""
+
+    def __init__(self) -> None:
+        self.tag, self.number, self.exact, self.text = F.col("tag"), F.col("number"), F.col("exact"), F.col("text")
+        self.present = self.tag.isNotNull()
+
+    def large(self) -> Column:
+        return F.when(F.abs(self.number) >= float(1 << 53), self.exact)
 
 
 class Query:
@@ -130,8 +166,8 @@ class Query:
         if s.sort is None:
             return rows.orderBy("key")
         ref = self.at(s.sort.field)
-        if s.cursor:
-            rows = rows.where(after_cursor(ref, s.sort, F.col("key"), s.cursor))
+        if s.after is not None:
+            rows = rows.where(after_cursor(ref, s.sort, F.col("key"), s.after))
         return rows.orderBy(*order_by(ref, s.sort, F.col("key")))
 
     def _items(self, rows: DataFrame) -> DataFrame:
@@ -154,54 +190,146 @@ class Query:
     def aggregate(self) -> dict:
         return shaped(self.spec.aggregate, self.aggregated().first().asDict(), self.typed)
 
-    def access(self) -> str | None:
-        """The index that an equality of the filter, or the sort, would use; the result is the same either way."""
-        names = self.indexes or []
-        if self.spec.sort:
-            return next((i.name for i in names if i.field == self.spec.sort.field and i.descending == self.spec.sort.descending and self.spec.keys.within(i.prefix)), None)
-        for leaf in top_level(self.spec.where):
-            if leaf.op == "$eq" and not isinstance(leaf.operand, list | dict):
-                for i in names:
-                    if i.field == leaf.path and self.spec.keys.within(i.prefix):
-                        return i.name
-        return None
+    def access(self) -> Index | None:
+        """The index that serves the sort, or an equality of the filter; the result is the same either way."""
+        ready = [i for i in self.indexes or [] if self.spec.keys.within(i.spec.prefix)]
+        if sort := self.spec.sort:
+            return next((i for i in ready if i.spec.field == sort.field and i.spec.descending == sort.descending), None)
+        fields = {x.path for x in self._equalities()}
+        return next((i for i in ready if i.spec.field in fields), None)
+
+    def _equalities(self) -> list:
+        return [x for x in top_level(self.spec.where) if x.op == "$eq" and not isinstance(x.operand, list | dict)]
+
+    def _entries(self, index: Index) -> DataFrame:
+        """(key, and for a sort its values) of the index entries that the page looks at, one more than it may."""
+        s, entry = self.spec, _Entry()
+        rows = index.table.where(s.keys.predicate(F.col("key")))
+        if s.sort is None:
+            value = next(x for x in self._equalities() if x.path == index.spec.field)
+            return rows.where(entry.equals(value.operand)).select("key").orderBy("key").limit(s.max_scanned + 1)
+        for x in top_level(s.where):  # bounds on the sort field narrow the walk
+            if x.path == s.sort.field and x.op in ("$eq", *COMPARE) and not isinstance(x.operand, list | dict):
+                rows = rows.where(entry.equals(x.operand) if x.op == "$eq" else entry.compare(COMPARE[x.op], x.operand))
+        if s.after is not None:
+            rows = rows.where(after_cursor(entry, s.sort, F.col("key"), s.after))
+        rows = rows.orderBy(*order_by(entry, s.sort, F.col("key"))).limit(s.max_scanned + 1)
+        return rows.select("key", *[c.alias(f"_{i}") for i, c in enumerate(entry.order())])
+
+    def _looked(self, index: Index | None) -> tuple[DataFrame, list]:
+        """Rows with ``_rn``, their place in the walk from 1 on, ``max_scanned`` + 1 at most; and the entries of the index."""
+        s = self.spec
+        if index is None:
+            looked = self.ranged().orderBy("key").limit(s.max_scanned + 1)
+            return looked.withColumn("_rn", F.row_number().over(Window.orderBy("key"))), []
+        entries = self._entries(index).collect()  # as many as the page may look at
+        keys = [r.key for r in entries]
+        rows = self.ranged()
+        if keys:
+            rows = rows.where(F.col("key").isin(keys) if len(keys) <= MAX_KEYS else F.col("key").between(min(keys), max(keys)))
+        places = self.collection.sparkSession.createDataFrame([(k, i + 1) for i, k in enumerate(keys)], "key string, _rn int")
+        return rows.join(F.broadcast(places), "key"), entries
 
     def page(self, require_index: bool = False) -> dict:
-        """One page: items, cursor (None when the range is done), index; at most ``limit`` rows come to the driver.
+        """One page: items (or aggregates), next_cursor (None when the range is done), scanned, index, consistency, partial.
 
-        Unsorted pages look at ``max_scanned`` rows of the range and the cursor is the last key that was looked at.
+        A page ends at ``limit`` matches or ``max_scanned`` rows looked at. The cursor is where it ended: a key, or of a
+        sorted query a position. Pass it as ``after``. Sorted pages without an index are a top-k over all matches.
         """
-        s = self.spec
-        index = self.access()
-        if s.sort:
-            if require_index and index is None:
-                raise SortUnavailable(f"no index for {s.sort.field}")
-            ref = self.at(s.sort.field)
-            keys = [c.alias(f"_{i}") for i, c in enumerate(ref.order())]
-            rows = self._ordered(self.matched()).limit(s.limit + 1)
-            rows = self._items(rows.select("*", *keys)).collect()
-            cursor = encode_cursor([rows[s.limit - 1][f"_{i}"] for i in range(len(keys))], rows[s.limit - 1]["key"]) if len(rows) > s.limit else None
-            items = [{k: v for k, v in r.asDict().items() if not k.startswith("_")} for r in rows[: s.limit]]
-            return {"items": items, "cursor": cursor, "index": index}
-        looked = self.ranged().orderBy("key").limit(s.max_scanned + 1)
-        edge = looked.select("key").orderBy(F.col("key").desc()).limit(2).collect()
-        n = looked.count()
-        more = n > s.max_scanned
-        last = edge[1]["key"] if more and len(edge) > 1 else edge[0]["key"] if edge else None
-        rows = looked.where(F.col("key") <= last) if last is not None else looked
+        s, index = self.spec, self.access()
+        if s.sort and index is None and require_index:
+            raise SortUnavailable(f"no index for {s.sort.field}")
+        said = {"index": index.spec.name if index else None, "consistency": s.consistency, "partial": False}
+        if s.sort and index is None:
+            return self._sorted_page() | said
+        looked, entries = self._looked(index)
+        hit = F.col("_rn") <= s.max_scanned
         if s.aggregate is not None:
+            rows = looked.where(hit)
             found = shaped(s.aggregate, self.matched(rows).agg(*expressions(s.aggregate, self.at)).first().asDict(), self.typed)
-            return {"aggregates": found, "cursor": last if more else None, "scanned": min(n, s.max_scanned), "index": index}
-        found = self._items(self.matched(rows).orderBy("key").limit(s.limit + 1)).collect()
-        cursor = found[s.limit - 1]["key"] if len(found) > s.limit else last if more else None
-        return {"items": [r.asDict() for r in found[: s.limit]], "cursor": cursor, "scanned": min(n, s.max_scanned), "index": index}
-
-
-def merge_pages(parts: list[tuple[list[dict], str | None]], limit: int) -> tuple[list[dict], str | None]:
-    """One page from those of several groups, each with the key it resumes at: nothing beyond the least of these, in key order."""
-    cut = min((r for _, r in parts if r is not None), default=None)
-    rows = sorted((x for items, _ in parts for x in items if cut is None or x["key"] < cut), key=lambda x: x["key"])
-    return (rows[:limit], rows[limit]["key"]) if len(rows) > limit else (rows, cut)
+            ends = [(r["key"], r["_rn"]) for r in looked.where(F.col("_rn") >= s.max_scanned).select("key", "_rn").orderBy("_rn").collect()] if index is None else [(e.key, i + 1) for i, e in enumerate(entries)][s.max_scanned - 1 :]
+            n = (looked.count() if index is None and not ends else len(entries) if index else s.max_scanned)
+            return {"aggregates": found, "next_cursor": ends[0][0] if len(ends) > 1 else None, "scanned": min(n, s.max_scanned)} | said
+        # matches are numbered in the walk's order; with them the last rows come, which tell whether there are more
+        good = self.matched(looked).where(hit).select("*", F.lit(True).alias("_hit"))
+        first = self._items(good.orderBy("_rn").limit(s.limit + 1))
+        if index is not None:
+            found = first.collect()
+            n, at = len(entries), lambda i: entries[i - 1]
+        else:
+            edge = looked.orderBy(F.col("_rn").desc()).limit(2).select("key", "_rn", F.lit(False).alias("_hit"))
+            every = first.withColumn("_value", F.col("value")).select(*[c for c in first.columns if c != "value"], "_value")
+            rows = every.unionByName(edge, allowMissingColumns=True).collect()
+            found = [r for r in rows if r["_hit"]]
+            ends = {r["_rn"]: r for r in rows if not r["_hit"]}
+            n, at = max(ends, default=0), ends.get
+        found.sort(key=lambda r: r["_rn"])
+        stop = min(n, s.max_scanned)  # where the walk ended
+        last = None
+        if len(found) >= s.limit:
+            stop = found[s.limit - 1]["_rn"]
+            last = found[s.limit - 1]
+        elif n > s.max_scanned:
+            last = at(s.max_scanned)
+        more = last is not None and stop < n
+        items = []
+        for r in found[: s.limit]:
+            row = {k: v for k, v in r.asDict().items() if not k.startswith("_")}
+            items.append(row | ({"value": r["_value"]} if index is None else {}))
+        out = {"items": items, "next_cursor": None, "scanned": stop}
+        if s.sort:
+            out["positions"] = [self._position(entries[r["_rn"] - 1]) for r in found[: s.limit]]
+        if more:
+            out["next_cursor"] = self._position(entries[stop - 1]) if s.sort else last["key"]
+        return out | said
 
+    @staticmethod
+    def _position(entry) -> str:
+        return encode_cursor([entry[f"_{i}"] for i in range(len(entry) - 1)], entry["key"])
 
-__all__ = ["KeyRange", "Query", "QuerySpec", "merge_pages", "prefix_end"]
+    def _sorted_page(self) -> dict:
+        s = self.spec
+        ref = self.at(s.sort.field)
+        keys = [c.alias(f"_{i}") for i, c in enumerate(ref.order())]
+        rows = self._items(self._ordered(self.matched()).limit(s.limit + 1).select("*", *keys)).collect()
+        places = [encode_cursor([r[f"_{i}"] for i in range(len(keys))], r["key"]) for r in rows]
+        items = [{k: v for k, v in r.asDict().items() if not k.startswith("_")} for r in rows[: s.limit]]
+        return {"items": items, "positions": places[: s.limit], "next_cursor": places[s.limit - 1] if len(rows) > s.limit else None, "scanned": len(items)}
+
+
+def follow(collection: DataFrame, spec: dict, indexes: list | None = None) -> Iterator[dict]:
+    """A query's pages one after the other, as a client follows their cursors."""
+    after = spec.get("after")
+    while True:
+        page = Query(collection, spec | ({"after": after} if after is not None else {}), indexes).page()
+        yield page
+        after = page["next_cursor"]
+        if after is None:
+            return
+
+
+def aggregate_pages(collection: DataFrame, spec: dict, indexes: list | None = None) -> dict:
+    """The aggregates of a whole range from those of its pages."""
+    return merge([p["aggregates"] for p in follow(collection, spec, indexes)])
+
+
+def merge_pages(parts: list[dict], limit: int, sort: Sort | None = None) -> dict:
+    """One page from the pages that several groups gave to one query.
+
+    A part speaks for the range up to its cursor, so the page holds what lies up to the least of these; what lies
+    beyond is found again on the next page. Sorted parts are merged by position, others by key. A part of None is a
+    group that didn't answer: the page is partial then.
+    """
+    known = [p for p in parts if p is not None]
+    place = position_order(sort) if sort else lambda x: x
+    rows = [(at, x) for p in known for at, x in zip(p["positions"] if sort else [x["key"] for x in p["items"]], p["items"], strict=True)]
+    cut = min((p["next_cursor"] for p in known if p["next_cursor"] is not None), key=place, default=None)
+    rows = sorted((r for r in rows if cut is None or place(r[0]) <= place(cut)), key=lambda r: place(r[0]))
+    if len(rows) > limit:
+        rows, cut = rows[:limit], rows[limit - 1][0]
+    out = {"items": [x for _, x in rows], "next_cursor": cut, "scanned": sum(p["scanned"] for p in known)}
+    out |= {"index": next((p["index"] for p in known if p["index"]), None), "partial": len(known) < len(parts) or any(p["partial"] for p in known)}
+    return out | ({"positions": [at for at, _ in rows]} if sort else {})
+
+
+__all__ = ["Index", "KeyRange", "Query", "QuerySpec", "aggregate_pages", "follow", "merge_pages", "prefix_end"]

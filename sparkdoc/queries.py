@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions.sort import Sort
 from .operators import index as ix
 from .operators import placement, state, writes
-from .plans.query import KeyRange, Query
+from .plans.query import KeyRange, Query, aggregate_pages, follow, merge_pages
 from .sources import collections as c
+from .sources.exchange import shared_folder
 
 NOW_MS = 1_706_000_000_000  # 2024-01-23, within the events
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -97,15 +100,19 @@ _add("agg_mixed_types", lambda s, d: Query(c.mixed(s, d), {"aggregate": {"count"
      f"SELECT count(*) AS count, (sum(k) FILTER (WHERE kind = 'number'))::varchar AS sum_total, (min(k) FILTER (WHERE kind = 'number'))::varchar AS min_total, '\"' || (max('t' || k) FILTER (WHERE kind = 'text')) || '\"' AS max_total FROM {_MIXED}")
 
 
+def _rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """What a client gathered from pages, as a table."""
+    return spark.createDataFrame(rows, schema)
+
+
 def agg_merge_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Partial aggregates of key slices, aggregated again."""
-    o = c.orders(spark, sf_dir)
-    part = Query(o, {"aggregate": {"count": True, "sum": "id", "min": "date", "max": "date"}})
-    pages = part.matched().groupBy(F.substring("key", 1, 15)).agg(F.count(F.lit(1)).alias("n"), F.sum("value.id").alias("s"), F.min("value.date").alias("lo"), F.max("value.date").alias("hi"))
-    return pages.agg(F.sum("n").alias("count"), F.sum("s").alias("sum_id"), F.min("lo").alias("min_date"), F.max("hi").alias("max_date"))
+    """Aggregates merged from those of pages, each a scan of 4,000 rows at most."""
+    spec = {"prefix": "orders/", "where": {"status": {"$ne": "P"}}, "max_scanned": 4000, "aggregate": {"count": True, "sum": "id", "min": "date", "max": ["date", "id"]}}
+    m = aggregate_pages(c.orders(spark, sf_dir), spec)
+    return _rows(spark, [(m["count"], m["sum"]["id"], m["min"]["date"], m["max"]["date"], m["max"]["id"])], "count long, sum_id long, min_date string, max_date string, max_id long")
 
 
-_add("agg_merge_pages", agg_merge_pages, f"SELECT count(*) AS count, sum(id)::bigint AS sum_id, min(date) AS min_date, max(date) AS max_date FROM {_ORDERS}")
+_add("agg_merge_pages", agg_merge_pages, f"SELECT count(*) AS count, sum(id)::bigint AS sum_id, min(date) AS min_date, max(date) AS max_date, max(id) AS max_id FROM {_ORDERS} WHERE status <> 'P'")
 
 # sort and paging
 _add("sort_asc_limit", lambda s, d: Query(c.orders(s, d), {"sort": {"field": "total"}, "limit": 25}).top().select("key", "value.total"), f"SELECT key, total FROM {_ORDERS} ORDER BY total, key LIMIT 25")
@@ -113,7 +120,51 @@ _add("sort_desc_tie_key", lambda s, d: Query(c.orders(s, d), {"sort": {"field":
 _add("sort_mixed_types", lambda s, d: Query(c.mixed(s, d), {"sort": {"field": "total", "order": "desc"}, "limit": 500}).top().select("key"),
      f"SELECT key FROM {_MIXED} WHERE kind <> 'missing' ORDER BY CASE kind WHEN 'text' THEN 3 WHEN 'number' THEN 2 ELSE 1 END DESC, CASE kind WHEN 'number' THEN k END DESC, CASE kind WHEN 'text' THEN 't' || k END DESC, key LIMIT 500")
 _add("sort_filtered", lambda s, d: Query(c.orders(s, d), {"where": {"status": "F", "total": {"$gte": 20000, "$lt": 50000}}, "sort": {"field": "total", "order": "desc"}, "limit": 30}).top().select("key"), f"SELECT key FROM {_ORDERS} WHERE status = 'F' AND total >= 20000 AND total < 50000 ORDER BY total DESC, key LIMIT 30")
-_add("page_keyset", lambda s, d: Query(c.orders(s, d), {"where": {"status": "F"}, "after": "orders/0000000300", "limit": 10}).top().select("key"), f"SELECT key FROM {_ORDERS} WHERE status = 'F' AND key > 'orders/0000000300' ORDER BY key LIMIT 10")
+
+
+def _chain(spec: dict, collection: Callable = c.orders, indexes: Callable | None = None) -> Callable[[SparkSession, str], DataFrame]:
+    """Keys of all pages of a query with their place, from page after page."""
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        pages = follow(collection(spark, sf_dir), spec, indexes(spark, sf_dir) if indexes else None)
+        return _rows(spark, [(i, x["key"]) for i, x in enumerate(x for p in pages for x in p["items"])], "place int, key string")
+
+    return run
+
+
+_placed = lambda sql, order: f"SELECT (row_number() OVER (ORDER BY {order}) - 1)::integer AS place, key FROM {sql}"
+_add("page_keyset", lambda s, d: _rows(s, [(x["key"],) for x in Query(c.orders(s, d), {"where": {"status": "F"}, "after": "orders/0000000300", "limit": 10}).page()["items"]], "key string"), f"SELECT key FROM {_ORDERS} WHERE status = 'F' AND key > 'orders/0000000300' ORDER BY key LIMIT 10")
+_add("page_chain_filtered", _chain({"prefix": "orders/", "where": {"status": "P", "total": {"$lt": 90000}}, "limit": 400, "max_scanned": 9000}), _placed(f"{_ORDERS} WHERE status = 'P' AND total < 90000", "key"))
+_add("page_chain_sorted", _chain({"where": {"status": "P", "total": {"$lt": 150000}}, "sort": {"field": "total"}, "limit": 400}), _placed(f"{_ORDERS} WHERE status = 'P' AND total < 150000", "total, key"))
+_add("page_chain_sorted_desc", _chain({"where": {"total": {"$lt": 60000}}, "sort": {"field": "priority", "order": "desc"}, "limit": 600}), _placed(f"{_ORDERS} WHERE total < 60000", "priority DESC, key"))
+
+
+def page_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per page of a budgeted scan: rows looked at, matches, and the key it goes on behind."""
+    pages = follow(c.orders(spark, sf_dir), {"prefix": "orders/", "where": {"status": "P"}, "limit": 1000, "max_scanned": 2500})
+    return _rows(spark, [(i, p["scanned"], len(p["items"]), p["next_cursor"]) for i, p in enumerate(pages)], "page int, scanned long, items long, next_cursor string")
+
+
+_add("page_budget", page_budget, f"""SELECT page, scanned, items, CASE WHEN page = max(page) OVER () THEN NULL ELSE last END AS next_cursor FROM
+  (SELECT ((n - 1) // 2500)::integer AS page, count(*) AS scanned, count(*) FILTER (WHERE status = 'P') AS items, max(key) AS last FROM (SELECT *, row_number() OVER (ORDER BY key) AS n FROM {_ORDERS}) GROUP BY 1)""")
+
+
+def _merged_chain(spec: dict, sort: Sort | None, groups: int = 3) -> Callable[[SparkSession, str], DataFrame]:
+    """Pages of a query that several groups of keys answer, merged, one after the other."""
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        whole, after, keys = c.orders(spark, sf_dir), None, []
+        while True:
+            ask = spec | ({"after": after} if after is not None else {})
+            parts = [Query(whole.where(F.pmod(F.crc32(F.col("key").cast("binary")), F.lit(groups)) == g), ask).page() for g in range(groups)]
+            page = merge_pages(parts, spec["limit"], sort)
+            keys += [x["key"] for x in page["items"]]
+            if (after := page["next_cursor"]) is None:
+                return _rows(spark, list(enumerate(keys)), "place int, key string")
+
+    return run
+
+
+_add("page_merge", _merged_chain({"prefix": "orders/", "where": {"status": "P", "total": {"$lt": 90000}}, "limit": 500, "max_scanned": 4000}, None), _placed(f"{_ORDERS} WHERE status = 'P' AND total < 90000", "key"))
+_add("page_merge_sorted", _merged_chain({"where": {"total": {"$lt": 60000}}, "sort": {"field": "priority", "order": "desc"}, "limit": 900}, Sort("priority", True)), _placed(f"{_ORDERS} WHERE total < 60000", "priority DESC, key"))
 
 # log and state
 _RECORD = ["key", "version", "value", "timestamp_ms", "expires_at_ms", "mutation_id"]
@@ -154,12 +205,32 @@ _add("conflicts_list", lambda s, d: writes.list_conflicts(writes.lww_conflicts(l
 
 
 def dedupe_mutations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = c.event_log(spark, sf_dir).withColumn("mutation_id", F.lpad((F.col("seq") % 3000).cast("string"), 12, "0"))
-    return writes.first_of_each_mutation(log).select("seq", "mutation_id", "deduplicated")
+    """Four arrivals of each id, 0, 23, 25 and 26 hours on; every third id's second one has another payload."""
+    log = c.event_log(spark, sf_dir)
+    n, k = F.floor(F.col("seq") / 4), F.col("seq") % 4
+    first = F.floor(F.lit(NOW_MS) + n * 1000)
+    log = log.withColumns({"mutation_id": F.lpad(n.cast("string"), 12, "0"), "kind": F.lit("put"), "key": F.concat(F.lit("users/"), (n % 50).cast("string")), "expires_at_ms": F.lit(None).cast("long"),
+                           "value": F.when((k == 1) & (n % 3 == 0), "2").otherwise("1"), "timestamp_ms": (first + F.element_at(F.array(*map(F.lit, (0, 23, 25, 26))), (k + 1).cast("int")) * 3_600_000).cast("long")})
+    return writes.first_of_each_mutation(log).select("seq", "mutation_id", "outcome", "version")
+
+
+_add("dedupe_mutations", dedupe_mutations, f"""WITH RECURSIVE l AS (SELECT seq, m, p, t, row_number() OVER (PARTITION BY m ORDER BY seq) AS n FROM
+    (SELECT event_id AS seq, lpad((event_id // 4)::varchar, 12, '0') AS m, CASE WHEN event_id % 4 = 1 AND event_id // 4 % 3 = 0 THEN '2' ELSE '1' END AS p,
+     {NOW_MS} + event_id // 4 * 1000 + [0, 23, 25, 26][event_id % 4 + 1] * 3600000 AS t FROM events)),
+  f AS (SELECT m, n, seq, 'applied' AS outcome, seq AS version, p AS wp, t AS wt FROM l WHERE n = 1 UNION ALL
+  SELECT l.m, l.n, l.seq, CASE WHEN f.wt + 86400000 <= l.t THEN 'applied' WHEN f.wp = l.p THEN 'deduplicated' ELSE 'mutation_id_reused' END,
+    CASE WHEN f.wt + 86400000 <= l.t THEN l.seq ELSE f.version END, CASE WHEN f.wt + 86400000 <= l.t THEN l.p ELSE f.wp END, CASE WHEN f.wt + 86400000 <= l.t THEN l.t ELSE f.wt END
+  FROM f JOIN l ON l.m = f.m AND l.n = f.n + 1)
+  SELECT seq, m AS mutation_id, outcome, version FROM f""")
 
 
-_add("dedupe_mutations", dedupe_mutations, f"""SELECT seq, m AS mutation_id, seq > first_value(seq) OVER w AND timestamp_ms - first_value(timestamp_ms) OVER w < 86400000 AS deduplicated
-  FROM (SELECT *, lpad((seq % 3000)::varchar, 12, '0') AS m FROM {_LOG}) WINDOW w AS (PARTITION BY m ORDER BY seq, timestamp_ms ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)""")
+def lww_retries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conflicts of a log in which every fifth write is sent a second time, some writes later."""
+    log = lww_log(spark, sf_dir).withColumn("idx", F.col("idx") * 2)
+    return writes.lww_conflicts(log.unionByName(log.where("idx % 10 = 8").withColumn("idx", F.col("idx") + 21))).select("key", "mutation_id", "winner_mutation_id", "reason")
+
+
+_add("lww_retries", lww_retries, SQL["lww_conflicts"])
 
 
 def cas_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -209,15 +280,40 @@ _add("index_scan_recheck", lambda s, d: ix.scan_equal(c.orders(s, d), ix.entries
 _add("index_sorted", lambda s, d: ix.ordered(ix.entries(c.orders(s, d), _TOTAL), _TOTAL, 50, low=1000.0, high=400000.0).select("key"), f"SELECT key FROM {_ORDERS} WHERE total >= 1000 AND total < 400000 ORDER BY total DESC, key LIMIT 50")
 
 
+def _opened(spark: SparkSession, collection: DataFrame, *specs: ix.IndexSpec) -> list:
+    """Side tables in the shared folder, ready to be read."""
+    base = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    for s in specs:
+        ix.build(collection, s, f"{base}/{s.name}")
+    return [ix.opened(spark, s, f"{base}/{s.name}") for s in specs]
+
+
+_orders_indexes = lambda s, d: _opened(s, c.orders(s, d), _STATUS, _TOTAL)
+_add("index_page_equal", _chain({"prefix": "orders/", "where": {"status": "P", "total": {"$lt": 100000}}, "limit": 500}, indexes=_orders_indexes), _placed(f"{_ORDERS} WHERE status = 'P' AND total < 100000", "key"))
+_add("index_page_sorted", _chain({"prefix": "orders/", "where": {"status": "F", "total": {"$gte": 300000}}, "sort": {"field": "total", "order": "desc"}, "limit": 600, "max_scanned": 2500}, indexes=_orders_indexes), _placed(f"{_ORDERS} WHERE status = 'F' AND total >= 300000", "total DESC, key"))
+
+
+def index_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index that is built in steps of 4,000 rows, counted by value; then how many entries a step of its removal leaves."""
+    base, orders, after = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}", c.orders(spark, sf_dir), None
+    while True:
+        after = ix.backfill_step(orders, _STATUS, base, after, 4000)
+        if after is None:
+            break
+    built = spark.read.parquet(base).drop("step")
+    left = ix.drop_step(built, 4000).agg(F.lit("left").alias("text"), F.count(F.lit(1)).alias("n"))
+    return built.groupBy("text").agg(F.count(F.lit(1)).alias("n")).unionByName(left)
+
+
+_add("index_backfill", index_backfill, f"SELECT status AS text, count(*) AS n FROM {_ORDERS} GROUP BY 1 UNION ALL SELECT 'left', greatest(count(*) - 4000, 0) FROM {_ORDERS}")
+_add("index_status", lambda s, d: ix.status([_STATUS, _TOTAL], s.createDataFrame([("by-status", _STATUS.fingerprint, True), ("by-total", "other", True), ("gone", "x", True)], "name string, fingerprint string, built boolean")), "SELECT * FROM (VALUES ('by-status', 'ready'), ('by-total', 'dropping'), ('gone', 'dropping')) t(name, state)")
+
+
 def feed_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The change feed of a prefix, run as a stream over the log to its end; the sink is a table in the shared folder."""
-    import tempfile
-    import uuid
-
     from .streaming import feed
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp("-feed")
-    at = f"{base}/feed-{uuid.uuid4().hex}"
+    at = f"{shared_folder(spark)}/feed-{uuid.uuid4().hex}"
     c.event_log(spark, sf_dir).write.parquet(f"{at}/log")
     events = feed.feed(feed.log_stream(spark, f"{at}/log"), "users/000000001")
     events.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +11,14 @@ from pyspark.sql import functions as F
 from ..errors import StoreError
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, which all of a cluster's machines see; a temporary one where all runs in one process."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if found is None and not spark.sparkContext.master.startswith("local"):
+        raise StoreError("spark.checkpoint.dir is not set", "invalid_argument")
+    return found or tempfile.mkdtemp("-shared")
+
+
 def backup(log: DataFrame, path: str) -> None:
     """Every newest put, expired ones too, no tombstones, as Parquet sorted by key; beside it the last seq and a checksum."""
     from ..operators.state import newest

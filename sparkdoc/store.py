@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from .errors import StoreError
 from .operators import state as st
 from .operators.writes import RETENTION_MS, check_batch, fingerprint
-from .plans.query import KeyRange, Query
+from .plans.query import KeyRange, Query, follow
 from .streaming import feed as streaming
 
 _SCHEMA = st.LOG + ", op int, fingerprint string"
@@ -80,7 +81,7 @@ class Store:
     def scan(self, now_ms: int, limit: int = 100, **keys: str) -> dict:
         """One page in key order and whether more follow."""
         rows = self.state(now_ms).where(KeyRange(**keys).predicate(F.col("key"))).orderBy("key").limit(limit + 1).collect()
-        return {"items": [r.asDict() for r in rows[:limit]], "cursor": rows[limit - 1].key if len(rows) > limit else None}
+        return {"items": [r.asDict() for r in rows[:limit]], "next_cursor": rows[limit - 1].key if len(rows) > limit else None}
 
     def collection(self, now_ms: int) -> DataFrame:
         return st.collection(self.state(now_ms))
@@ -91,6 +92,10 @@ class Store:
     def query_page(self, spec: dict, now_ms: int) -> dict:
         return self.query(spec, now_ms).page()
 
+    def query_pages(self, spec: dict, now_ms: int) -> Iterator[dict]:
+        """All pages, one after the other."""
+        return follow(self.collection(now_ms), spec, self.indexes)
+
     def aggregate(self, spec: dict, now_ms: int) -> dict:
         return self.query(spec, now_ms).aggregate()
 

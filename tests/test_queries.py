@@ -2,10 +2,13 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
+from sparkdoc.errors import SortUnavailable, StoreError
 from sparkdoc.functions.aggregates import merge
-from sparkdoc.plans.query import KeyRange, Query, merge_pages, prefix_end
+from sparkdoc.operators import index as ix
+from sparkdoc.plans.query import KeyRange, Query, follow, merge_pages, prefix_end
 
 from .test_filters import schemaless
 
@@ -48,10 +51,9 @@ def test_pages_never_skip_or_repeat(spark):
         want = [x.key for x in Query(rows, base | {"limit": 1000}).top().collect()]
         got, cursor = [], None
         for _ in range(60):
-            more = {} if cursor is None else {"cursor": cursor} if "sort" in base else {"after": cursor}
-            page = Query(rows, base | more).page()
+            page = Query(rows, base | ({} if cursor is None else {"after": cursor})).page()
             got += [x["key"] for x in page["items"]]
-            cursor = page["cursor"]
+            cursor = page["next_cursor"]
             if cursor is None:
                 break
         assert got == want, base
@@ -61,12 +63,55 @@ def test_orders_of_thirty(spark):
     docs = [{"status": "paid" if i % 3 == 0 else "open", "total": i * 10, "customer": {"tier": "gold"} if i < 10 else {}} for i in range(30)]
     rows = spark.createDataFrame([(f"orders/{i:02}", d) for i, d in enumerate(map(str, docs))] + [("orders/zz", '"x"'), ("other/1", "{}")], "key string, json string").select("key", F.try_parse_json(F.translate("json", "'", '"')).alias("value"))
     page = Query(rows, {"prefix": "orders/", "where": {"status": "paid", "customer.tier": "gold"}}).page()
-    assert [x["key"] for x in page["items"]] == [f"orders/{i:02}" for i in (0, 3, 6, 9)] and page["scanned"] == 31 and page["cursor"] is None
+    assert [x["key"] for x in page["items"]] == [f"orders/{i:02}" for i in (0, 3, 6, 9)] and page["scanned"] == 31 and page["next_cursor"] is None
 
 
 def test_page_merge():
-    item = lambda k: {"key": k}
-    assert merge_pages([([item("k1"), item("k4")], "k5"), ([item("k2"), item("k7")], None)], 10) == ([item("k1"), item("k2"), item("k4")], "k5")
+    part = lambda keys, cursor: {"items": [{"key": k} for k in keys], "next_cursor": cursor, "scanned": 5, "index": None, "partial": False}
+    keys = lambda p: [x["key"] for x in p["items"]]
+    one = merge_pages([part(["a3", "a8"], "b1"), part(["a5", "b0", "c2"], None)], 10)
+    assert keys(one) == ["a3", "a5", "a8", "b0"] and one["next_cursor"] == "b1" and one["scanned"] == 10 and not one["partial"]
+    two = merge_pages([part(["a3", "a8"], "b1"), part(["a5", "b0"], None), None], 3)
+    assert keys(two) == ["a3", "a5", "a8"] and two["next_cursor"] == "a8" and two["partial"]
+
+
+def test_pages_through_an_index(spark, tmp_path):
+    """Pages that walk a side table hold what those without hold, look at its entries only, and read the collection at their keys."""
+    r = random.Random(8)
+    docs = [{"n": r.choice([1, 2, 2.5, 9007199254740993, 9007199254740992, "a", "b", None, True]), "s": r.choice("xyz")} for _ in range(60)] + [{"s": "x"}, {"n": [1]}]
+    rows = schemaless(spark, docs)
+    rows.write.parquet(str(tmp_path / "rows"))
+    rows = spark.read.parquet(str(tmp_path / "rows"))
+    specs = [ix.IndexSpec("by-n", "k", "n"), ix.IndexSpec("by-n-desc", "k", "n", True), ix.IndexSpec("by-s", "k", "s")]
+    for s in specs:
+        ix.build(rows, s, str(tmp_path / s.name))
+    indexes = [ix.opened(spark, s, str(tmp_path / s.name)) for s in specs]
+    for base, name in (({"where": {"s": "x"}}, "by-s"), ({"where": {"s": "y", "n": {"$gt": 1}}}, "by-s"), ({"sort": {"field": "n"}}, "by-n"), ({"sort": {"field": "n", "order": "desc"}, "where": {"s": "z"}}, "by-n-desc"), ({"sort": {"field": "n"}, "where": {"n": {"$gt": 9007199254740992}}}, "by-n"), ({"sort": {"field": "n"}, "where": {"n": {"$gte": "a"}, "s": "x"}}, "by-n")):
+        want = [x.key for x in Query(rows, base | {"prefix": "k", "limit": 1000}).top().collect()]
+        for more in ({"limit": 4}, {"limit": 50, "max_scanned": 5}):
+            pages = list(follow(rows, base | {"prefix": "k"} | more, indexes))
+            assert [x["key"] for p in pages for x in p["items"]] == want and {p["index"] for p in pages} == {name}, base
+            assert all(len(p["items"]) <= more["limit"] and p["scanned"] <= more.get("max_scanned", 99) for p in pages)
+    assert Query(rows, {"prefix": "k", "sort": {"field": "s"}}, indexes).page()["index"] == "by-s" and Query(rows, {"sort": {"field": "zz"}}, indexes).page()["index"] is None
+    with pytest.raises(SortUnavailable):
+        Query(rows, {"sort": {"field": "zz"}}, indexes).page(require_index=True)
+    looked, _ = Query(rows, {"prefix": "k", "where": {"s": "x"}, "max_scanned": 3}, indexes)._looked(indexes[2])
+    assert "In(key" in looked._jdf.queryExecution().toString()
+    for bad in ({"sort": {"field": "n"}, "after": "00"}, {"sort": {"field": "n"}, "after": "zz"}, {"consistency": "bounded"}, {"max_staleness_ms": 5}, {"consistency": "odd"}):
+        with pytest.raises(StoreError):
+            Query(rows, bad)
+
+
+def test_backfill_in_steps(spark, tmp_path):
+    rows = schemaless(spark, [{"n": i % 7} for i in range(50)])
+    spec, after, steps = ix.IndexSpec("by-n", "k", "n"), None, 0
+    while True:
+        after, steps = ix.backfill_step(rows, spec, str(tmp_path / "i"), after, 20), steps + 1
+        if after is None:
+            break
+    built = spark.read.parquet(str(tmp_path / "i")).drop("step")
+    assert steps == 3 and sorted(map(tuple, built.collect()), key=str) == sorted(map(tuple, ix.entries(rows, spec).collect()), key=str)
+    assert ix.drop_step(built, 20).count() == 30
 
 
 def test_prefix_end_and_ranges():

@@ -91,18 +91,48 @@ def test_fold_equals_a_plain_model(spark):
 
 
 def test_last_writer_wins_scenario(spark):
-    steps = [(1, "strict", 1000, "s1", "first"), (2, "", 500, "a1", "old"), (3, "", 2000, "a2", "new"), (4, "", 2000, "a2b", "newer id"), (5, "", 3000, "d", None), (6, "", 2500, "a3", "stale"), (7, "", 3500, "a4", "again")]
-    rows = [(i, "k", "put" if v is not None else "delete", v, ts, None, m, s == "strict", None) for i, s, ts, m, v in steps]
-    log = spark.createDataFrame(rows, "idx long, key string, kind string, value string, timestamp_ms long, expires_at_ms long, mutation_id string, strict boolean, observed string")
-    assert writes.resolve_lww(log).first().value == "again"
-    got = {(r.mutation_id, r.reason) for r in writes.lww_conflicts(log).collect()}
-    assert got == {("a1", "lost"), ("a3", "lost"), ("s1", "overwritten"), ("a2", "overwritten"), ("a2b", "overwritten")}
-    seen = log.withColumn("observed", F.when(F.col("idx") == 3, "1000/s1"))
-    assert ("s1", "overwritten") not in {(r.mutation_id, r.reason) for r in writes.lww_conflicts(seen).collect()}
+    steps = [(1, "strict", 700, "s1", "base"), (2, "", 300, "a1", "late"), (3, "", 1500, "a2", "fresh"), (4, "", 1500, "a2", "fresh"), (5, "", 2600, "d", None), (6, "", 2100, "a3", "behind")]
+    kind = "idx long, key string, kind string, value string, timestamp_ms long, expires_at_ms long, mutation_id string, strict boolean, observed string"
+    frame = lambda rows: spark.createDataFrame([(i, "k", "put" if v is not None else "delete", v, ts, None, m, s == "strict", seen) for i, s, ts, m, v, *rest in rows for seen in [rest[0] if rest else None]], kind)
+    log = frame(steps)
+    found = lambda log: sorted((r.mutation_id, r.reason) for r in writes.lww_conflicts(log).collect())
+    four = [("a1", "lost"), ("a2", "overwritten"), ("a3", "lost"), ("s1", "overwritten")]
+    assert found(log) == four and writes.resolve_lww(log).first().kind == "delete"
+    # a retry changes nothing, after a newer write too
+    assert found(frame([*steps, (7, "", 1500, "a2", "fresh")])) == four
+    back = frame([*steps, (7, "", 3100, "a4", "back", "2600/d")])
+    assert found(back) == four and writes.resolve_lww(back).first().value == "back"
+    seen = log.withColumn("observed", F.when(F.col("idx") == 3, "700/s1"))
+    assert ("s1", "overwritten") not in found(seen)
     lost = writes.lww_conflicts(log)
     assert writes.clear_conflicts(lost, lost.select("key", "mutation_id")).count() == 0
 
 
+def test_retries_equal_the_fold(spark):
+    """Arrivals in bulk against the sequential rules, with a renewed retention and changed payloads."""
+    r = random.Random(11)
+    hour = 3_600_000
+    rows, want, fold, now = [], {}, writes.Fold(), T0
+    for seq in range(1, 400):
+        now += r.choice([0, 1, hour, 5 * hour])
+        mid = f"m{r.randrange(25)}"
+        ops = [{"op": "put", "key": f"k{i}", "value": str(r.randrange(2))} for i in range(r.choice([1, 1, 2]))]
+        rows += [(seq, "put", o["key"], o["value"], now, None, mid) for o in ops]
+        try:
+            version, again, _ = fold.write(mid, ops, now)
+            want[seq] = ("deduplicated" if again else "applied", version)
+        except StoreError as e:
+            want[seq] = (e.code, fold.mutations[mid][1])
+    rows.append((1000, "put", "x", "1", now, None, None))
+    real = {}
+    for seq, (outcome, version) in want.items():  # the fold numbers what it applies; the log has its own numbers
+        real[seq] = (outcome, real.setdefault(("at", version), seq) if outcome == "applied" else real[("at", version)])
+    got = {x.seq: (x.outcome, x.version) for x in writes.first_of_each_mutation(log_of(spark, rows)).collect()}
+    assert got == {k: v for k, v in real.items() if isinstance(k, int)} | {1000: ("applied", 1000)}
+    hours = [(i, "put", "k", "1", T0 + h * hour, None, "same") for i, h in enumerate((0, 25, 26, 48, 49))]
+    assert [x.deduplicated for x in writes.first_of_each_mutation(log_of(spark, hours)).orderBy("seq").collect()] == [False, False, True, True, False]
+
+
 def test_export_import_and_snapshot(spark, tmp_path):
     log = log_of(spark, [put(1, 'q"1', '{"a": [1, 2]}'), put(2, "b", "3", expires=T0 + 500), put(3, "c", "4", expires=T0 + 5), (4, "delete", "d", None, T0, None, "m4")])
     exchange.export_lines(state.current(log, T0), str(tmp_path / "lines"))
