@@ -1,10 +1,16 @@
-"""Filters: a dictionary is parsed and checked, then compiled to one Column."""
+"""Filters: a dictionary becomes a checked tree, the tree one Column.
+
+``OPERATORS`` is the whole language of conditions: for each operator what its operand must be, and the predicate that it
+stands for on a field. Parsing walks a worklist instead of the call stack, so limits hold before anything deep is
+entered; compiling folds the finished tree.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -16,6 +22,41 @@ MAX_NODES, MAX_DEPTH, MAX_IN = 256, 16, 1000
 COMPARE = {"$gt": ">", "$gte": ">=", "$lt": "<", "$lte": "<="}
 
 
+class Operator(NamedTuple):
+    operand: Callable[[object], bool]
+    wants: str
+    column: Callable[[Ref, object], Column]
+
+
+def _ordered(symbol: str) -> Operator:
+    return Operator(lambda x: is_number(x) or isinstance(x, str), "a number or a string", lambda field, x: field.compare(symbol, x))
+
+
+def _but(positive: Callable[[Ref, object], Column]) -> Callable[[Ref, object], Column]:
+    """The rows that ``positive`` doesn't hold for, those without the field among them."""
+    return lambda field, x: ~two_valued(positive(field, x))
+
+
+_any = lambda _: True
+_list = lambda x: isinstance(x, list) and len(x) <= MAX_IN
+OPERATORS: dict[str, Operator] = {
+    "$eq": Operator(_any, "a value", lambda field, x: field.equals(x)),
+    "$ne": Operator(_any, "a value", _but(lambda field, x: field.equals(x))),
+    "$in": Operator(_list, f"a list of at most {MAX_IN} values", lambda field, x: field.among(x)),
+    "$nin": Operator(_list, f"a list of at most {MAX_IN} values", _but(lambda field, x: field.among(x))),
+    "$exists": Operator(lambda x: isinstance(x, bool), "true or false", lambda field, x: field.present if x else ~field.present),
+    "$prefix": Operator(lambda x: isinstance(x, str), "a string", lambda field, x: field.prefix(x)),
+    "$contains": Operator(_any, "a value", lambda field, x: field.contains(x)),
+    **{name: _ordered(symbol) for name, symbol in COMPARE.items()},
+}
+#: How the parts of a group are put together.
+JOIN: dict[str, Callable[[list[Column]], Column]] = {
+    "and": lambda parts: reduce(Column.__and__, parts) if parts else F.lit(True),
+    "or": lambda parts: reduce(Column.__or__, parts),
+    "not": lambda parts: ~two_valued(parts[0]),
+}
+
+
 @dataclass(frozen=True)
 class Leaf:
     path: str
@@ -23,101 +64,65 @@ class Leaf:
     operand: object
 
 
-@dataclass(frozen=True)
+@dataclass
 class Group:
     """``op``: and, or, not."""
 
     op: str
-    items: tuple
+    items: list
+
+
+def _conditions(path: str, said: object) -> list[Leaf]:
+    """What a member of a filter says about its field: operators, or a value that it equals."""
+    parse_path(path)
+    names = {k for k in said if k.startswith("$")} if isinstance(said, dict) else set()
+    if not names:
+        return [Leaf(path, "$eq", said)]
+    if strange := set(said) - OPERATORS.keys():
+        raise FilterError(f"{path}: not operators: {sorted(strange)}")
+    for name, x in said.items():
+        if not OPERATORS[name].operand(x):
+            raise FilterError(f"{path}: {name} needs {OPERATORS[name].wants}")
+    return [Leaf(path, name, x) for name, x in said.items()]
 
 
 def parse(where: object) -> Group:
     """The checked tree of a filter; raises ``FilterError``."""
-    nodes = 0
-
-    def visit(n: int = 1) -> None:
-        nonlocal nodes
-        nodes += n
-        if nodes > MAX_NODES:
-            raise FilterError(f"more than {MAX_NODES} conditions")
-
-    def document(doc: object, depth: int) -> Group:
-        if depth > MAX_DEPTH:
-            raise FilterError(f"deeper than {MAX_DEPTH}")
-        if not isinstance(doc, dict):
-            raise FilterError("a filter is an object")
-        out = []
-        for name, operand in doc.items():
-            visit()
-            if name in ("$and", "$or"):
-                if not isinstance(operand, list) or not operand:
-                    raise FilterError(f"{name} takes filters")
-                out.append(Group(name[1:], tuple(document(x, depth + 1) for x in operand)))
-            elif name == "$not":
-                out.append(Group("not", (document(operand, depth + 1),)))
+    root, nodes = Group("and", []), 0
+    todo: list[tuple[object, Group, int]] = [(where, root, 1)]
+    while todo:
+        doc, into, depth = todo.pop()
+        if not isinstance(doc, dict) or depth > MAX_DEPTH:
+            raise FilterError(f"filters are objects, nested at most {MAX_DEPTH} deep")
+        for name, said in doc.items():
+            if name in ("$and", "$or", "$not"):
+                below = [said] if name == "$not" else said
+                if not isinstance(below, list) or not below:
+                    raise FilterError(f"{name} needs a list of filters")
+                group = Group(name[1:], [Group("and", []) for _ in below])
+                into.items.append(group)
+                todo += [(x, g, depth + 1) for x, g in zip(below, group.items, strict=True)]
+                nodes += 1
             elif name.startswith("$"):
-                raise FilterError(f"unknown operator {name}")
+                raise FilterError(f"{name} is no operator on filters")
             else:
-                out += field(name, operand)
-        return Group("and", tuple(out))
-
-    def field(path: str, operand: object) -> list[Leaf]:
-        parse_path(path)
-        if not isinstance(operand, dict) or not any(k.startswith("$") for k in operand):
-            return [Leaf(path, "$eq", operand)]
-        if not all(k.startswith("$") for k in operand):
-            raise FilterError("operators and members can't be mixed")
-        out = []
-        for op, x in operand.items():
-            visit()
-            if op in COMPARE and not (is_number(x) or isinstance(x, str)):
-                raise FilterError(f"{op} takes a number or a string")
-            if op in ("$in", "$nin") and (not isinstance(x, list) or len(x) > MAX_IN):
-                raise FilterError(f"{op} takes at most {MAX_IN} values")
-            if op == "$exists" and not isinstance(x, bool):
-                raise FilterError("$exists takes a boolean")
-            if op == "$prefix" and not isinstance(x, str):
-                raise FilterError("$prefix takes a string")
-            if op not in ("$eq", "$ne", "$in", "$nin", "$exists", "$prefix", "$contains", *COMPARE):
-                raise FilterError(f"unknown operator {op}")
-            out.append(Leaf(path, op, x))
-        return out
-
-    return document(where, 1)
-
-
-def _leaf(leaf: Leaf, field: Ref) -> Column:
-    x = leaf.operand
-    match leaf.op:
-        case "$eq":
-            return field.equals(x)
-        case "$ne":
-            return ~two_valued(field.equals(x))
-        case "$in":
-            return field.among(x)
-        case "$nin":
-            return ~two_valued(field.among(x))
-        case "$exists":
-            return field.present if x else ~field.present
-        case "$prefix":
-            return field.prefix(x)
-        case "$contains":
-            return field.contains(x)
-    return field.compare(COMPARE[leaf.op], x)
+                found = _conditions(name, said)
+                into.items += found
+                nodes += 1 + (len(found) if isinstance(said, dict) and found[0].operand is not said else 0)
+            if nodes > MAX_NODES:
+                raise FilterError(f"a filter has at most {MAX_NODES} conditions")
+    return root
 
 
 def compile_filter(where: object, at: Callable[[str], Ref]) -> Column:
     """The predicate of a filter; ``at`` resolves paths. NULL means no match, as WHERE takes it."""
 
-    def build(node: Group | Leaf) -> Column:
+    def column(node: Group | Leaf) -> Column:
         if isinstance(node, Leaf):
-            return _leaf(node, at(node.path))
-        if node.op == "not":
-            return ~two_valued(build(node.items[0]))
-        parts = [build(x) for x in node.items]
-        return reduce(Column.__and__ if node.op == "and" else Column.__or__, parts) if parts else F.lit(True)
+            return OPERATORS[node.op].column(at(node.path), node.operand)
+        return JOIN[node.op]([column(x) for x in node.items])
 
-    return build(parse(where))
+    return column(parse(where))
 
 
 def top_level(where: object) -> list[Leaf]:
