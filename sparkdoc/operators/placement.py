@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..errors import StoreError
+
 PARTITIONS = 4096
 
 
@@ -100,6 +102,13 @@ def chunked(rows: DataFrame, max_rows: int = 1000, max_bytes: int = 4 << 20) ->
     return ordered.mapInPandas(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + ", chunk int")
 
 
+def start_moves(moves: DataFrame, old: DataFrame, new: DataFrame, epoch: int) -> DataFrame:
+    """(partition, state, epoch) of the moves that a new placement asks for; refused while others are pending."""
+    if pending := moves.where("state <> 'done'").count():
+        raise StoreError(f"{pending} moves are still running", "migrations_pending", pending=pending)
+    return rebalance(old, new, epoch).select("partition", F.lit("moving").alias("state"), "epoch")
+
+
 MOVES = {"moving": "fenced", "fenced": "imported", "imported": "done"}
 
 
@@ -116,9 +125,10 @@ def digests(state: DataFrame, now_ms: int, grace_ms: int = 60_000) -> DataFrame:
     Sums and xors of row hashes combine on the map side, so no partition is gathered or sorted.
     """
     rows = state.where(F.col("expires_at_ms").isNull() | (F.col("expires_at_ms") > now_ms + grace_ms)).withColumn("partition", partition_of("key"))
-    h = F.xxhash64("key", "value", "version")
+    # 60 bits of a digest that every SQL engine has
+    h = F.conv(F.substring(F.md5(F.concat_ws("\x1f", "key", F.coalesce("value", F.lit("\x1e")), F.col("version").cast("string"))), 1, 15), 16, 10).cast("long")
     leaf = rows.groupBy("partition").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(h).alias("x"), F.sum(F.pmod(h, F.lit(1 << 31))).alias("s"))
-    return leaf.select("partition", "n", F.xxhash64("x", "s", "n").alias("leaf"))
+    return leaf.select("partition", "n", F.md5(F.concat_ws("/", "n", "x", "s")).alias("leaf"))
 
 
 def root(leaves: DataFrame) -> DataFrame:

@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 from .functions.sort import Sort
 from .operators import index as ix
-from .operators import placement, state, writes
+from .operators import commands, placement, state, writes
+from .oracles import hash_16, hash_17, partition_sql, placed_sql, sets_sql
 from .plans.query import KeyRange, Query, aggregate_pages, follow, merge_pages
 from .sources import collections as c
+from .sources import exchange
 from .sources.exchange import shared_folder
 
 NOW_MS = 1_706_000_000_000  # 2024-01-23, within the events
@@ -68,7 +70,7 @@ _where("filter_nin", c.documents, {"quality": {"$nin": [0]}}, _DOCS, "quality IS
 _where("filter_exists", c.documents, {"toxic": {"$exists": True}}, _DOCS, "toxic IS NOT NULL")
 _where("filter_not_exists", c.documents, {"toxic": {"$exists": False}}, _DOCS, "toxic IS NULL")
 _where("filter_prefix", c.orders, {"priority": {"$prefix": "1"}}, _ORDERS, "starts_with(priority, '1')")
-_where("filter_contains_string", c.documents, {"text": {"$contains": "password"}}, _DOCS, "contains(text, 'password')")
+_where("filter_contains_string", c.documents, {"text": {"$contains": "and the"}}, _DOCS, "contains(text, 'and the')")
 _where("filter_and_or_not", c.orders, {"$or": [{"status": "O", "total": {"$lt": 50000}}, {"$and": [{"status": "F"}, {"$not": {"total": {"$lt": 300000}}}]}]}, _ORDERS, "(status = 'O' AND total < 50000) OR (status = 'F' AND NOT total < 300000)")
 _where("filter_not_missing", c.documents, {"$not": {"quality": {"$gt": 0}}}, _DOCS, "NOT coalesce(quality > 0, false)")
 _where("filter_json_props", c.events, {"props.k": {"$gte": 50}}, _EVENTS, "k >= 50")
@@ -258,19 +260,65 @@ _add("reconcile_pass", reconcile_pass, f"""SELECT 300 + row_number() OVER (ORDER
 _add("hybrid_timestamps", lambda s, d: lww_log(s, d).groupBy("key").agg(F.max("timestamp_ms").alias("seen")).select("key", writes.hybrid_timestamp(F.lit(NOW_MS), F.col("seen")).alias("timestamp_ms")),
      f"SELECT key, greatest({NOW_MS}, max(timestamp_ms + (seq * 7919 % 13 - 6) * 3600000) + 1) AS timestamp_ms FROM {_LOG} GROUP BY key")
 _add("merge_layers", lambda s, d: state.merge_layers(*[c.event_log(s, d).where(F.col("seq") % 3 == i) for i in range(3)]).select("key", "seq", "kind"), f"SELECT key, seq, kind FROM {_LATEST}")
-_add("served_partitions", lambda s, d: state.served(c.orders(s, d).select("key", F.col("value.status").alias("partition")), s.createDataFrame([("F",), ("P",)], "partition string")).select("key"), f"SELECT key FROM {_ORDERS} WHERE status IN ('F', 'P')")
 _add("index_updated", lambda s, d: ix.updated(ix.entries(c.orders(s, d), _STATUS), c.orders(s, d).where("key < 'orders/0000000100'"), c.orders(s, d).where("key < 'orders/0000000100'").withColumn("value", F.col("value").withField("status", F.lit("Z"))), _STATUS).groupBy("text").agg(F.count(F.lit(1)).alias("n")),
      f"SELECT CASE WHEN key < 'orders/0000000100' THEN 'Z' ELSE status END AS text, count(*) AS n FROM {_ORDERS} GROUP BY 1")
 
 # placement
 _NODES = [("n1", "a"), ("n2", "a"), ("n3", "b"), ("n4", "b"), ("n5", "c")]
 _nodes = lambda s, n=5: s.createDataFrame(_NODES[:n], "node string, zone string")
-_add("partition_load", lambda s, d: placement.load(placement.place(s, _nodes(s), 3)))
-_add("rendezvous", lambda s, d: placement.place(s, _nodes(s), 3))
-_add("rebalance", lambda s, d: placement.rebalance(placement.place(s, _nodes(s, 4), 2), placement.place(s, _nodes(s, 5), 2), 2))
-_add("replica_groups", lambda s, d: placement.groups(placement.place(s, _nodes(s), 3)))
-_add("route_keys", lambda s, d: placement.route(c.orders(s, d).select("key"), placement.place(s, _nodes(s), 3)).select("key", "partition", "replicas"))
-_add("digest", lambda s, d: placement.digests(state.current(c.event_log(s, d), NOW_MS), NOW_MS))
+_four, _five = _NODES[:4], _NODES
+_add("partition_load", lambda s, d: placement.load(placement.place(s, _nodes(s), 3)), f"SELECT node, count(*) AS replicas, count(*) FILTER (WHERE rank = 0) AS leaders FROM {placed_sql(_five, 3)} GROUP BY node")
+_add("rendezvous", lambda s, d: placement.place(s, _nodes(s), 3), f"SELECT * FROM {placed_sql(_five, 3)}")
+_add("rebalance", lambda s, d: placement.rebalance(placement.place(s, _nodes(s, 4), 2), placement.place(s, _nodes(s, 5), 2), 2).select("partition", F.array_join("added", "+").alias("added"), F.array_join("removed", "+").alias("removed"), "leader_changed", "epoch"),
+     f"""SELECT partition, array_to_string(list_filter(b.replicas, lambda x: NOT list_contains(a.replicas, x)), '+') AS added, array_to_string(list_filter(a.replicas, lambda x: NOT list_contains(b.replicas, x)), '+') AS removed,
+     a.replicas[1] <> b.replicas[1] AS leader_changed, 2 AS epoch FROM {sets_sql(_four, 2)} a JOIN {sets_sql(_five, 2)} b USING (partition) WHERE a.replicas <> b.replicas""")
+_add("replica_groups", lambda s, d: placement.groups(placement.place(s, _nodes(s), 3)), f"SELECT array_to_string(list_sort(replicas), '+') AS group_id, count(*) AS partitions, min(partition) AS first_partition FROM {sets_sql(_five, 3)} GROUP BY 1")
+_add("route_keys", lambda s, d: placement.route(c.orders(s, d).select("key"), placement.place(s, _nodes(s), 3)).select("key", "partition", F.array_join("replicas", "+").alias("replicas")),
+     f"SELECT key, o.partition, array_to_string(replicas, '+') AS replicas FROM (SELECT key, {partition_sql(hash_17('key'))} AS partition FROM {_ORDERS}) o JOIN {sets_sql(_five, 3)} s ON s.partition = o.partition")
+_USERS = f"(SELECT *, {partition_sql(hash_16('key'))} AS partition FROM {_LATEST} WHERE kind = 'put' AND (expires_at_ms IS NULL OR expires_at_ms > {NOW_MS}))"
+_LEAVES = f"""(SELECT partition, count(*) AS n, md5(concat_ws('/', count(*), bit_xor(h), sum(h % 2147483648))) AS leaf FROM
+  (SELECT partition, ('0x' || substr(md5(concat_ws(chr(31), key, coalesce(value, chr(30)), seq)), 1, 15))::bigint AS h FROM {_USERS} WHERE expires_at_ms IS NULL OR expires_at_ms > {NOW_MS + 60_000}) GROUP BY partition)"""
+_add("digest", lambda s, d: placement.digests(state.current(c.event_log(s, d), NOW_MS), NOW_MS), f"SELECT * FROM {_LEAVES}")
+
+
+def replica_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three replicas, one of which lacks a user's newest version: who is with the majority, and in how many partitions others differ."""
+    log = c.event_log(spark, sf_dir)
+    leaves = [placement.digests(state.current(log.where(F.col("key") != "users/0000000009") if n == "n3" else log, NOW_MS), NOW_MS).select(F.lit(n).alias("node"), "partition", "leaf") for n in ("n1", "n2", "n3")]
+    return placement.compare_replicas(leaves[0].unionByName(leaves[1]).unionByName(leaves[2])).select("node", "majority", "differing")
+
+
+_add("replica_check", replica_check, f"SELECT node, node <> 'n3' AS majority, CASE WHEN node = 'n3' THEN (SELECT count(*) FROM {_LATEST} WHERE key = 'users/0000000009' AND kind = 'put' AND (expires_at_ms IS NULL OR expires_at_ms > {NOW_MS + 60_000})) ELSE 0 END AS differing FROM (VALUES ('n1'), ('n2'), ('n3')) t(node)")
+_moving = lambda s: s.range(0, placement.PARTITIONS, 3).select(F.col("id").cast("int").alias("partition"))
+_add("fenced_export", lambda s, d: placement.fenced_export(state.current(c.event_log(s, d), NOW_MS), _moving(s), NOW_MS), f"SELECT partition, key, value, expires_at_ms - {NOW_MS} AS remaining_ms FROM {_USERS} WHERE partition % 3 = 0")
+_add("export_chunks", lambda s, d: placement.chunked(c.orders(s, d).select(placement.partition_of("key").bitwiseAND(7).alias("partition"), "key", F.lit("x").alias("value")), 500).groupBy("partition", "chunk").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("first")),
+     f"SELECT partition, ((r - 1) // 500)::integer AS chunk, count(*) AS n, min(key) AS first FROM (SELECT *, row_number() OVER (PARTITION BY partition ORDER BY key) AS r FROM (SELECT {partition_sql(hash_17('key'))} % 8 AS partition, key FROM {_ORDERS})) GROUP BY 1, 2")
+_add("served_partitions", lambda s, d: state.served(c.orders(s, d).select("key", placement.partition_of("key").alias("partition")), s.range(100, 900).select(F.col("id").cast("int").alias("partition"))).select("key"), f"SELECT key FROM {_ORDERS} WHERE {partition_sql(hash_17('key'))} BETWEEN 100 AND 899")
+
+
+def cluster_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two groups that hold overlapping halves of the orders but serve their own partitions, and one that can't be reached: a weak scan."""
+    orders = c.orders(spark, sf_dir)
+    parts = {"a": (orders.where("value.id % 5 <> 0"), list(range(1500))), "b": (orders, list(range(1500, 3000))), "c": (None, list(range(3000, 4096)))}
+    rows, partial = commands.cluster_scan(parts, KeyRange(prefix="orders/"), 700, "eventual")
+    return rows.select("key", F.lit(partial).alias("partial"))
+
+
+_add("cluster_scan", cluster_scan, f"SELECT key, true AS partial FROM (SELECT *, {partition_sql(hash_17('key'))} AS p FROM {_ORDERS}) WHERE (p < 1500 AND id % 5 <> 0) OR p BETWEEN 1500 AND 2999 ORDER BY key LIMIT 700")
+
+
+def command_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event log as commands of groups, every 50th a fence of the user's own partition, every 80th a barrier: how each ended."""
+    log = c.event_log(spark, sf_dir)
+    op = F.struct(F.lit("put").alias("op"), F.col("key"), F.lit("1").alias("value"))
+    write = F.to_json(F.struct(F.lit("write").alias("type"), "mutation_id", F.array(op).alias("ops"), F.col("timestamp_ms").alias("now_ms")))
+    fence = F.to_json(F.struct(F.lit("fence").alias("type"), "mutation_id", F.array(placement.partition_of("key")).alias("partitions"), F.col("timestamp_ms").alias("now_ms")))
+    kind = F.when(F.col("seq") % 50 == 0, fence).when(F.col("seq") % 80 == 1, F.lit('{"type":"barrier"}')).otherwise(write)
+    return commands.apply_commands(log.select(F.col("key").alias("group"), F.col("seq").alias("idx"), kind.alias("command"))).groupBy("group", "outcome").agg(F.count(F.lit(1)).alias("n"))
+
+
+_add("command_apply", command_apply, f"""SELECT key AS "group", CASE WHEN seq % 50 = 0 THEN 'done' WHEN seq % 80 = 1 THEN 'barrier' WHEN closed THEN 'moving' ELSE 'applied' END AS outcome, count(*) AS n
+  FROM (SELECT *, count(*) FILTER (WHERE seq % 50 = 0) OVER (PARTITION BY key ORDER BY seq) > 0 AS closed FROM {_LOG}) GROUP BY 1, 2""")
 
 # indexes
 _STATUS, _TOTAL = ix.IndexSpec("by-status", "orders/", "status"), ix.IndexSpec("by-total", "orders/", "total", True)
@@ -321,3 +369,53 @@ def feed_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _add("feed_replay", feed_replay, f"SELECT key, kind, value, seq AS version, mutation_id FROM {_LOG} WHERE starts_with(key, 'users/000000001')")
+
+
+def watch_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A watcher that saw up to version 100 of users 1 to 19, whose bus holds 50 events."""
+    from .streaming import feed
+
+    return feed.lagged(c.event_log(spark, sf_dir), 100, "users/000000001", 50)
+
+
+_add("watch_lag", watch_lag, f"SELECT greatest(count(*) - 50, 0) AS missed, coalesce(max(seq), 100) AS resume FROM {_LOG} WHERE starts_with(key, 'users/000000001') AND seq > 100")
+
+
+def session_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a session with token 400 reads on a replica that applied 500 versions."""
+    from .streaming import feed
+
+    return state.current(feed.snapshot(c.event_log(spark, sf_dir), "session", applied=500, committed=900, token=400), NOW_MS).select("key", "version")
+
+
+_add("session_read", session_read, SQL["as_of_version"])
+
+
+def backup_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of a restored snapshot, with their versions."""
+    at = f"{shared_folder(spark)}/backup-{uuid.uuid4().hex}"
+    exchange.backup(c.event_log(spark, sf_dir), at)
+    rows, last = exchange.restore(spark, at)
+    return rows.select("key", "seq", "value", F.lit(last).cast("long").alias("last_seq"))
+
+
+_add("backup_restore", backup_restore, f"SELECT key, seq, value, (SELECT max(event_id) FROM events) AS last_seq FROM {_LATEST} WHERE kind = 'put'")
+
+
+def lines_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Live records exported as JSON lines and imported a day later: what has not expired, with the time left."""
+    at = f"{shared_folder(spark)}/lines-{uuid.uuid4().hex}"
+    exchange.export_lines(state.current(c.event_log(spark, sf_dir), NOW_MS), at)
+    return exchange.import_lines(spark, at, NOW_MS + 86_400_000).select("key", F.get_json_object("value", "$.k").alias("k"), "ttl_ms")
+
+
+_add("lines_roundtrip", lines_roundtrip, f"SELECT key, value->>'$.k' AS k, expires_at_ms - {NOW_MS + 86_400_000} AS ttl_ms FROM {_LATEST} WHERE kind = 'put' AND (expires_at_ms IS NULL OR expires_at_ms > {NOW_MS + 86_400_000})")
+
+
+def metadata_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Internal records of a prefix, in name order."""
+    names = c.table(spark, sf_dir, "nation").select(F.concat(F.lit("conflict/"), "n_name").alias("name"), F.col("n_nationkey").cast("string").alias("value"))
+    return state.metadata(names.unionByName(names.withColumn("name", F.concat(F.lit("partition/"), "value"))), "conflict/").select("name", "value")
+
+
+_add("metadata_scan", metadata_scan, "SELECT 'conflict/' || n_name AS name, n_nationkey::varchar AS value FROM nation ORDER BY 1")

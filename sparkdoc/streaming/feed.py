@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..errors import ArgumentError, StoreError
 from ..operators.state import LOG
 
+#: Events that a live watcher may be behind.
+BUS = 4096
 CONSISTENCY = ("strict", "session", "bounded", "available", "eventual")
 
 
@@ -42,14 +45,35 @@ def live_view(log: DataFrame) -> DataFrame:
     return log.groupBy("key").agg(F.max_by(F.struct("kind", "value"), "seq").alias("r"), F.max("seq").alias("version")).select("key", "r.kind", "r.value", "version")
 
 
-def snapshot(log: DataFrame, consistency: str, token: int | None = None, applied: int | None = None) -> DataFrame:
-    """The log that a read of some consistency may use: session and bounded need ``token`` to be applied, weaker ones take what is there."""
+def snapshot(log: DataFrame, consistency: str = "strict", applied: int | None = None, committed: int | None = None, token: int | None = None, behind_ms: int | None = None, max_staleness_ms: int | None = None) -> DataFrame:
+    """The log that a read may use on a replica that has applied it up to ``applied``.
+
+    strict needs all that is committed; bounded all that was committed ``max_staleness_ms`` ago, the replica being
+    ``behind_ms`` behind; session what its token names; the weak modes take what is there.
+    """
     if consistency not in CONSISTENCY:
-        from ..errors import ArgumentError
+        raise ArgumentError(f"consistency is one of {CONSISTENCY}", "invalid_consistency")
+    if (consistency == "bounded") != (max_staleness_ms is not None):
+        raise ArgumentError("max_staleness_ms goes with bounded reads, and only with them")
+    behind = applied is not None and {
+        "strict": committed is not None and applied < committed,
+        "bounded": committed is not None and applied < committed and (behind_ms is None or behind_ms > max_staleness_ms) if max_staleness_ms is not None else False,
+        "session": token is not None and applied < token}.get(consistency, False)
+    if behind:
+        raise StoreError("the replica is behind", "not_caught_up", applied=applied)
+    return log.where(F.col("seq") <= applied) if applied is not None else log
 
-        raise ArgumentError(f"consistency is one of {CONSISTENCY}")
-    if consistency in ("session", "bounded") and token is not None and applied is not None and applied < token:
-        from ..errors import StoreError
 
-        raise StoreError("the replica is behind the token", "not_caught_up")
-    return log.where(F.col("seq") <= applied) if applied is not None else log
+def lagged(log: DataFrame, seen: int, prefix: str = "", capacity: int = BUS) -> DataFrame:
+    """One row (missed, resume): how many events after version ``seen`` a watcher lost, whose bus holds ``capacity``, and the version to read again from.
+
+    The feed itself is read from the log, so a stream that goes on from its checkpoint never lags.
+    """
+    events = feed(log, prefix).where(F.col("version") > seen)
+    return events.agg(F.greatest(F.count(F.lit(1)) - capacity, F.lit(0)).alias("missed"), F.coalesce(F.max("version"), F.lit(seen)).alias("resume"))
+
+
+def coverage(serving: list[str], local: list[str]) -> dict:
+    """What a watcher is told first: the groups whose changes it sees, and whether some are served elsewhere."""
+    groups = sorted(set(serving) & set(local))
+    return {"groups": groups, "partial": len(groups) < len(set(serving))}
