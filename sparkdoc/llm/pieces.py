@@ -6,10 +6,13 @@ offset of the original byte it came from is noted. ``Encoder`` segments the norm
 through that alignment to a span of original bytes.
 
 Segmentation: byte-pair merges can't cross a border between a non-space symbol and the space mark that follows it
-when no piece has the mark after another symbol (checked from the model; a model that has such a piece is segmented as
-a whole). So the text is cut there and each chunk is segmented once by the sentencepiece library and remembered, which
-gives the library's ids on the whole text. ``MEMORY`` bounds the remembered chunks; a chunk of over ``LONG``
-characters isn't remembered. Whole texts are encoded, of any length.
+when no piece has the mark after another symbol, nor one before a line feed when no piece has a line feed (both checked
+from the model; one that has such pieces is segmented as a whole). So the text is cut there and each chunk is segmented
+once by the sentencepiece library and remembered, which gives the library's ids on the whole text. ``MEMORY`` bounds the
+remembered chunks; a chunk of over ``LONG`` characters isn't remembered. Whole texts are encoded, of any length.
+
+Where the map is empty a batch's texts are normalised, aligned and projected together in numpy (``Encoder.batch``);
+else one by one (``Encoder.spans``). Either way the decoded text is the library's ``decode`` of the ids.
 
 Defined cases: null is the empty text, which has no pieces but the end id; repeated ids and other columns don't matter.
 """
@@ -27,6 +30,8 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .textkit import pieces
+
 MARK = "▁"
 MEMORY = 400_000
 LONG = 200
@@ -132,6 +137,25 @@ class Normalizer:
         return out, np.append(align, len(data))
 
 
+    def sources(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(begin, end, first) without a map, for many texts: normalised byte i comes from the character at bytes begin[i] to end[i].
+
+        Text t has the normalised bytes first[t] to first[t + 1]. The added mark comes from no byte of its text's begin.
+        """
+        lead = (data & 0xC0) != 0x80
+        at = np.flatnonzero(lead)
+        char = np.cumsum(lead) - 1
+        wide = len(self.mark)
+        times = np.where(data == 32, wide, 1)
+        full = np.flatnonzero(np.diff(bounds)) if self.prefix else np.zeros(0, np.int64)
+        times[bounds[full]] += wide
+        first = np.concatenate([[0], np.cumsum(times)])[bounds]
+        begin, end = np.repeat(at[char], times), np.repeat(np.append(at[1:], len(data))[char], times)
+        for i in range(wide if len(full) else 0):
+            begin[first[full] + i] = end[first[full] + i] = bounds[full]
+        return begin, end, first
+
+
 class Encoder:
     def __init__(self, model: bytes) -> None:
         from sentencepiece import sentencepiece_model_pb2 as pb
@@ -143,61 +167,82 @@ class Encoder:
         self.end = self.library.eos_id()
         self.types = [p.type for p in proto.pieces]
         self.surface = [bytes([int(p.piece[3:5], 16)]) if p.type == _BYTE else p.piece.encode() for p in proto.pieces]
+        self.widths = np.array([len(x) if t != _UNKNOWN else 1 << 40 for x, t in zip(self.surface, self.types, strict=True)])
+        self.decimal = [str(i) for i in range(len(self.types))]
         self.mark_id = self.library.piece_to_id(MARK)
         spec = proto.normalizer_spec
-        self.cut = not any(MARK in p.piece.lstrip(MARK) for p in proto.pieces if p.type == _NORMAL) and spec.add_dummy_prefix and proto.trainer_spec.byte_fallback and self.normalizer.identity and not spec.remove_extra_whitespaces and self.types[self.mark_id] == _NORMAL and proto.trainer_spec.model_type == 2
-        self.chunks: dict[str, str] = {}  # a chunk's ids as text
-        self.odd: dict[str, bytes] = {}  # what those chunks decode to whose pieces don't spell them
-        self.pattern = re.compile(f"{MARK}+[^{MARK}]*")
-
-    def _learn(self, missing: list[str]) -> dict[str, str]:
-        """Segments chunks, named without their first mark, which the library puts there itself."""
-        found, surface, mark = {}, self.surface, MARK.encode()
+        self.plain = self.normalizer.identity and not spec.remove_extra_whitespaces and not self.normalizer.suffix and self.normalizer.escape
+        normal = [p.piece for p in proto.pieces if p.type not in (_UNKNOWN, _BYTE)]
+        self.cut = self.plain and not any(MARK in p.lstrip(MARK) or "\n" in p for p in normal) and spec.add_dummy_prefix and proto.trainer_spec.byte_fallback and self.types[self.mark_id] == _NORMAL and proto.trainer_spec.model_type == 2
+        self.chunks: dict[str, bytes] = {}  # a chunk's ids, four bytes each
+        self.pattern = re.compile(f"{MARK}+[^{MARK}\n]*|\n[^{MARK}\n]*")
+
+    def _learn(self, missing: list[str]) -> dict[str, bytes]:
+        """Segments chunks; one that begins with a line feed has no mark, the others are named without their first."""
+        found = {}
         for chunk, ids in zip(missing, self.library.encode(missing, num_threads=1), strict=True):
-            if not chunk:
-                ids = [self.mark_id]
-            found[chunk] = " ".join(map(str, ids))
-            said = b"".join([surface[i] for i in ids]).replace(mark, b" ")
-            if said[1:] != chunk.encode():  # else its pieces spell the chunk as it stands
-                self.odd[chunk] = said
+            ids = ids[1:] if chunk[:1] == "\n" else ids or [self.mark_id]
+            found[chunk] = np.array(ids, np.int32).tobytes()
         return found
 
     def _names(self, text: str) -> list[str]:
         if not text:
             return []
-        names = text.split(" ")
-        if "" in names or MARK in text:
-            return [x[1:] for x in self.pattern.findall(MARK + text.replace(" ", MARK))]
-        return names
+        if "  " in text or MARK in text or text[0] == " ":
+            return [x[x[0] == MARK :] for x in self.pattern.findall(MARK + text.replace(" ", MARK))]
+        return text.replace("\n", " \n").split(" ")
 
-    def parts(self, texts: list[str | None]) -> list[tuple[str, bytes]]:
-        """Each text's ids, as decimal numbers joined by one space, and the UTF-8 bytes that they decode to."""
+    def ids(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Each text's ids, without the end id."""
         if not self.cut:
-            every = self.library.encode([x or "" for x in texts], num_threads=1)
-            return [(" ".join(map(str, ids)), self.library.decode(ids).encode()) for ids in every]
+            return [np.array(x, np.int32) for x in self.library.encode([x or "" for x in texts], num_threads=1)]
         named = [self._names(x or "") for x in texts]
         known = self.chunks
         missing = list({x for names in named for x in names if x not in known})
         if len(known) + len(missing) > MEMORY:
-            self.chunks, self.odd = {}, {}
-            known, missing = self.chunks, list({x for names in named for x in names})
-        fresh = self._learn(missing)
-        known.update(fresh)
-        out = [(" ".join([known[x] for x in names]), self._decoded(names)) for names in named]
+            self.chunks = known = {}
+            missing = list({x for names in named for x in names})
+        if missing:
+            known.update(self._learn(missing))
+        out = [np.frombuffer(b"".join([known[x] for x in names]), np.int32) for names in named]
         for x in missing:
             if len(x) > LONG:
                 del known[x]
-                self.odd.pop(x, None)
         return out
 
-    def _decoded(self, names: list[str]) -> bytes:
-        """The surfaces of the chunks' pieces, without the first space that the library adds."""
-        if not self.odd or self.odd.keys().isdisjoint(names):
-            return " ".join(names).encode()
-        return b"".join([self.odd.get(x) or b" " + x.encode() for x in names])[1:]
-
     def encode(self, text: str | None, end: bool = True) -> list[int]:
-        return [int(i) for i in self.parts([text])[0][0].split()] + [self.end] * end
+        return self.ids([text])[0].tolist() + [self.end] * end
+
+    def batch(self, column: pa.Array) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+        """(ids by text, starts, ends): the spans of all pieces, text after text, in the bytes of their texts."""
+        texts = column.to_pylist()
+        if not self.plain:
+            found = [self.spans(x) for x in texts]
+            spans = np.concatenate([np.zeros((0, 2), np.int64), *(x[1] for x in found)])
+            return [np.array(x[0], np.int32) for x in found], spans[:, 0], spans[:, 1]
+        ids = self.ids(texts)
+        counts = np.array([len(x) for x in ids], np.int64)
+        flat = np.concatenate([np.zeros(0, np.int32), *ids])
+        starts, ends = np.zeros(len(flat), np.int64), np.zeros(len(flat), np.int64)
+        stop = np.cumsum(self.widths[flat])
+        piece = np.concatenate([[0], np.cumsum(counts)])
+        for i, j, data, bounds in pieces(column):
+            begin, end, first = self.normalizer.sources(data, bounds)
+            a, b = piece[i], piece[j]
+            if a == b:
+                continue
+            base = np.append(0, stop)[piece[i:j]]
+            text = np.repeat(np.arange(j - i), counts[i:j])
+            to = stop[a:b] - base[text]
+            low = to - self.widths[flat[a:b]] + first[text]
+            spelled = np.append(0, stop)[piece[i + 1 : j + 1]] - base == np.diff(first)
+            ok = spelled[text]  # else a piece stands for bytes that it doesn't spell
+            at = np.flatnonzero(ok)
+            starts[a + at] = begin[low[at]] - bounds[text[at]]
+            ends[a + at] = end[to[at] + first[text[at]] - 1] - bounds[text[at]]
+            for t in np.flatnonzero(~spelled):
+                starts[piece[i + t] : piece[i + t + 1]], ends[piece[i + t] : piece[i + t + 1]] = self.spans(texts[i + t])[1].T
+        return ids, starts, ends
 
     def spans(self, text: str | None) -> tuple[list[int], np.ndarray]:
         """(ids without the end id, spans): row i is the [start, end) of piece i in the text's UTF-8 bytes.
@@ -224,8 +269,8 @@ class Encoder:
         back = nxt[np.searchsorted(nxt, start, "right") - 1] if len(ids) else start
         return ids, np.stack([align[back] if len(ids) else begin, finish], 1) if len(ids) else np.zeros((0, 2), np.int64)
 
-    def decode(self, ids: list[int]) -> str:
-        return self.library.decode(ids)
+    def decode(self, ids: list[list[int]]) -> list[str]:
+        return self.library.decode(ids, num_threads=1)
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -243,16 +288,19 @@ def _encoder(model: bytes) -> Encoder:
 def _digests(batch: pa.RecordBatch, encoder: Encoder) -> pa.RecordBatch:
     """The digests of what ``_spans`` gives: each text is normalised, aligned, projected and decoded from its ids."""
     full = _spans(batch, encoder)
-    every, bounds = full.column(1).flatten().to_numpy(), full.column(1).offsets.to_numpy()
-    ids = [hashlib.sha256(" ".join(map(str, every[a:b].tolist())).encode()).hexdigest() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+    every, bounds, decimal = full.column(1).flatten().to_pylist(), full.column(1).offsets.to_numpy(), encoder.decimal
+    ids = [hashlib.sha256(" ".join([decimal[i] for i in every[a:b]]).encode()).hexdigest() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
     texts = [hashlib.sha256(x.encode()).hexdigest() for x in full.column(4).to_pylist()]
     return pa.record_batch([batch.column(0), pa.array(np.diff(bounds).astype(np.int64)), pa.array(ids, pa.string()), pa.array(texts, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
 
 def _spans(batch: pa.RecordBatch, encoder: Encoder) -> pa.RecordBatch:
-    found = [encoder.spans(x) for x in batch.column(1).to_pylist()]
-    column = lambda rows, kind: pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *rows]), kind))
-    return pa.record_batch([batch.column(0), column([[*x[0], encoder.end] for x in found], pa.int32()), column([x[1][:, 0] for x in found], pa.int64()), column([x[1][:, 1] for x in found], pa.int64()), pa.array([encoder.decode(x[0]) for x in found], pa.string())], ["doc_id", "ids", "starts", "ends", "decoded"])
+    ids, starts, ends = encoder.batch(batch.column(1))
+    count = np.array([len(x) for x in ids], np.int64)
+    lists = lambda n, values: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), values)
+    closed = np.insert(np.concatenate([np.zeros(0, np.int32), *ids]), np.cumsum(count), encoder.end)
+    decoded = encoder.decode([x.tolist() for x in ids])
+    return pa.record_batch([batch.column(0), lists(count + 1, pa.array(closed, pa.int32())), lists(count, pa.array(starts)), lists(count, pa.array(ends)), pa.array(decoded, pa.string())], ["doc_id", "ids", "starts", "ends", "decoded"])
 
 
 def _mapped(docs: DataFrame, model_path: str, make, schema: str, id_col: str, text_col: str) -> DataFrame:
