@@ -2,10 +2,10 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from sparkdoc.errors import ArgumentError
+from sparkdoc.errors import ArgumentError, StoreError
 from sparkdoc.operators import index as ix
 from sparkdoc.operators import placement as pl
-from sparkdoc.plans.query import KeyRange, Query
+from sparkdoc.plans.query import Index, KeyRange, Query
 
 from .test_filters import schemaless
 
@@ -51,6 +51,12 @@ def test_fence_groups_migration_and_chunks(spark):
     rows = spark.createDataFrame([(1, 2), (2, 2), (3, 2)], "c int, o int").select(pl.fence(F.col("c"), F.col("o")).alias("f"))
     assert [r.f for r in rows.collect()] == ["stale", "ok", "ahead"]
     moves = spark.createDataFrame([(1, "moving"), (2, "imported")], "partition int, state string")
+    place = lambda n: pl.place(spark, spark.createDataFrame(NODES[:n], "node string, zone string"), 1, 64)
+    with pytest.raises(StoreError) as e:
+        pl.start_moves(moves, place(2), place(3), 4)
+    assert e.value.code == "migrations_pending" and e.value.pending == 2
+    begun = pl.start_moves(moves.withColumn("state", F.lit("done")), place(2), place(3), 4)
+    assert {r.state for r in begun.collect()} == {"moving"} and begun.count() == pl.rebalance(place(2), place(3), 4).count()
     assert {r.partition: r.state for r in pl.advance(moves, moves).collect()} == {1: "fenced", 2: "done"}
     data = spark.createDataFrame([(1, f"k{i:02}", "x" * 10) for i in range(10)] + [(2, "a", "y" * 100)], "partition int, key string, value string")
     assert sorted((r.partition, r.chunk, r.n) for r in pl.chunked(data, 4, 1000).groupBy("partition", "chunk").agg(F.count("*").alias("n")).collect()) == [(1, 0, 4), (1, 1, 4), (1, 2, 2), (2, 0, 1)]
@@ -76,7 +82,8 @@ def test_index_equals_scan(spark):
         assert [r.key for r in ix.lookup(index, v).collect()] == want, v
     assert [r.key for r in ix.ordered(index, spec, 100).collect()] == [r.key for r in Query(rows, {"sort": {"field": "v"}}).top().collect()]
     assert [r.key for r in ix.ordered(index, spec, 100, low=1.0, high=4.0).collect()] == ["k001", "k007", "k000"]
-    assert Query(rows, {"prefix": "k0", "where": {"v": 3}}, [spec]).access() == "by-v" and Query(rows, {"where": {"v": 3}}, [spec]).access() is None
+    ready = [Index(spec, index)]
+    assert Query(rows, {"prefix": "k0", "where": {"v": 3}}, ready).access().spec is spec and Query(rows, {"where": {"v": 3}}, ready).access() is None
     after = rows.where("key = 'k000'").withColumn("value", F.try_parse_json(F.lit('{"v": 77}')))
     assert [r.key for r in ix.lookup(ix.updated(index, rows.where("key = 'k000'"), after, spec), 77).collect()] == ["k000"]
     with pytest.raises(ArgumentError):
