@@ -62,6 +62,57 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scanned(docs, secret_scan.train(docs)).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
 
 
+# parts of operators' results that SQL can express, by the same code
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path and rule of every page."""
+    return op1_url_filters(spark, sf_dir).select("page_id", "host", "path", "rule", F.when(F.col("rule").isNotNull(), F.col("verdict")).alias("verdict"))
+
+
+def document_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows, bytes and slots of the whole table over all shards, and how many rows a further shard takes."""
+    out = op2_sharding(spark, sf_dir)
+    per = out.groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"), F.countDistinct("slot").alias("slots"), F.max("slot").alias("last"))
+    return per.agg(F.sum("n").alias("n"), F.sum("size").alias("size"), F.sum("slots").alias("slots"), F.sum(F.col("last") + 1).alias("lasts"), F.min("shard").alias("first_shard"), F.max("shard").alias("last_shard"))
+
+
+def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base counts of every document."""
+    return op7_quality_rules(spark, sf_dir).select("doc_id", *quality.BASE, "base_failed")
+
+
+def secret_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base counts of every document."""
+    return op10_secret_scans(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
+_RULE = "(host = '{0}' OR ends_with(host, '.{0}')) AND starts_with(path, '{1}')"
+_RULES = sorted(url_filter.RULES, key=lambda r: -len(r[1]))
+URL_SQL = f"""
+WITH parts AS (SELECT page_id, CASE WHEN contains(coalesce(url, ''), '://') THEN regexp_extract(substr(url, position('://' IN url) + 3), '^[^?#]*') ELSE '' END AS rest FROM pages),
+cut AS (SELECT page_id, translate(regexp_extract(rest, '^[^/]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, substr(rest, length(regexp_extract(rest, '^[^/]*')) + 1) AS path FROM parts)
+SELECT page_id, host, path, CASE {' '.join(f"WHEN {_RULE.format(t.split('/')[0], '/' + t.partition('/')[2])} THEN '{t}'" for _, t in _RULES)} END AS rule,
+  CASE {' '.join(f"WHEN {_RULE.format(t.split('/')[0], '/' + t.partition('/')[2])} THEN '{v}'" for v, t in _RULES)} END AS verdict FROM cut
+"""
+SIZES_SQL = "SELECT count(*) AS n, (sum(strlen(coalesce(text, ''))) + count(*))::bigint AS size, count(*) AS slots, count(*) AS lasts, 0 AS first_shard, 7 AS last_shard FROM documents"
+QUALITY_SQL = r"""
+WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+words AS (SELECT rid, doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM docs),
+lines AS (SELECT rid, count(*) - count(DISTINCT line) AS n FROM (SELECT rid, unnest(string_split(text, chr(10))) AS line FROM docs) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY rid),
+tokens AS (SELECT rid, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM words),
+grams AS (SELECT rid, i, word AS a, lead(word, 1) OVER x AS b, lead(word, 2) OVER x AS c FROM tokens WINDOW x AS (PARTITION BY rid ORDER BY i)),
+twice AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, a, b, c) AS n FROM grams WHERE c IS NOT NULL) WHERE n > 1),
+again AS (SELECT rid, count(DISTINCT j) AS n FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS j FROM twice) GROUP BY rid)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM (
+  SELECT doc_id, len(w)::bigint AS n_words, length(array_to_string(w, ''))::bigint AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::bigint AS n_symbols,
+    coalesce(lines.n, 0)::bigint AS n_dup_lines, coalesce(again.n, 0)::bigint AS n_repeat_words FROM words LEFT JOIN lines USING (rid) LEFT JOIN again USING (rid))
+"""
+_either = lambda name: "".join(f"[{x}{x.upper()}]" if x.isalpha() else x for x in name)
+_ASSIGN = "(" + "|".join(map(_either, ("password", "passwd", "secret", "token", "api_?key"))) + r""")["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+SECRETS_SQL = f"""
+SELECT doc_id, len(list_filter(regexp_extract_all(t, '{_ASSIGN}', 2), lambda x: length(x) >= 6))::bigint AS n_assign, len(list_filter(regexp_extract_all(t, 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 20))::bigint AS n_access,
+  len(list_filter(regexp_extract_all(t, '[0-9a-f]+'), lambda x: length(x) >= 24))::bigint AS n_hex FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)
+"""
+
 OP6_SQL = r"""
 WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
 lines AS (
@@ -86,5 +137,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_secret_scans": op10_secret_scans,
+    "url_rules": url_rules,
+    "document_sizes": document_sizes,
+    "quality_base": quality_base,
+    "secret_counts": secret_counts,
 }
-SQL: dict[str, str] = {"op6_line_dedup": OP6_SQL}
+SQL: dict[str, str] = {"op6_line_dedup": OP6_SQL, "url_rules": URL_SQL, "document_sizes": SIZES_SQL, "quality_base": QUALITY_SQL, "secret_counts": SECRETS_SQL}
