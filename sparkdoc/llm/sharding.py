@@ -89,7 +89,7 @@ def sharded(docs: DataFrame, tree: Node, id_col: str = "doc_id", text_col: str =
     text, key = F.coalesce(F.col(text_col), F.lit("")), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
     rows = docs.withColumns({
         "_size": F.octet_length(text).cast("long") + 1, "_crc": F.crc32(text.cast("binary")), "_shard": shard_of(key, tree), "_grown": shard_of(key, grown(tree)),
-        "_bucket": F.pmod(F.xxhash64(key, F.lit("slot")), F.lit(BUCKETS)).cast("int")})
+        "_bucket": F.pmod(F.xxhash64(key, F.crc32(text.cast("binary")), F.lit("slot")), F.lit(BUCKETS)).cast("int")})
     starts = rows.groupBy("_shard", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     # at most shards x BUCKETS rows, so it can be broadcast and one window per shard is small
     starts = starts.select("_shard", "_bucket", (F.sum("_n").over(Window.partitionBy("_shard").orderBy("_bucket")) - F.col("_n")).alias("_start"))
