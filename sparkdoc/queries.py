@@ -18,6 +18,8 @@ from .sources import exchange
 from .sources.exchange import shared_folder
 
 NOW_MS = 1_706_000_000_000  # 2024-01-23, within the events
+_kept = lambda make: lambda s, d: c.stored(make, s, d)
+orders, events, mixed, labeled, order_docs = map(_kept, (c.orders, c.events, c.mixed, c.document_labels, c.order_documents))
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -54,10 +56,10 @@ def flagship_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 _add("flagship_orders", flagship_orders, f"SELECT count(*) AS count, round(sum(total), 2) AS sum_total, min(date) AS min_date, max(date) AS max_date, max(total) AS max_total FROM {_ORDERS} WHERE status = 'F' AND total >= 100000")
 
 # scans
-_add("get_point", lambda s, d: Query(c.orders(s, d), {"start": "orders/0000000007", "end": "orders/0000000007\0"}).all().select("key", "value.status", "value.total"), f"SELECT key, status, total FROM {_ORDERS} WHERE key = 'orders/0000000007'")
-_add("scan_prefix_orders", lambda s, d: Query(c.orders(s, d), {"prefix": "orders/00000000", "limit": 50}).top().select("key", "value.status"), f"SELECT key, status FROM {_ORDERS} WHERE starts_with(key, 'orders/00000000') ORDER BY key LIMIT 50")
-_add("scan_range_events", lambda s, d: Query(c.events(s, d), {"start": "events/0000000100", "end": "events/0000000250", "limit": 1000}).top().select("key"), f"SELECT key FROM {_EVENTS} WHERE key >= 'events/0000000100' AND key < 'events/0000000250'")
-_add("scan_after", lambda s, d: Query(c.orders(s, d), {"prefix": "orders/", "after": "orders/0000000100", "limit": 20}).top().select("key"), f"SELECT key FROM {_ORDERS} WHERE key > 'orders/0000000100' ORDER BY key LIMIT 20")
+_add("get_point", lambda s, d: Query(orders(s, d), {"start": "orders/0000000007", "end": "orders/0000000007\0"}).all().select("key", "value.status", "value.total"), f"SELECT key, status, total FROM {_ORDERS} WHERE key = 'orders/0000000007'")
+_add("scan_prefix_orders", lambda s, d: Query(orders(s, d), {"prefix": "orders/00000000", "limit": 50}).top().select("key", "value.status"), f"SELECT key, status FROM {_ORDERS} WHERE starts_with(key, 'orders/00000000') ORDER BY key LIMIT 50")
+_add("scan_range_events", lambda s, d: Query(events(s, d), {"start": "events/0000000100", "end": "events/0000000250", "limit": 1000}).top().select("key"), f"SELECT key FROM {_EVENTS} WHERE key >= 'events/0000000100' AND key < 'events/0000000250'")
+_add("scan_after", lambda s, d: Query(orders(s, d), {"prefix": "orders/", "after": "orders/0000000100", "limit": 20}).top().select("key"), f"SELECT key FROM {_ORDERS} WHERE key > 'orders/0000000100' ORDER BY key LIMIT 20")
 
 # filters
 _where("filter_eq", c.orders, {"status": "F"}, _ORDERS, "status = 'F'")
@@ -73,32 +75,32 @@ _where("filter_prefix", c.orders, {"priority": {"$prefix": "1"}}, _ORDERS, "star
 _where("filter_contains_string", c.documents, {"text": {"$contains": "and the"}}, _DOCS, "contains(text, 'and the')")
 _where("filter_and_or_not", c.orders, {"$or": [{"status": "O", "total": {"$lt": 50000}}, {"$and": [{"status": "F"}, {"$not": {"total": {"$lt": 300000}}}]}]}, _ORDERS, "(status = 'O' AND total < 50000) OR (status = 'F' AND NOT total < 300000)")
 _where("filter_not_missing", c.documents, {"$not": {"quality": {"$gt": 0}}}, _DOCS, "NOT coalesce(quality > 0, false)")
-_where("filter_json_props", c.events, {"props.k": {"$gte": 50}}, _EVENTS, "k >= 50")
-_where("filter_json_eq_null", c.document_labels, {"quality": None}, _LABELS, "q = 'null'")
-_where("filter_json_ne", c.document_labels, {"quality": {"$ne": 1}}, _LABELS, "q <> '1'")
-_where("filter_json_exists", c.document_labels, {"quality": {"$exists": True}}, _LABELS, "q <> 'missing'")
-_where("filter_json_cross_type", c.mixed, {"total": {"$gt": 1}}, _MIXED, "kind = 'number' AND k > 1")
-_where("filter_json_string_order", c.mixed, {"total": {"$gte": "t2"}}, _MIXED, "kind = 'text' AND 't' || k >= 't2'")
-_where("filter_json_nin", c.mixed, {"total": {"$nin": [1, 2, "t5"]}}, _MIXED, "NOT (kind = 'number' AND k IN (1, 2)) AND NOT (kind = 'text' AND k = 5)")
-_where("filter_json_not", c.mixed, {"$not": {"total": {"$gt": 100}}}, _MIXED, "NOT (kind = 'number' AND k > 100)")
-_where("filter_empty", c.mixed, {}, _MIXED, "true")
-_where("filter_object_eq", c.events, {"props": {"k": 69}}, _EVENTS, "k = 69")
+_where("filter_json_props", events, {"props.k": {"$gte": 50}}, _EVENTS, "k >= 50")
+_where("filter_json_eq_null", labeled, {"quality": None}, _LABELS, "q = 'null'")
+_where("filter_json_ne", labeled, {"quality": {"$ne": 1}}, _LABELS, "q <> '1'")
+_where("filter_json_exists", labeled, {"quality": {"$exists": True}}, _LABELS, "q <> 'missing'")
+_where("filter_json_cross_type", mixed, {"total": {"$gt": 1}}, _MIXED, "kind = 'number' AND k > 1")
+_where("filter_json_string_order", mixed, {"total": {"$gte": "t2"}}, _MIXED, "kind = 'text' AND 't' || k >= 't2'")
+_where("filter_json_nin", mixed, {"total": {"$nin": [1, 2, "t5"]}}, _MIXED, "NOT (kind = 'number' AND k IN (1, 2)) AND NOT (kind = 'text' AND k = 5)")
+_where("filter_json_not", mixed, {"$not": {"total": {"$gt": 100}}}, _MIXED, "NOT (kind = 'number' AND k > 100)")
+_where("filter_empty", mixed, {}, _MIXED, "true")
+_where("filter_object_eq", events, {"props": {"k": 69}}, _EVENTS, "k = 69")
 _PARTS = "(SELECT 'orders/' || lpad(o_orderkey::varchar, 10, '0') AS key, o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey)"
-_where("filter_array_contains", c.order_documents, {"parts": {"$contains": 7}}, _PARTS, "o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_partkey = 7)")
-_where("filter_array_index", c.order_documents, {"lines.0.part": {"$lt": 20}}, "(SELECT key, part FROM (SELECT 'orders/' || lpad(l_orderkey::varchar, 10, '0') AS key, l_partkey AS part, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey) WHERE n = 1)", "part < 20")
+_where("filter_array_contains", order_docs, {"parts": {"$contains": 7}}, _PARTS, "o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_partkey = 7)")
+_where("filter_array_index", order_docs, {"lines.0.part": {"$lt": 20}}, "(SELECT key, part FROM (SELECT 'orders/' || lpad(l_orderkey::varchar, 10, '0') AS key, l_partkey AS part, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey) WHERE n = 1)", "part < 20")
 
 # projection
-_add("project_nested", lambda s, d: Query(c.order_documents(s, d), {"where": {"status": "P"}, "fields": ["customer.segment", "total", "zz"]}).all().select("key", F.to_json("value").alias("value")),
+_add("project_nested", lambda s, d: Query(order_docs(s, d), {"where": {"status": "P"}, "fields": ["customer.segment", "total", "zz"]}).all().select("key", F.to_json("value").alias("value")),
      """SELECT 'orders/' || lpad(o_orderkey::varchar, 10, '0') AS key, '{"total":' || o_totalprice || ',"customer":{"segment":"' || c_mktsegment || '"}}' AS value FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'P'""")
-_add("project_json", lambda s, d: Query(c.document_labels(s, d), {"fields": ["quality"]}).all().select("key", F.to_json("value").alias("value")),
+_add("project_json", lambda s, d: Query(labeled(s, d), {"fields": ["quality"]}).all().select("key", F.to_json("value").alias("value")),
      f"SELECT key, CASE q WHEN 'missing' THEN '{{}}' ELSE '{{\"quality\":' || q || '}}' END AS value FROM {_LABELS}")
 
 # aggregates
 _add("agg_count", lambda s, d: Query(c.orders(s, d), {"where": {"status": "O"}, "aggregate": {"count": True}}).aggregated(), f"SELECT count(*) AS count FROM {_ORDERS} WHERE status = 'O'")
 _add("agg_sum", lambda s, d: Query(c.orders(s, d), {"aggregate": {"sum": ["total", "id"]}}).aggregated().withColumn("sum_total", F.round("sum_total", 2)), f"SELECT round(sum(total), 2) AS sum_total, sum(id)::bigint AS sum_id FROM {_ORDERS}")
 _add("agg_min_max", lambda s, d: Query(c.orders(s, d), {"aggregate": {"min": ["date", "total"], "max": ["date", "total"]}}).aggregated(), f"SELECT min(date) AS min_date, min(total) AS min_total, max(date) AS max_date, max(total) AS max_total FROM {_ORDERS}")
-_add("agg_json_sum", lambda s, d: Query(c.events(s, d), {"aggregate": {"count": True, "sum": "props.k", "max": "props.k"}}).aggregated(), f"SELECT count(*) AS count, sum(k)::varchar AS sum_props_k, max(k)::varchar AS max_props_k FROM {_EVENTS}")
-_add("agg_mixed_types", lambda s, d: Query(c.mixed(s, d), {"aggregate": {"count": True, "sum": "total", "min": "total", "max": "total"}}).aggregated(),
+_add("agg_json_sum", lambda s, d: Query(events(s, d), {"aggregate": {"count": True, "sum": "props.k", "max": "props.k"}}).aggregated(), f"SELECT count(*) AS count, sum(k)::varchar AS sum_props_k, max(k)::varchar AS max_props_k FROM {_EVENTS}")
+_add("agg_mixed_types", lambda s, d: Query(mixed(s, d), {"aggregate": {"count": True, "sum": "total", "min": "total", "max": "total"}}).aggregated(),
      f"SELECT count(*) AS count, (sum(k) FILTER (WHERE kind = 'number'))::varchar AS sum_total, (min(k) FILTER (WHERE kind = 'number'))::varchar AS min_total, '\"' || (max('t' || k) FILTER (WHERE kind = 'text')) || '\"' AS max_total FROM {_MIXED}")
 
 
@@ -110,7 +112,7 @@ def _rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
 def agg_merge_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Aggregates merged from those of pages, each a scan of 4,000 rows at most."""
     spec = {"prefix": "orders/", "where": {"status": {"$ne": "P"}}, "max_scanned": 4000, "aggregate": {"count": True, "sum": "id", "min": "date", "max": ["date", "id"]}}
-    m = aggregate_pages(c.orders(spark, sf_dir), spec)
+    m = aggregate_pages(orders(spark, sf_dir), spec)
     return _rows(spark, [(m["count"], m["sum"]["id"], m["min"]["date"], m["max"]["date"], m["max"]["id"])], "count long, sum_id long, min_date string, max_date string, max_id long")
 
 
@@ -119,12 +121,12 @@ _add("agg_merge_pages", agg_merge_pages, f"SELECT count(*) AS count, sum(id)::bi
 # sort and paging
 _add("sort_asc_limit", lambda s, d: Query(c.orders(s, d), {"sort": {"field": "total"}, "limit": 25}).top().select("key", "value.total"), f"SELECT key, total FROM {_ORDERS} ORDER BY total, key LIMIT 25")
 _add("sort_desc_tie_key", lambda s, d: Query(c.orders(s, d), {"sort": {"field": "priority", "order": "desc"}, "limit": 40}).top().select("key", "value.priority"), f"SELECT key, priority FROM {_ORDERS} ORDER BY priority DESC, key LIMIT 40")
-_add("sort_mixed_types", lambda s, d: Query(c.mixed(s, d), {"sort": {"field": "total", "order": "desc"}, "limit": 500}).top().select("key"),
+_add("sort_mixed_types", lambda s, d: Query(mixed(s, d), {"sort": {"field": "total", "order": "desc"}, "limit": 500}).top().select("key"),
      f"SELECT key FROM {_MIXED} WHERE kind <> 'missing' ORDER BY CASE kind WHEN 'text' THEN 3 WHEN 'number' THEN 2 ELSE 1 END DESC, CASE kind WHEN 'number' THEN k END DESC, CASE kind WHEN 'text' THEN 't' || k END DESC, key LIMIT 500")
 _add("sort_filtered", lambda s, d: Query(c.orders(s, d), {"where": {"status": "F", "total": {"$gte": 20000, "$lt": 50000}}, "sort": {"field": "total", "order": "desc"}, "limit": 30}).top().select("key"), f"SELECT key FROM {_ORDERS} WHERE status = 'F' AND total >= 20000 AND total < 50000 ORDER BY total DESC, key LIMIT 30")
 
 
-def _chain(spec: dict, collection: Callable = c.orders, indexes: Callable | None = None) -> Callable[[SparkSession, str], DataFrame]:
+def _chain(spec: dict, collection: Callable = orders, indexes: Callable | None = None) -> Callable[[SparkSession, str], DataFrame]:
     """Keys of all pages of a query with their place, from page after page."""
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         pages = follow(collection(spark, sf_dir), spec, indexes(spark, sf_dir) if indexes else None)
@@ -134,7 +136,7 @@ def _chain(spec: dict, collection: Callable = c.orders, indexes: Callable | None
 
 
 _placed = lambda sql, order: f"SELECT (row_number() OVER (ORDER BY {order}) - 1)::integer AS place, key FROM {sql}"
-_add("page_keyset", lambda s, d: _rows(s, [(x["key"],) for x in Query(c.orders(s, d), {"where": {"status": "F"}, "after": "orders/0000000300", "limit": 10}).page()["items"]], "key string"), f"SELECT key FROM {_ORDERS} WHERE status = 'F' AND key > 'orders/0000000300' ORDER BY key LIMIT 10")
+_add("page_keyset", lambda s, d: _rows(s, [(x["key"],) for x in Query(orders(s, d), {"where": {"status": "F"}, "after": "orders/0000000300", "limit": 10}).page()["items"]], "key string"), f"SELECT key FROM {_ORDERS} WHERE status = 'F' AND key > 'orders/0000000300' ORDER BY key LIMIT 10")
 _add("page_chain_filtered", _chain({"prefix": "orders/", "where": {"status": "P", "total": {"$lt": 90000}}, "limit": 400, "max_scanned": 9000}), _placed(f"{_ORDERS} WHERE status = 'P' AND total < 90000", "key"))
 _add("page_chain_sorted", _chain({"where": {"status": "P", "total": {"$lt": 150000}}, "sort": {"field": "total"}, "limit": 400}), _placed(f"{_ORDERS} WHERE status = 'P' AND total < 150000", "total, key"))
 _add("page_chain_sorted_desc", _chain({"where": {"total": {"$lt": 60000}}, "sort": {"field": "priority", "order": "desc"}, "limit": 600}), _placed(f"{_ORDERS} WHERE total < 60000", "priority DESC, key"))
@@ -142,7 +144,7 @@ _add("page_chain_sorted_desc", _chain({"where": {"total": {"$lt": 60000}}, "sort
 
 def page_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per page of a budgeted scan: rows looked at, matches, and the key it goes on behind."""
-    pages = follow(c.orders(spark, sf_dir), {"prefix": "orders/", "where": {"status": "P"}, "limit": 1000, "max_scanned": 2500})
+    pages = follow(orders(spark, sf_dir), {"prefix": "orders/", "where": {"status": "P"}, "limit": 1000, "max_scanned": 2500})
     return _rows(spark, [(i, p["scanned"], len(p["items"]), p["next_cursor"]) for i, p in enumerate(pages)], "page int, scanned long, items long, next_cursor string")
 
 
@@ -153,7 +155,7 @@ _add("page_budget", page_budget, f"""SELECT page, scanned, items, CASE WHEN page
 def _merged_chain(spec: dict, sort: Sort | None, groups: int = 3) -> Callable[[SparkSession, str], DataFrame]:
     """Pages of a query that several groups of keys answer, merged, one after the other."""
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        whole, after, keys = c.orders(spark, sf_dir), None, []
+        whole, after, keys = orders(spark, sf_dir), None, []
         while True:
             ask = spec | ({"after": after} if after is not None else {})
             parts = [Query(whole.where(F.pmod(F.crc32(F.col("key").cast("binary")), F.lit(groups)) == g), ask).page() for g in range(groups)]
@@ -322,28 +324,33 @@ _add("command_apply", command_apply, f"""SELECT key AS "group", CASE WHEN seq %
 
 # indexes
 _STATUS, _TOTAL = ix.IndexSpec("by-status", "orders/", "status"), ix.IndexSpec("by-total", "orders/", "total", True)
-_add("index_entries", lambda s, d: ix.entries(c.mixed(s, d), _TOTAL).select("tag", "key"), f"SELECT CASE kind WHEN 'null' THEN 1 WHEN 'number' THEN 4 ELSE 5 END AS tag, key FROM {_MIXED} WHERE kind <> 'missing'")
-_add("index_lookup", lambda s, d: ix.lookup(ix.entries(c.orders(s, d), _STATUS), "P", KeyRange(start="orders/0000001000")), f"SELECT key FROM {_ORDERS} WHERE status = 'P' AND key >= 'orders/0000001000'")
-_add("index_scan_recheck", lambda s, d: ix.scan_equal(c.orders(s, d), ix.entries(c.orders(s, d), _STATUS), "P", Query(c.orders(s, d), {"where": {"status": "P", "total": {"$lt": 100000}}})).select("key"), f"SELECT key FROM {_ORDERS} WHERE status = 'P' AND total < 100000")
-_add("index_sorted", lambda s, d: ix.ordered(ix.entries(c.orders(s, d), _TOTAL), _TOTAL, 50, low=1000.0, high=400000.0).select("key"), f"SELECT key FROM {_ORDERS} WHERE total >= 1000 AND total < 400000 ORDER BY total DESC, key LIMIT 50")
+_add("index_entries", lambda s, d: ix.entries(mixed(s, d), _TOTAL).select("tag", "key"), f"SELECT CASE kind WHEN 'null' THEN 1 WHEN 'number' THEN 4 ELSE 5 END AS tag, key FROM {_MIXED} WHERE kind <> 'missing'")
+_add("index_lookup", lambda s, d: ix.lookup(_orders_indexes(s, d)[0].table, "P", KeyRange(start="orders/0000001000")), f"SELECT key FROM {_ORDERS} WHERE status = 'P' AND key >= 'orders/0000001000'")
+_add("index_scan_recheck", lambda s, d: ix.scan_equal(orders(s, d), _orders_indexes(s, d)[0].table, "P", Query(orders(s, d), {"where": {"status": "P", "total": {"$lt": 100000}}})).select("key"), f"SELECT key FROM {_ORDERS} WHERE status = 'P' AND total < 100000")
+_add("index_sorted", lambda s, d: ix.ordered(_orders_indexes(s, d)[1].table, _TOTAL, 50, low=1000.0, high=400000.0).select("key"), f"SELECT key FROM {_ORDERS} WHERE total >= 1000 AND total < 400000 ORDER BY total DESC, key LIMIT 50")
+
+
+_BUILT: dict = {}
 
 
 def _opened(spark: SparkSession, collection: DataFrame, *specs: ix.IndexSpec) -> list:
     """Side tables in the shared folder, ready to be read."""
-    base = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    app = spark.sparkContext.applicationId, collection.inputFiles()[0]
     for s in specs:
-        ix.build(collection, s, f"{base}/{s.name}")
-    return [ix.opened(spark, s, f"{base}/{s.name}") for s in specs]
+        if (app, s) not in _BUILT:
+            _BUILT[app, s] = f"{shared_folder(spark)}/index-{s.name}-{uuid.uuid4().hex}"
+            ix.build(collection, s, _BUILT[app, s])
+    return [ix.opened(spark, s, _BUILT[app, s]) for s in specs]
 
 
-_orders_indexes = lambda s, d: _opened(s, c.orders(s, d), _STATUS, _TOTAL)
+_orders_indexes = lambda s, d: _opened(s, orders(s, d), _STATUS, _TOTAL)
 _add("index_page_equal", _chain({"prefix": "orders/", "where": {"status": "P", "total": {"$lt": 100000}}, "limit": 500}, indexes=_orders_indexes), _placed(f"{_ORDERS} WHERE status = 'P' AND total < 100000", "key"))
 _add("index_page_sorted", _chain({"prefix": "orders/", "where": {"status": "F", "total": {"$gte": 300000}}, "sort": {"field": "total", "order": "desc"}, "limit": 600, "max_scanned": 2500}, indexes=_orders_indexes), _placed(f"{_ORDERS} WHERE status = 'F' AND total >= 300000", "total DESC, key"))
 
 
 def index_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An index that is built in steps of 4,000 rows, counted by value; then how many entries a step of its removal leaves."""
-    base, orders, after = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}", c.orders(spark, sf_dir), None
+    base, orders, after = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}", orders(spark, sf_dir), None
     while True:
         after = ix.backfill_step(orders, _STATUS, base, after, 4000)
         if after is None:
