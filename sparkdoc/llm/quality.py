@@ -48,15 +48,22 @@ _LEAD = (np.arange(256) & 0xC0) != 0x80
 
 
 def _per_text(flags: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    if len(bounds) == 2:  # one long text
+        return np.array([np.count_nonzero(flags[bounds[0] : bounds[1]])])
     return np.diff(np.concatenate([[0], np.cumsum(flags)])[bounds])
 
 
 def _repeated(keys: np.ndarray, first: np.ndarray, later_only: bool) -> np.ndarray:
     """For each key whether it is found twice or more within its text (or: equals an earlier one)."""
-    text = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    order = np.lexsort((keys, text))
-    k, t = keys[order], text[order]
-    same = (k[1:] == k[:-1]) & (t[1:] == t[:-1])
+    if len(first) == 2:  # one long text
+        order = np.argsort(keys, kind="stable")
+        k = keys[order]
+        same = k[1:] == k[:-1]
+    else:
+        text = np.repeat(np.arange(len(first) - 1), np.diff(first))
+        order = np.lexsort((keys, text))
+        k, t = keys[order], text[order]
+        same = (k[1:] == k[:-1]) & (t[1:] == t[:-1])
     out = np.zeros(len(keys), bool)
     out[order[1:][same]] = True  # lexsort is stable: the first of equals comes first
     if not later_only:
@@ -77,8 +84,13 @@ def statistics(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         windows = textkit.grams(w.hashes, 3)
         count = np.maximum(n - 2, 0)
         wfirst = np.concatenate([[0], np.cumsum(count)])
-        at = np.repeat(w.first[:-1], count) + np.arange(wfirst[-1]) - np.repeat(wfirst[:-1], count)
-        hit = at[_repeated(windows[at], wfirst, False)] if len(at) else at
+        if len(n) == 1:
+            at = np.arange(wfirst[-1])
+            hit = np.flatnonzero(_repeated(windows, wfirst, False))
+        else:
+            at = np.repeat(w.first[:-1], count) + np.arange(wfirst[-1]) - np.repeat(wfirst[:-1], count)
+            hit = at[_repeated(windows[at], wfirst, False)] if len(at) else at
+        del windows, at
         covered = np.zeros(len(w.starts), bool)
         for d in range(3):
             covered[hit + d] = True
@@ -91,7 +103,7 @@ def statistics(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         ends = np.append(begins[1:], len(data))
         ends = np.where((ends > 0) & np.isin(ends - 1, feeds), ends - 1, ends)
         has = np.searchsorted(w.starts, ends) > np.searchsorted(w.starts, begins)
-        lines = _line_hashes(data, begins, ends)
+        lines = textkit.range_hashes(data, begins, ends)
         live = np.flatnonzero(has)
         live_first = np.concatenate([[0], np.cumsum(has)])[lfirst]
         again = _repeated(lines[live], live_first, True) if len(live) else np.zeros(0, bool)
@@ -106,21 +118,6 @@ def statistics(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(base), np.concatenate(features)
 
 
-def _line_hashes(data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A hash of each line's bytes, with the line's own places as powers."""
-    size = ends - begins
-    out = np.zeros(len(begins), np.uint64)
-    some = np.flatnonzero(size > 0)
-    if len(some):
-        m = size[some]
-        stop = np.cumsum(m)
-        place = np.arange(stop[-1]) - np.repeat(stop - m, m)
-        terms = textkit._BYTE[data[np.repeat(begins[some], m) + place]]
-        terms *= textkit._powers(int(m.max()))[place]
-        out[some] = textkit.mix(np.add.reduceat(terms, stop - m) + m.astype(np.uint64))
-    return out
-
-
 @dataclass
 class Trees:
     """All trees in one set of node arrays. A leaf is its own child; ``depth`` steps reach a leaf from any root."""

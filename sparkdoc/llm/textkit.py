@@ -15,6 +15,8 @@ import pyarrow as pa
 
 #: Bytes of text that are worked on at once; a longer text is one piece by itself.
 PIECE = 2 << 20
+#: Bytes that are hashed at once, which takes some forty times as much.
+HASHED = 1 << 19
 
 _RNG = np.random.Generator(np.random.PCG64(20240131))
 _BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -75,6 +77,37 @@ def pieces(column: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, int, np.nd
         i = j
 
 
+def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
+    """A hash of the bytes of each range, by their places in it. About ``HASHED`` bytes are worked on at once, of a longer range too."""
+    sums = np.zeros(len(starts), np.uint64)
+    sizes = ends - starts
+    total = np.cumsum(sizes)
+    i = 0
+    while i < len(starts):
+        done = total[i - 1] if i else 0
+        j = max(i + 1, int(np.searchsorted(total, done + HASHED, "right")))
+        if sizes[i] > HASHED:  # by itself, slice after slice
+            for a in range(0, int(sizes[i]), HASHED):
+                chars = data[starts[i] + a : min(starts[i] + a + HASHED, ends[i])]
+                terms = _BYTE[_LOWER[chars] if lower else chars]
+                terms *= _powers(HASHED)[: len(chars)]
+                sums[i : i + 1] += terms.sum(dtype=np.uint64, keepdims=True) * np.uint64(pow(int(_STEP), a, 1 << 64))
+            i += 1
+            continue
+        m = sizes[i:j]
+        some = np.flatnonzero(m > 0)
+        if len(some):
+            m = m[some]
+            stop = np.cumsum(m)
+            place = np.arange(stop[-1]) - np.repeat(stop - m, m)
+            chars = data[np.repeat(starts[i:j][some], m) + place]
+            terms = _BYTE[_LOWER[chars] if lower else chars]
+            terms *= _powers(int(m.max()))[place]
+            sums[i:j][some] = np.add.reduceat(terms, stop - m)
+        i = j
+    return mix(sums + sizes.astype(np.uint64))
+
+
 def words(data: np.ndarray, bounds: np.ndarray, lower: bool = True, hashed: bool = True) -> Words:
     ink = ~_SPACE[data]
     n = len(data)
@@ -89,18 +122,7 @@ def words(data: np.ndarray, bounds: np.ndarray, lower: bool = True, hashed: bool
         end[:-1] &= ~ink[1:] | start[1:]
     ends = np.flatnonzero(end) + 1
     first = np.searchsorted(starts, bounds)
-    hashes = np.zeros(len(starts), np.uint64)
-    if hashed and len(starts):
-        lens = ends - starts
-        at = np.flatnonzero(ink)
-        rank = np.cumsum(lens)
-        place = np.arange(len(at), dtype=np.int64) - np.repeat(rank - lens, lens)
-        chars = data[at]
-        if lower:
-            chars = _LOWER[chars]
-        terms = _BYTE[chars]
-        terms *= _powers(int(lens.max()))[place]
-        hashes = mix(np.add.reduceat(terms, rank - lens) + lens.astype(np.uint64))
+    hashes = range_hashes(data, starts, ends, lower) if hashed else np.zeros(len(starts), np.uint64)
     return Words(data, bounds, starts, ends, first, hashes)
 
 

@@ -2,6 +2,7 @@ import hashlib
 import itertools
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -496,3 +497,23 @@ def test_turns_keep_their_texts_however_they_are_dealt(spark):
         with session_conf(spark, spark__sql__adaptive__coalescePartitions__enabled="false", spark__sql__shuffle__partitions=parts):
             both.append(sorted(map(tuple, chat.parsed(frame, model).collect())))
     assert both[0] == both[1]
+
+
+# ---- long texts
+def test_long_ranges_are_hashed_slice_by_slice(monkeypatch):
+    data = np.random.default_rng(1).integers(97, 122, 3000, dtype=np.uint8)
+    starts, ends = np.array([0, 0, 10, 500, 700]), np.array([3000, 0, 20, 2900, 701])
+    whole = textkit.range_hashes(data, starts, ends)
+    monkeypatch.setattr(textkit, "HASHED", 64)
+    assert (textkit.range_hashes(data, starts, ends) == whole).all() and len(set(whole.tolist())) == 5
+
+
+def test_a_long_text_takes_a_bounded_multiple_of_its_size():
+    text = pa.array([" ".join(f"w{i * 7919 % 50_000}" for i in range(2_000_000))])
+    size = len(text[0].as_py())
+    for run in (lambda: quality.statistics(text), lambda: list(textkit.shingle_sets(text))):
+        tracemalloc.start()
+        run()
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 25 * size
