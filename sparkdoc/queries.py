@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions.sort import Sort
@@ -208,24 +208,35 @@ _add("lww_conflicts", lambda s, d: writes.lww_conflicts(lww_log(s, d)).select("k
 _add("conflicts_list", lambda s, d: writes.list_conflicts(writes.lww_conflicts(lww_log(s, d)).where("reason = 'lost'"), "users/000000001", 50).select("key", "mutation_id"), f"SELECT key, mutation_id FROM {_LWW} WHERE NOT wins AND starts_with(key, 'users/000000001') ORDER BY key, mutation_id LIMIT 50")
 
 
-def dedupe_mutations(spark: SparkSession, sf_dir: str) -> DataFrame:
+def retried_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four arrivals of each id, 0, 23, 25 and 26 hours on; every third id's second one has another payload."""
     log = c.event_log(spark, sf_dir)
     n, k = F.floor(F.col("seq") / 4), F.col("seq") % 4
     first = F.floor(F.lit(NOW_MS) + n * 1000)
     log = log.withColumns({"mutation_id": F.lpad(n.cast("string"), 12, "0"), "kind": F.lit("put"), "key": F.concat(F.lit("users/"), (n % 50).cast("string")), "expires_at_ms": F.lit(None).cast("long"),
                            "value": F.when((k == 1) & (n % 3 == 0), "2").otherwise("1"), "timestamp_ms": (first + F.element_at(F.array(*map(F.lit, (0, 23, 25, 26))), (k + 1).cast("int")) * 3_600_000).cast("long")})
-    return writes.first_of_each_mutation(log).select("seq", "mutation_id", "outcome", "version")
+    return writes.first_of_each_mutation(log)
 
 
-_add("dedupe_mutations", dedupe_mutations, f"""WITH RECURSIVE l AS (SELECT seq, m, p, t, row_number() OVER (PARTITION BY m ORDER BY seq) AS n FROM
+_DEDUPED = f"""WITH RECURSIVE l AS (SELECT seq, m, p, t, row_number() OVER (PARTITION BY m ORDER BY seq) AS n FROM
     (SELECT event_id AS seq, lpad((event_id // 4)::varchar, 12, '0') AS m, CASE WHEN event_id % 4 = 1 AND event_id // 4 % 3 = 0 THEN '2' ELSE '1' END AS p,
      {NOW_MS} + event_id // 4 * 1000 + [0, 23, 25, 26][event_id % 4 + 1] * 3600000 AS t FROM events)),
   f AS (SELECT m, n, seq, 'applied' AS outcome, seq AS version, p AS wp, t AS wt FROM l WHERE n = 1 UNION ALL
   SELECT l.m, l.n, l.seq, CASE WHEN f.wt + 86400000 <= l.t THEN 'applied' WHEN f.wp = l.p THEN 'deduplicated' ELSE 'mutation_id_reused' END,
     CASE WHEN f.wt + 86400000 <= l.t THEN l.seq ELSE f.version END, CASE WHEN f.wt + 86400000 <= l.t THEN l.p ELSE f.wp END, CASE WHEN f.wt + 86400000 <= l.t THEN l.t ELSE f.wt END
   FROM f JOIN l ON l.m = f.m AND l.n = f.n + 1)
-  SELECT seq, m AS mutation_id, outcome, version FROM f""")
+  SELECT seq, m AS mutation_id, outcome, version FROM f"""
+_add("dedupe_mutations", lambda s, d: retried_log(s, d).select("seq", "mutation_id", "outcome", "version"), _DEDUPED)
+
+
+def feed_published(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a feed tells of a log with retries: writes that were applied, once."""
+    from .streaming import feed
+
+    return feed.feed(retried_log(spark, sf_dir), "users/1").select("key", "version", "mutation_id")
+
+
+_add("feed_published", feed_published, f"SELECT 'users/' || (m::bigint % 50) AS key, seq AS version, m AS mutation_id FROM ({_DEDUPED.replace('m AS mutation_id', 'm')}) WHERE outcome = 'applied' AND starts_with('users/' || (m::bigint % 50), 'users/1')")
 
 
 def lww_retries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -252,6 +263,38 @@ _add("cas_fold", cas_fold, f"""WITH RECURSIVE l AS (SELECT key, seq, kind, seq %
 
 
 
+def _folded(make: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """Outcomes per user of requests made from the event log."""
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        out = writes.fold_requests(make(c.event_log(spark, sf_dir)))
+        return out.groupBy("group").agg(F.countDistinct(F.when(F.col("outcome") == "applied", F.col("version"))).alias("applied"), F.count(F.when(F.col("outcome") == "applied", 1)).alias("rows"), F.count(F.when(F.col("outcome") == "condition_failed", 1)).alias("failed"))
+
+    return run
+
+
+_request = lambda log, op, key, kind, if_version, if_absent: log.select(F.col("key").alias("group"), F.col("seq").alias("idx"), F.lit(op).alias("op"), "mutation_id", kind.alias("kind"), key.alias("key"), F.when(kind == "put", F.lit("1")).alias("value"), F.lit(None).cast("long").alias("ttl_ms"), if_version.cast("long").alias("if_version"), if_absent.alias("if_absent"), F.col("timestamp_ms").alias("now_ms"))
+
+
+def _versioned(log: DataFrame) -> DataFrame:
+    """Each write of a user names the version that the one before it made."""
+    n = F.row_number().over(Window.partitionBy("key").orderBy("seq")) - 1
+    numbered = log.withColumn("n", n)
+    return _request(numbered, 0, F.col("key"), F.col("kind"), F.when(F.col("n") > 0, F.col("n")), F.lit(False))
+
+
+def _batched(log: DataFrame) -> DataFrame:
+    """Batches of two puts; every third one wants its second key absent, so it applies as a whole only where it comes first."""
+    put = F.lit("put")
+    first = _request(log, 0, F.col("key"), put, F.lit(None), F.lit(False))
+    return first.unionByName(_request(log, 1, F.concat("key", F.lit("/x")), put, F.lit(None), F.col("seq") % 3 == 0))
+
+
+_add("cas_versions", _folded(_versioned), f"""SELECT key AS "group", count(*) FILTER (WHERE gone = 0) AS applied, count(*) FILTER (WHERE gone = 0) AS rows, count(*) FILTER (WHERE gone > 0) AS failed FROM
+  (SELECT *, coalesce(sum((kind = 'delete')::integer) OVER (PARTITION BY key ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS gone FROM {_LOG}) GROUP BY key""")
+_add("batch_atomic", _folded(_batched), f"""SELECT key AS "group", count(*) FILTER (WHERE ok) AS applied, 2 * count(*) FILTER (WHERE ok) AS rows, count(*) FILTER (WHERE NOT ok) AS failed FROM
+  (SELECT *, seq % 3 <> 0 OR row_number() OVER (PARTITION BY key ORDER BY seq) = 1 AS ok FROM {_LOG}) GROUP BY key""")
+
+
 def reconcile_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = lww_log(spark, sf_dir)
     return writes.reconcile(log.where("idx <= 300"), log.where("idx > 100").drop("idx", "strict"), 256).select("idx", "key", "mutation_id")
