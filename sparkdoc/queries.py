@@ -393,9 +393,9 @@ _add("index_page_sorted", _chain({"prefix": "orders/", "where": {"status": "F",
 
 def index_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An index that is built in steps of 4,000 rows, counted by value; then how many entries a step of its removal leaves."""
-    base, orders, after = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}", orders(spark, sf_dir), None
+    base, collection, after = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}", orders(spark, sf_dir), None
     while True:
-        after = ix.backfill_step(orders, _STATUS, base, after, 4000)
+        after = ix.backfill_step(collection, _STATUS, base, after, 4000)
         if after is None:
             break
     built = spark.read.parquet(base).drop("step")

@@ -10,6 +10,7 @@ from sparkdoc.errors import SortUnavailable, StoreError
 from sparkdoc.functions.aggregates import merge
 from sparkdoc.operators import index as ix
 from sparkdoc.plans.query import KeyRange, Query, follow, merge_pages, prefix_end
+from sparkdoc.queries import QUERIES
 
 from .test_filters import schemaless
 
@@ -123,3 +124,13 @@ def test_backfill_in_steps(spark, tmp_path):
 def test_prefix_end_and_ranges():
     assert prefix_end("a/") == "a0" and prefix_end("") is None and prefix_end("a\U0010ffff") == "b" and prefix_end("\U0010ffff") is None
     assert KeyRange(prefix="orders/1").within("orders/") and not KeyRange(prefix="ord").within("orders/") and KeyRange(start="orders/1", end="orders/2").within("orders/") and not KeyRange(start="orders/1").within("orders/")
+
+
+@pytest.mark.parametrize("n", [0, 5, 4000, 4001, 9001])
+def test_an_index_is_built_in_steps(spark, tmp_path, n):
+    """The registered query, over its own table: none, less than one, whole and begun steps of 4,000 rows."""
+    rows = spark.range(1, n + 1).select(F.col("id").alias("o_orderkey"), F.lit(7).cast("long").alias("o_custkey"), F.when(F.col("id") % 3 == 0, "P").otherwise("F").alias("o_orderstatus"),
+                                        F.lit(2.5).alias("o_totalprice"), F.lit("2024-01-23").cast("date").alias("o_orderdate"), F.lit("1-URGENT").alias("o_orderpriority"))
+    rows.write.parquet(str(tmp_path / "orders.parquet"))
+    want = {"P": n // 3, "F": n - n // 3, "left": max(n - 4000, 0)}
+    assert {x.text: x.n for x in QUERIES["index_backfill"](spark, str(tmp_path)).collect()} == {k: v for k, v in want.items() if v or k == "left"}
