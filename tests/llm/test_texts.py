@@ -411,6 +411,45 @@ def test_near_repeats_recall(spark):
     assert got <= want and len(got) >= 0.93 * len(want)
 
 
+def test_near_repeats_are_found_beside_many_third_texts(spark):
+    """Two near texts whose groups have other texts as centers: parts too short for a pair, or a chain of near texts of which only neighbours link."""
+    r = random.Random(23)
+    text = lambda n: [f"q{r.randrange(10**9)}" for _ in range(n)]
+    rows, parent, spans, want = [], {}, {}, []
+
+    def add(passage):
+        head = text(15)
+        rows.append((len(rows), " ".join(head + passage + text(15))))
+        return len(rows) - 1
+
+    changed = lambda p, *at: [f"x{r.randrange(10**9)}" if i in at else w for i, w in enumerate(p)]
+    for g in range(60):
+        p = text(80)
+        made = [add(x) for x in r.sample([p, changed(p, 40), *(text(20) + p[a : a + 40] + text(20) for a in [0, 5, 10, 15, 20, 25, 30, 35, 40] * 3)], 29)]
+        pair = [i for i in made if sum(w in set(p) for w in rows[i][1].split()) > 60]
+        want.append(tuple(pair))
+        chain = [p := text(60)]
+        for at in (5, 12, 20, 28, 36, 44, 52, 56):
+            chain.append(p := changed(p, at))
+        made = [add(x) for x in chain]
+        want += list(zip(made, made[1:], strict=False))
+    r.shuffle(rows)
+    got = passages.repeated_passages(documents(spark, rows)).collect()
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for x in got:
+        parent[find(x.doc_id)] = find(x.rep_doc_id)
+        spans.setdefault((x.doc_id, x.rep_doc_id), []).append((x.start_word, x.n_words, x.rep_start_word))
+    lost = [(a, b) for a, b in want if find(a) != find(b)]
+    assert len(want) == 540 and len(lost) <= 5, len(lost)
+    allowed = {find(a) for a, _ in want}
+    assert {find(x.doc_id) for x in got} <= allowed and len(got) < 2 * len(want)
+
+
 # ---- chat
 def test_roles_are_recovered(spark):
     r = random.Random(6)
