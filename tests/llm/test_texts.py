@@ -450,6 +450,32 @@ def test_near_repeats_are_found_beside_many_third_texts(spark):
     assert {find(x.doc_id) for x in got} <= allowed and len(got) < 2 * len(want)
 
 
+def test_members_are_compared_one_by_one_only_where_something_is_found(monkeypatch):
+    """Texts that repeat a few tokens, and long ones that share one passage: what comparing every two in turn finds, with few comparisons."""
+    r = np.random.default_rng(24)
+    junk, groups = np.arange(1, 9, dtype=np.uint32), []
+    groups.append([(i, 0, 0, r.choice(junk[: 2 + i % 6], 46), []) for i in range(150)])
+    shared = r.integers(100, 1 << 31, 60).astype(np.uint32)
+    rows = []
+    for i in range(150):
+        tokens, low = np.concatenate([r.integers(100, 1 << 31, 70), shared, r.integers(100, 1 << 31, 70)]).astype(np.uint32), int(r.integers(0, 30))
+        if i > 75:  # pairs with a second passage, some places of which differ
+            tokens[130:190] = rows[i - 75][3][130 - rows[i - 75][2] : 190 - rows[i - 75][2]]
+            tokens[131 : 131 + i % 9] = 7
+        rows.append((i, 0, low, tokens[low:], [(70, 130)] if i % 3 else []))
+    groups.append(rows)
+    made, plain = [], passages.matches
+    monkeypatch.setattr(passages, "matches", lambda *a: made.append(1) or plain(*a))
+    for members in groups:
+        made.clear()
+        got, few = list(passages._Beside(members, 46).pairs()), len(made)
+        beside, want = passages._Beside(members, 46), []
+        for u in range(len(members)):
+            for v in range(u + 1, len(members)):
+                want += beside._compared(u, v)
+        assert got == want and len(got) > 40 and few <= 2 * len(got) + 20, (len(got), len(want), few)
+
+
 # ---- chat
 def test_roles_are_recovered(spark):
     r = random.Random(6)
