@@ -33,7 +33,12 @@ def parse_sort(spec: object) -> Sort:
 
 def order_by(ref: Ref, sort: Sort, key: Column) -> list[Column]:
     """Ties are in ascending key order either way."""
-    return [c.desc_nulls_last() if sort.descending else c.asc_nulls_first() for c in ref.order()] + [key.asc()]
+    return placed(ref.order(), sort, key)
+
+
+def placed(values: list[Column], sort: Sort | None, key: Column) -> list[Column]:
+    """The same, given the sort's values (none: by key alone)."""
+    return [c.desc_nulls_last() if sort.descending else c.asc_nulls_first() for c in values] + [key.asc()]
 
 
 def encode_cursor(values: list, key: str) -> str:

@@ -6,13 +6,15 @@ distributed top-k, and aggregates combine on the map side; nothing loops over pa
 
 ``page`` serves the client protocol: at most ``max_scanned`` rows are looked at, and the answer says where to go on. With
 an index (``Index``: definition and side table) that covers the range, these rows are the side table's entries in its
-order, and the collection is read at their keys only and checked against the whole filter.
+order, and the collection is read at their keys only and checked against the whole filter. ``paged`` gives all pages of
+a query at once, as tables (``pages``).
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,9 +23,10 @@ from pyspark.sql import types as T
 from ..errors import ArgumentError, SortUnavailable
 from ..functions.aggregates import Aggregates, expressions, merge, parse_aggregates, shaped
 from ..functions.filters import COMPARE, compile_filter, parse, top_level
-from ..functions.paths import Ref, resolve
+from ..functions.paths import Ref, resolve, two_valued
 from ..functions.project import parse_fields, projected
-from ..functions.sort import Sort, after_cursor, decode_cursor, encode_cursor, order_by, parse_sort, position_order
+from ..functions.sort import Sort, after_cursor, decode_cursor, encode_cursor, order_by, parse_sort, placed, position_order
+from .pages import Pages, numbered
 
 DEFAULT_LIMIT, MAX_LIMIT = 100, 1000
 DEFAULT_SCANNED, MAX_SCANNED = 10_000, 100_000
@@ -135,6 +138,11 @@ class _Entry(Ref):
         return F.when(F.abs(self.number) >= float(1 << 53), self.exact)
 
 
+def _values(ref: Ref) -> list[Column]:
+    """The parts of a position."""
+    return [c.alias(f"_{i}") for i, c in enumerate(ref.order())]
+
+
 class Query:
     """A specification over a collection."""
 
@@ -152,14 +160,15 @@ class Query:
 
     def matched(self, rows: DataFrame | None = None) -> DataFrame:
         """Rows of the range that match; values that are no JSON never do."""
-        rows = self.ranged() if rows is None else rows
-        if not self.typed:
-            rows = rows.where(F.col("value").isNotNull())
+        return reduce(DataFrame.where, self._conditions(), self.ranged() if rows is None else rows)
+
+    def _conditions(self) -> list[Column]:
+        out = [] if self.typed else [F.col("value").isNotNull()]
         if self.spec.where:
-            rows = rows.where(compile_filter(self.spec.where, self.at))
+            out.append(compile_filter(self.spec.where, self.at))
         if self.spec.sort:
-            rows = rows.where(self.at(self.spec.sort.field).scalar())
-        return rows
+            out.append(self.at(self.spec.sort.field).scalar())
+        return out
 
     def _ordered(self, rows: DataFrame) -> DataFrame:
         s = self.spec
@@ -201,20 +210,28 @@ class Query:
     def _equalities(self) -> list:
         return [x for x in top_level(self.spec.where) if x.op == "$eq" and not isinstance(x.operand, list | dict)]
 
-    def _entries(self, index: Index) -> DataFrame:
-        """(key, and for a sort its values) of the index entries that the page looks at, one more than it may."""
+    def _candidates(self, index: Index) -> DataFrame:
+        """(key, and for a sort its values) of the index entries that pages look at."""
         s, entry = self.spec, _Entry()
         rows = index.table.where(s.keys.predicate(F.col("key")))
         if s.sort is None:
             value = next(x for x in self._equalities() if x.path == index.spec.field)
-            return rows.where(entry.equals(value.operand)).select("key").orderBy("key").limit(s.max_scanned + 1)
+            return rows.where(entry.equals(value.operand)).select("key")
         for x in top_level(s.where):  # bounds on the sort field narrow the walk
             if x.path == s.sort.field and x.op in ("$eq", *COMPARE) and not isinstance(x.operand, list | dict):
                 rows = rows.where(entry.equals(x.operand) if x.op == "$eq" else entry.compare(COMPARE[x.op], x.operand))
         if s.after is not None:
             rows = rows.where(after_cursor(entry, s.sort, F.col("key"), s.after))
-        rows = rows.orderBy(*order_by(entry, s.sort, F.col("key"))).limit(s.max_scanned + 1)
-        return rows.select("key", *[c.alias(f"_{i}") for i, c in enumerate(entry.order())])
+        return rows.select("key", *_values(entry))
+
+    def _entries(self, index: Index) -> DataFrame:
+        """Those that one page looks at, one more than it may."""
+        rows = self._candidates(index)
+        return rows.orderBy(*self._walk(rows)).limit(self.spec.max_scanned + 1)
+
+    def _walk(self, rows: DataFrame) -> list[Column]:
+        """The order of rows that have a sort's values."""
+        return placed([F.col(c) for c in rows.columns if c[1:].isdigit()], self.spec.sort, F.col("key"))
 
     def _looked(self, index: Index | None) -> tuple[DataFrame, list]:
         """Rows with ``_rn``, their place in the walk from 1 on, ``max_scanned`` + 1 at most; and the entries of the index."""
@@ -283,6 +300,48 @@ class Query:
             out["next_cursor"] = self._position(entries[stop - 1]) if s.sort else last["key"]
         return out | said
 
+    def _looked_at(self, *columns: str) -> DataFrame:
+        """Every row that the query's pages look at: key, ``_hit``, a sort's values, and of matches the columns."""
+        s, index = self.spec, self.access()
+        if s.sort and index is None:  # a top-k over all matches
+            ref = self.at(s.sort.field)
+            rows = self.matched()
+            if s.after is not None:
+                rows = rows.where(after_cursor(ref, s.sort, F.col("key"), s.after))
+            return self._kept(rows.withColumns({f"_{i}": c for i, c in enumerate(ref.order())}), *columns)
+        if index is not None:
+            good = self._kept(self.matched().withColumn("_hit", F.lit(True)), *columns)
+            return self._candidates(index).join(good, "key", "left").withColumn("_hit", two_valued(F.col("_hit")))
+        return self._kept(self.ranged().withColumn("_hit", two_valued(reduce(Column.__and__, self._conditions(), F.lit(True)))), *columns)
+
+    def _kept(self, rows: DataFrame, *columns: str) -> DataFrame:
+        held = [F.when(F.col("_hit"), F.col(c)).alias(c) if "_hit" in rows.columns else F.col(c) for c in columns if c != "value"]
+        if "value" in columns:
+            x = self._fields()
+            value = projected(F.col("value"), self.kind, x) if x else F.col("value")
+            held.append((F.when(F.col("_hit"), value) if "_hit" in rows.columns else value).alias("value"))
+        return rows.select("key", *[c for c in rows.columns if c == "_hit" or c[1:].isdigit()], *held)
+
+    def _fields(self) -> list | None:
+        a = self.spec.aggregate
+        if a is None or not self.typed:
+            return self.spec.fields if a is None else None
+        return [*a.sum, *a.min, *a.max] or None
+
+    def paged(self, *columns: str) -> Pages:
+        """All pages at once, as following the cursors gives them one after the other. ``columns``: what of the matches is wanted beside the key."""
+        s = self.spec
+        rows = self._looked_at(*columns)
+        free = "_hit" not in rows.columns  # all rows are matches, and no budget of rows holds
+        return Pages.cut(numbered(rows, self._walk(rows)), None if s.aggregate else s.limit, None if free else s.max_scanned, every=free, sort=s.sort is not None)
+
+    def aggregates(self) -> list[dict]:
+        """The aggregates of all pages, summed up at once; pages without a match have none."""
+        a = self.spec.aggregate
+        hits = self.paged("value").rows().where("_hit").select("_page", "value")
+        found = hits.groupBy("_page").agg(*expressions(a, Query(hits, QuerySpec(aggregate=a)).at)).collect()
+        return [shaped(a, r.asDict(), self.typed) for r in sorted(found, key=lambda r: r["_page"])]
+
     @staticmethod
     def _position(entry) -> str:
         return encode_cursor([entry[f"_{i}"] for i in range(len(entry) - 1)], entry["key"])
@@ -290,7 +349,7 @@ class Query:
     def _sorted_page(self) -> dict:
         s = self.spec
         ref = self.at(s.sort.field)
-        keys = [c.alias(f"_{i}") for i, c in enumerate(ref.order())]
+        keys = _values(ref)
         rows = self._items(self._ordered(self.matched()).limit(s.limit + 1).select("*", *keys)).collect()
         places = [encode_cursor([r[f"_{i}"] for i in range(len(keys))], r["key"]) for r in rows]
         items = [{k: v for k, v in r.asDict().items() if not k.startswith("_")} for r in rows[: s.limit]]
@@ -309,8 +368,21 @@ def follow(collection: DataFrame, spec: dict, indexes: list | None = None) -> It
 
 
 def aggregate_pages(collection: DataFrame, spec: dict, indexes: list | None = None) -> dict:
-    """The aggregates of a whole range from those of its pages."""
-    return merge([p["aggregates"] for p in follow(collection, spec, indexes)])
+    """The aggregates of a whole range from those of its pages, which are cut and summed up at once."""
+    query = Query(collection, spec, indexes)
+    return merge([shaped(query.spec.aggregate, query.matched(collection.limit(0)).agg(*expressions(query.spec.aggregate, query.at)).first().asDict(), query.typed), *query.aggregates()])
+
+
+def paged_groups(groups: list[DataFrame], spec: dict, *columns: str) -> Pages:
+    """All merged pages of a query that several groups of keys answer, at once.
+
+    Each holds ``limit`` matches of all groups. Budgets of rows bound one request to a group; here there is none.
+    """
+    asked = [Query(g, spec) for g in groups]
+    parts = [q._looked_at(*columns) for q in asked]
+    parts = [p.where("_hit").drop("_hit") if "_hit" in p.columns else p for p in parts]
+    rows, s = reduce(DataFrame.unionByName, parts), asked[0].spec
+    return Pages.cut(numbered(rows, asked[0]._walk(rows)), s.limit, None, every=True, sort=s.sort is not None)
 
 
 def merge_pages(parts: list[dict], limit: int, sort: Sort | None = None) -> dict:
@@ -332,4 +404,4 @@ def merge_pages(parts: list[dict], limit: int, sort: Sort | None = None) -> dict
     return out | ({"positions": [at for at, _ in rows]} if sort else {})
 
 
-__all__ = ["Index", "KeyRange", "Query", "QuerySpec", "aggregate_pages", "follow", "merge_pages", "prefix_end"]
+__all__ = ["Index", "KeyRange", "Query", "QuerySpec", "aggregate_pages", "follow", "merge_pages", "paged_groups", "prefix_end"]
