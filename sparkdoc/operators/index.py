@@ -6,12 +6,13 @@ import hashlib
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import ArgumentError
 from ..functions.paths import parse_path, resolve
 from ..functions.sort import Sort, order_by
+from ..plans.pages import numbered
 from ..plans.query import Index, KeyRange, Query
 
 
@@ -33,13 +34,13 @@ class IndexSpec:
         return hashlib.sha256("\0".join(("v2", self.prefix, self.field, "desc" if self.descending else "asc")).encode()).hexdigest()[:16]
 
 
-def entries(collection: DataFrame, spec: IndexSpec) -> DataFrame:
-    """(tag, number, exact, text, key, expires_at_ms) of every scalar at the field; arrays, objects, missing and invalid values have none."""
+def entries(collection: DataFrame, spec: IndexSpec, *more: Column) -> DataFrame:
+    """(tag, number, exact, text, key, expires_at_ms, ``more``) of every scalar at the field; arrays, objects, missing and invalid values have none."""
     ref = resolve(F.col("value"), collection.schema["value"].dataType, spec.field)
     expires = F.col("expires_at_ms") if "expires_at_ms" in collection.columns else F.lit(None).cast("long")
     exact = ref.large() if ref.exact is not None else F.lit(None).cast("decimal(38,0)")
     rows = collection.where(F.col("key").startswith(spec.prefix) & ref.scalar())
-    return rows.select(ref.tag.alias("tag"), ref.number.alias("number"), exact.alias("exact"), ref.text.alias("text"), "key", expires.alias("expires_at_ms"))
+    return rows.select(ref.tag.alias("tag"), ref.number.alias("number"), exact.alias("exact"), ref.text.alias("text"), "key", expires.alias("expires_at_ms"), *more)
 
 
 def build(collection: DataFrame, spec: IndexSpec, path: str) -> None:
@@ -71,6 +72,14 @@ def backfill_step(collection: DataFrame, spec: IndexSpec, path: str, after: str
     return part.agg(F.max("key")).first()[0] if more else None
 
 
+def backfill(collection: DataFrame, spec: IndexSpec, path: str, most: int = 10_000) -> None:
+    """All steps of ``most`` rows at once: the same entries with their step's number, each step's in the order that a step has."""
+    kept = [F.col(c) for c in ("key", "value", "expires_at_ms") if c in collection.columns]
+    walk = numbered(collection.where(KeyRange(prefix=spec.prefix).predicate(F.col("key"))).select(*kept), [F.col("key").asc()]).rows
+    order = [c.desc() if spec.descending else c.asc() for c in map(F.col, ("tag", "number", "exact", "text"))]
+    entries(walk, spec, F.floor(F.col("_rank") / most).alias("step")).sortWithinPartitions("step", *order, F.col("key")).write.mode("overwrite").parquet(path)
+
+
 def drop_step(index: DataFrame, most: int = 10_000) -> DataFrame:
     """What is left of a side table after a step of its removal: all but its ``most`` least keys."""
     gone = index.select("key").orderBy("key").limit(most)

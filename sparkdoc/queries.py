@@ -393,11 +393,8 @@ _add("index_page_sorted", _chain({"prefix": "orders/", "where": {"status": "F",
 
 def index_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An index that is built in steps of 4,000 rows, counted by value; then how many entries a step of its removal leaves."""
-    base, collection, after = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}", orders(spark, sf_dir), None
-    while True:
-        after = ix.backfill_step(collection, _STATUS, base, after, 4000)
-        if after is None:
-            break
+    base = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    ix.backfill(orders(spark, sf_dir), _STATUS, base, 4000)
     built = spark.read.parquet(base).drop("step")
     left = ix.drop_step(built, 4000).agg(F.lit("left").alias("text"), F.count(F.lit(1)).alias("n"))
     return built.groupBy("text").agg(F.count(F.lit(1)).alias("n")).unionByName(left)

@@ -19,6 +19,7 @@ from .test_filters import schemaless
 #: Registered queries that go through all pages of a collection.
 AT_ONCE = [
     "agg_merge_pages",
+    "index_backfill",
 ]
 
 
