@@ -126,11 +126,13 @@ _add("sort_mixed_types", lambda s, d: Query(mixed(s, d), {"sort": {"field": "tot
 _add("sort_filtered", lambda s, d: Query(c.orders(s, d), {"where": {"status": "F", "total": {"$gte": 20000, "$lt": 50000}}, "sort": {"field": "total", "order": "desc"}, "limit": 30}).top().select("key"), f"SELECT key FROM {_ORDERS} WHERE status = 'F' AND total >= 20000 AND total < 50000 ORDER BY total DESC, key LIMIT 30")
 
 
+_places = lambda pages: pages.items().select(F.col("place").cast("int").alias("place"), "key")
+
+
 def _chain(spec: dict, collection: Callable = orders, indexes: Callable | None = None) -> Callable[[SparkSession, str], DataFrame]:
-    """Keys of all pages of a query with their place, from page after page."""
+    """Keys of all pages of a query with their place, from all pages at once."""
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        pages = follow(collection(spark, sf_dir), spec, indexes(spark, sf_dir) if indexes else None)
-        return _rows(spark, [(i, x["key"]) for i, x in enumerate(x for p in pages for x in p["items"])], "place int, key string")
+        return _places(Query(collection(spark, sf_dir), spec, indexes(spark, sf_dir) if indexes else None).paged())
 
     return run
 

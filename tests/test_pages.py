@@ -20,6 +20,7 @@ from .test_filters import schemaless
 AT_ONCE = [
     "agg_merge_pages",
     "index_backfill",
+    "index_page_sorted",
 ]
 
 
