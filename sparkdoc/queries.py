@@ -146,8 +146,7 @@ _add("page_chain_sorted_desc", _chain({"where": {"total": {"$lt": 60000}}, "sort
 
 def page_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per page of a budgeted scan: rows looked at, matches, and the key it goes on behind."""
-    pages = follow(orders(spark, sf_dir), {"prefix": "orders/", "where": {"status": "P"}, "limit": 1000, "max_scanned": 2500})
-    return _rows(spark, [(i, p["scanned"], len(p["items"]), p["next_cursor"]) for i, p in enumerate(pages)], "page int, scanned long, items long, next_cursor string")
+    return Query(orders(spark, sf_dir), {"prefix": "orders/", "where": {"status": "P"}, "limit": 1000, "max_scanned": 2500}).paged().summary()
 
 
 _add("page_budget", page_budget, f"""SELECT page, scanned, items, CASE WHEN page = max(page) OVER () THEN NULL ELSE last END AS next_cursor FROM

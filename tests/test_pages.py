@@ -21,6 +21,7 @@ AT_ONCE = [
     "agg_merge_pages",
     "index_backfill",
     "index_page_sorted",
+    "page_budget",
 ]
 
 
