@@ -22,6 +22,7 @@ AT_ONCE = [
     "index_backfill",
     "index_page_sorted",
     "page_budget",
+    "page_chain_sorted",
 ]
 
 
