@@ -8,11 +8,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .functions.sort import Sort
 from .operators import index as ix
 from .operators import commands, placement, state, writes
 from .oracles import hash_16, hash_17, partition_sql, placed_sql, sets_sql
-from .plans.query import KeyRange, Query, aggregate_pages, follow, merge_pages
+from .plans.query import KeyRange, Query, aggregate_pages, paged_groups
 from .sources import collections as c
 from .sources import exchange
 from .sources.exchange import shared_folder
@@ -153,23 +152,17 @@ _add("page_budget", page_budget, f"""SELECT page, scanned, items, CASE WHEN page
   (SELECT ((n - 1) // 2500)::integer AS page, count(*) AS scanned, count(*) FILTER (WHERE status = 'P') AS items, max(key) AS last FROM (SELECT *, row_number() OVER (ORDER BY key) AS n FROM {_ORDERS}) GROUP BY 1)""")
 
 
-def _merged_chain(spec: dict, sort: Sort | None, groups: int = 3) -> Callable[[SparkSession, str], DataFrame]:
-    """Pages of a query that several groups of keys answer, merged, one after the other."""
+def _merged_chain(spec: dict, groups: int = 3) -> Callable[[SparkSession, str], DataFrame]:
+    """Pages of a query that several groups of keys answer, merged, from all pages at once."""
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        whole, after, keys = orders(spark, sf_dir), None, []
-        while True:
-            ask = spec | ({"after": after} if after is not None else {})
-            parts = [Query(whole.where(F.pmod(F.crc32(F.col("key").cast("binary")), F.lit(groups)) == g), ask).page() for g in range(groups)]
-            page = merge_pages(parts, spec["limit"], sort)
-            keys += [x["key"] for x in page["items"]]
-            if (after := page["next_cursor"]) is None:
-                return _rows(spark, list(enumerate(keys)), "place int, key string")
+        whole = orders(spark, sf_dir)
+        return _places(paged_groups([whole.where(F.pmod(F.crc32(F.col("key").cast("binary")), F.lit(groups)) == g) for g in range(groups)], spec))
 
     return run
 
 
-_add("page_merge", _merged_chain({"prefix": "orders/", "where": {"status": "P", "total": {"$lt": 90000}}, "limit": 500, "max_scanned": 4000}, None), _placed(f"{_ORDERS} WHERE status = 'P' AND total < 90000", "key"))
-_add("page_merge_sorted", _merged_chain({"where": {"total": {"$lt": 60000}}, "sort": {"field": "priority", "order": "desc"}, "limit": 900}, Sort("priority", True)), _placed(f"{_ORDERS} WHERE total < 60000", "priority DESC, key"))
+_add("page_merge", _merged_chain({"prefix": "orders/", "where": {"status": "P", "total": {"$lt": 90000}}, "limit": 500, "max_scanned": 4000}), _placed(f"{_ORDERS} WHERE status = 'P' AND total < 90000", "key"))
+_add("page_merge_sorted", _merged_chain({"where": {"total": {"$lt": 60000}}, "sort": {"field": "priority", "order": "desc"}, "limit": 900}), _placed(f"{_ORDERS} WHERE total < 60000", "priority DESC, key"))
 
 # log and state
 _RECORD = ["key", "version", "value", "timestamp_ms", "expires_at_ms", "mutation_id"]

@@ -23,6 +23,7 @@ AT_ONCE = [
     "index_page_sorted",
     "page_budget",
     "page_chain_sorted",
+    "page_merge",
 ]
 
 
