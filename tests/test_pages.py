@@ -24,6 +24,7 @@ AT_ONCE = [
     "page_budget",
     "page_chain_sorted",
     "page_merge",
+    "page_merge_sorted",
 ]
 
 
