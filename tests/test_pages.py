@@ -25,6 +25,7 @@ AT_ONCE = [
     "page_chain_sorted",
     "page_merge",
     "page_merge_sorted",
+    "page_chain_filtered",
 ]
 
 
