@@ -26,6 +26,7 @@ AT_ONCE = [
     "page_merge",
     "page_merge_sorted",
     "page_chain_filtered",
+    "index_page_equal",
 ]
 
 
