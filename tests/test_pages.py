@@ -27,6 +27,7 @@ AT_ONCE = [
     "page_merge_sorted",
     "page_chain_filtered",
     "index_page_equal",
+    "page_chain_sorted_desc",
 ]
 
 
