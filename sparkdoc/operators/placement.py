@@ -146,5 +146,8 @@ def compare_replicas(leaves: DataFrame) -> DataFrame:
     want = leaves.join(model, leaves["node"] == model["model"], "left_semi").select("partition", F.col("leaf").alias("want"))
     nodes = marked.select("node")
     full = nodes.join(want, how="cross")  # nodes times 4096 at most
-    diff = full.join(leaves, ["node", "partition"], "full").where(~F.col("leaf").eqNullSafe(F.col("want"))).groupBy("node").agg(F.count(F.lit(1)).alias("differing"))
+    # rows without a key are in no partition: one of its own here
+    held = leaves.select(F.col("node").alias("holder"), F.col("partition").alias("at"), "leaf")
+    both = full.join(held, (F.col("node") == F.col("holder")) & F.col("partition").eqNullSafe(F.col("at")), "full")
+    diff = both.where(~F.col("leaf").eqNullSafe(F.col("want"))).groupBy(F.coalesce("node", "holder").alias("node")).agg(F.count(F.lit(1)).alias("differing"))
     return marked.join(diff, "node", "left").withColumn("differing", F.coalesce("differing", F.lit(0)))

@@ -21,10 +21,11 @@ def live_at(now_ms: int) -> Column:
 def newest(log: DataFrame, order: str = "seq") -> DataFrame:
     """Each key once, with its newest row: a maximum with map-side combining, so hot keys aren't gathered.
 
-    Of rows of one batch on a key the last op counts, where the log has ``op`` (its number in the batch).
+    Of rows of one batch on a key the last op counts, where the log has ``op`` (its number in the batch). Of other ties
+    the greatest row does, so that replicas of one log come to one state.
     """
     rest = [c for c in log.columns if c not in ("key", order)]
-    at = F.struct(order, "op") if "op" in log.columns else F.col(order)
+    at = F.struct(order, *[c for c in rest if c == "op"], *[c for c in rest if c != "op"])
     newest = log.groupBy("key").agg(F.max_by(F.struct(order, *rest), at).alias("r"))
     return newest.select("key", *[F.col(f"r.{c}").alias(c) for c in (order, *rest)])
 

@@ -323,7 +323,7 @@ _add("digest", lambda s, d: placement.digests(state.current(c.event_log(s, d), N
 def replica_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three replicas, one of which lacks a user's newest version: who is with the majority, and in how many partitions others differ."""
     log = c.event_log(spark, sf_dir)
-    leaves = [placement.digests(state.current(log.where(F.col("key") != "users/0000000009") if n == "n3" else log, NOW_MS), NOW_MS).select(F.lit(n).alias("node"), "partition", "leaf") for n in ("n1", "n2", "n3")]
+    leaves = [placement.digests(state.current(log.where(~F.col("key").eqNullSafe("users/0000000009")) if n == "n3" else log, NOW_MS), NOW_MS).select(F.lit(n).alias("node"), "partition", "leaf") for n in ("n1", "n2", "n3")]
     return placement.compare_replicas(leaves[0].unionByName(leaves[1]).unionByName(leaves[2])).select("node", "majority", "differing")
 
 
